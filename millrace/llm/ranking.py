@@ -1,0 +1,31 @@
+"""A global row number that no hot key can gather in one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from millrace.session import stored
+
+
+def with_global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Add ``name``: 0-based position of each row in ``order`` over the whole frame.
+
+    Rows are range-partitioned (equal keys are split by a tie column, so a key that
+    holds a third of all rows is spread as well), written once with the partition
+    number, and numbered inside each partition.  The per-partition counts, one row
+    for each partition, give the offsets; they are the only thing broadcast.  Rows
+    that are equal in ``order`` get consecutive numbers in no particular order.
+    """
+    keys = [*order, F.col("_tie").asc()]
+    ranged = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys)
+    ranged = stored(ranged.withColumn("_part", F.spark_partition_id()), "ranked")
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(*keys)
+    return (
+        ranged.join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_before") + F.row_number().over(inside) - 1)
+        .drop("_part", "_before", "_tie")
+    )
