@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import mixing
+from millrace.llm import mixing, packing, sstable
 
-QUERIES = {"op1_mixing": mixing.op1_mixing}
+QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op6_packing": packing.op6_packing,
+    "op10_sstable": sstable.op10_sstable,
+}
 SQL = {"op1_mixing": mixing.OP1_SQL}
