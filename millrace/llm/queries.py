@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import mixing, packing, sstable
+from millrace.llm import minhash, mixing, packing, pii, sstable
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op6_packing": packing.op6_packing,
+    "op8_pii": pii.op8_pii,
+    "op9_minhash": minhash.op9_minhash,
     "op10_sstable": sstable.op10_sstable,
 }
-SQL = {"op1_mixing": mixing.OP1_SQL}
+SQL = {"op1_mixing": mixing.OP1_SQL, "op9_minhash": minhash.OP9_SQL}
