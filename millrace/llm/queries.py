@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import minhash, mixing, packing, pii, sstable
+from millrace.llm import html, langid, minhash, mixing, packing, pii, sstable
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op5_langid": langid.op5_langid,
     "op6_packing": packing.op6_packing,
+    "op7_html": html.op7_html,
     "op8_pii": pii.op8_pii,
     "op9_minhash": minhash.op9_minhash,
     "op10_sstable": sstable.op10_sstable,
