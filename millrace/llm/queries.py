@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import html, langid, minhash, mixing, packing, pii, sstable
+from millrace.llm import html, imatch, langid, minhash, mixing, packing, pii, sstable, vectors
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_imatch": imatch.op2_imatch,
+    "op4_vectors": vectors.op4_vectors,
     "op5_langid": langid.op5_langid,
     "op6_packing": packing.op6_packing,
     "op7_html": html.op7_html,
@@ -13,4 +15,4 @@ QUERIES = {
     "op9_minhash": minhash.op9_minhash,
     "op10_sstable": sstable.op10_sstable,
 }
-SQL = {"op1_mixing": mixing.OP1_SQL, "op9_minhash": minhash.OP9_SQL}
+SQL = {"op1_mixing": mixing.OP1_SQL, "op2_imatch": imatch.OP2_SQL, "op4_vectors": vectors.OP4_SQL, "op9_minhash": minhash.OP9_SQL}
