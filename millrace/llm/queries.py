@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import html, imatch, langid, minhash, mixing, packing, pii, sstable, vectors
+from millrace.llm import html, imatch, langid, minhash, mixing, packing, pii, sstable, substrings, vectors
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_imatch": imatch.op2_imatch,
+    "op3_substrings": substrings.op3_substrings,
     "op4_vectors": vectors.op4_vectors,
     "op5_langid": langid.op5_langid,
     "op6_packing": packing.op6_packing,
