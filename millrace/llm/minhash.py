@@ -1,8 +1,8 @@
 """MinHash near-duplicates with odd sketches.
 
 1. One pass over the texts gives each document the set of its 5-word shingles as hashes, an
-   identity of that set, 80 MinHash samples in 20 bands of 4, and an odd sketch: a bitmap
-   in which each (sample number, sample) flips one bit.  The XOR of two sketches
+   identity of that set, 320 MinHash samples, the first 80 of them in 20 bands of 4, and an odd
+   sketch of 1024 bits, in which each (sample number, sample) flips one bit.  The XOR of two sketches
    has about twice as many bits as the samples that differ, which is a precise estimate
    for similar sets.  Texts are not shuffled here.
 2. Documents with equal sets form one node; copies, however many, go no further.
@@ -11,11 +11,13 @@
    A pair whose sketches differ in more than MOST_BITS bits is dropped; other pairs are
    confirmed on the full sets.
 4. Components of the links follow.  Where a bucket still holds several
-   components, members of different components are compared with each other as well,
-   so every two documents of a bucket are either compared or already in one component.
+   components, members of different components are compared with each other as well.
+   An exact bound goes first: shingles that no other member of these buckets has can't be
+   shared, and a heavily edited copy has too many of them to be linked with anything.  So
+   every two documents of a bucket are in one component, compared, or too different.
 
-At similarity 0.85 a pair shares no band with probability 4e-7, and it differs in over 30
-of 80 samples, which it must to exceed 60 bits, with probability 1e-7.
+At similarity 0.85 a pair shares no band with probability 4e-7. Its sketches differ in 87
+bits on average with a deviation of 12.5, and so in over MOST_BITS with probability 3e-7.
 
 Defined cases: null or wordless text has an empty set, is linked with nothing and kept; a text
 of one to four words is one shingle; repeated rows are copies; a null doc_id counts as the
@@ -35,22 +37,22 @@ from millrace.session import stored, table
 
 SHINGLE = 5
 BANDS, ROWS = 20, 4
-SKETCH_WORDS = 4
-MOST_BITS = 60
+SAMPLES = 320
+SKETCH_WORDS = 16
+MOST_BITS = 150
 PERCENT = 85
 
-_SAMPLES = BANDS * ROWS
 _RNG = np.random.Generator(np.random.PCG64(77))
-_XOR = _RNG.integers(0, 1 << 63, _SAMPLES, dtype=np.uint64)
-_ODD = _RNG.integers(0, 1 << 63, _SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
+_ODD = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 SIGNATURE = "doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>"
 
 
 def samples(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """(rows, samples) minima of the nonempty sets."""
-    out = np.empty((len(starts) - 1, _SAMPLES), np.uint64)
-    for k in range(_SAMPLES):
+    out = np.empty((len(starts) - 1, SAMPLES), np.uint64)
+    for k in range(SAMPLES):
         out[:, k] = np.minimum.reduceat((values ^ _XOR[k]) * _ODD[k], starts[:-1])
     return out
 
@@ -113,17 +115,26 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(sets, "node binary, items array<long>").dropDuplicates(["node"])
 
 
-def confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``(a, b)`` with 100 * intersection >= percent * union, on full sets."""
-    pairs = stored(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = stored(_full_sets(docs, nodes.select("node", "rep").join(ends, "node", "left_semi")), "sets")
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``(a, b)`` with 100 * intersection >= percent * union, on the full ``sets (node, items)``."""
     one, other = sets.select(F.col("node").alias("a"), F.col("items").alias("_x")), sets.select(F.col("node").alias("b"), F.col("items").alias("_y"))
     both = F.size(F.array_intersect("_x", "_y"))
     rows = pairs.join(one, "a").join(other, "b").withColumn("_both", both)
     return rows.filter(100 * F.col("_both") >= percent * (F.size("_x") + F.size("_y") - F.col("_both"))).select("a", "b")
 
 
+def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, items`` for the nodes in ``wanted (node)``, written once."""
+    return stored(_full_sets(docs, nodes.select("node", "rep").join(wanted.distinct(), "node", "left_semi")), "sets")
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """``node, items_n, own``: the size of each set and how many of its shingles no other set has."""
+    alone = sets.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
+    own = alone.groupBy("node").agg(F.count("*").alias("own"))
+    return sets.select("node", F.size("items").alias("items_n")).join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+
+
 def _bits(x: str, y: str):
     return sum(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH_WORDS))
 
@@ -143,16 +154,26 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     leaders = leaders.select("band", F.col("_top.node").alias("leader"), F.col("_top.sketch").alias("leader_sketch"))
     led = members.join(leaders, "band")
     pairs = led.filter(F.col("node") != F.col("leader")).filter(_bits("sketch", "leader_sketch") <= MOST_BITS)
-    links = stored(confirm(docs, nodes, pairs.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), percent), "links")
+    pairs = stored(pairs.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    links = stored(confirm(pairs, sets_of(docs, nodes, ends), percent), "links")
 
     found = stored(connected_components(links.toDF("src", "dst")), "components")
     labelled = led.filter("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = stored(labelled.select("band", "node", "leader", "sketch", "component"), "labelled")
     mixed = labelled.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo != _hi").select("band")
-    open_rows = labelled.join(mixed, "band").filter("node != leader")
-    a, b = open_rows.select("band", F.col("node").alias("a"), F.col("component").alias("_ca"), F.col("sketch").alias("_sa")), open_rows.select(F.col("band").alias("_band"), F.col("node").alias("b"), F.col("component").alias("_cb"), F.col("sketch").alias("_sb"))
-    rest = a.join(b, (F.col("band") == F.col("_band")) & (F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & (_bits("_sa", "_sb") <= MOST_BITS))
-    more = stored(confirm(docs, nodes, rest.select("a", "b").distinct(), percent), "links")
+    open_rows = stored(labelled.join(mixed, "band").filter("node != leader").select("band", "node", "component", "sketch"), "open")
+    sets = sets_of(docs, nodes, open_rows.select("node"))
+    # What a set has alone bounds its similarity to any other: (n - own) / n, and less for what the other has alone.
+    open_rows = open_rows.join(own_shingles(sets), "node").filter(100 * (F.col("items_n") - F.col("own")) >= percent * F.col("items_n"))
+    open_rows = stored(open_rows, "open")
+    a, b = (open_rows.select(*[F.col(c).alias(f"{side}_{c}") for c in open_rows.columns]) for side in "ab")
+    shared = F.least(F.col("a_items_n") - F.col("a_own"), F.col("b_items_n") - F.col("b_own"))
+    either = F.greatest(F.col("a_items_n") + F.col("b_own"), F.col("b_items_n") + F.col("a_own"))
+    can = (100 * shared >= percent * either) & (_bits("a_sketch", "b_sketch") <= MOST_BITS)
+    rest = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & can)
+    rest = stored(rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "pairs")
+    more = stored(confirm(rest, sets, percent), "links")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more).toDF("src", "dst"))
 
