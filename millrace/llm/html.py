@@ -206,7 +206,8 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     per_host = seen.select("_host", "title").distinct().groupBy("_host").agg(F.count("*").alias("_titles"))
     counts = seen.select("_host", "title", F.explode("found").alias("subtree")).distinct().groupBy("_host", "subtree").agg(F.count("*").alias("n"))
     frequent = counts.filter(F.col("n") >= min_pages).join(per_host, "_host").filter(F.col("n") >= min_share * F.col("_titles"))
-    return frequent.groupBy("_host").agg(F.collect_set("subtree").alias("_templates"))
+    # Written, so that the pages' join sees a small table with a known size and no aggregate beside it.
+    return stored(frequent.groupBy("_host").agg(F.collect_set("subtree").alias("_templates")), "templates")
 
 
 def extract(pages: DataFrame, **how) -> DataFrame:
