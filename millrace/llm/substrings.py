@@ -222,7 +222,8 @@ def repeated_runs(keyed: DataFrame, length: int = LENGTH, seed: int = SEED, grou
     pieces = stored(_with_pieces(keyed, open_.select("trigger", "times", "d", "h", "start", "n"), length).join(sizes.select("trigger", "members"), "trigger"), "pieces")
     small, large = pieces.filter(F.col("members") <= group).drop("members"), pieces.filter(F.col("members") > group).drop("members")
     inside = small.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_ordered_matches(length), RUNS)
-    strings = _exploded(large, length)
+    # The phrases of a large group are dealt evenly before each gives its own strings.
+    strings = _exploded(large.repartition("d", "h", "start"), length)
     again = strings.groupBy("string").agg(F.count("*").alias("c")).filter("c > 1").select("string")
     spread = strings.filter("times = 1").join(again, "string").select("d", "h", "start", F.lit(1).alias("n"))
     return alike.unionByName(whole).unionByName(inside).unionByName(spread)
