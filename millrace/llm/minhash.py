@@ -46,7 +46,7 @@ _RNG = np.random.Generator(np.random.PCG64(77))
 _XOR = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 _ODD = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SIGNATURE = "doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>"
+SIGNATURE = "doc_id long, h long, n_shingles long, node binary, bands array<long>, sketch array<long>"
 
 
 def samples(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -86,17 +86,18 @@ def _lists(values: np.ndarray) -> pa.Array:
 def signatures(docs: DataFrame) -> DataFrame:
     def sign(batches):
         for batch in batches:
-            for row, data, offsets in shingles.slices(batch.column(1)):
+            for row, data, offsets in shingles.slices(batch.column(2)):
                 values, starts = shingles.shingle_sets(data, offsets, SHINGLE)
                 full = np.diff(starts) > 0
                 bands, sketch = np.zeros((len(full), BANDS), np.uint64), np.zeros((len(full), SKETCH_WORDS), np.uint64)
                 if full.any():
                     mins = samples(values, np.concatenate([starts[:-1][full], starts[-1:]]))
                     bands[full], sketch[full] = band_keys(mins), odd_sketches(mins)
-                columns = [batch.column(0).slice(row, len(full)), pa.array(np.diff(starts)), _binary(shingles.identities(values, starts)), _lists(bands), _lists(sketch)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "bands", "sketch"])
+                columns = [batch.column(0).slice(row, len(full)), batch.column(1).slice(row, len(full)), pa.array(np.diff(starts)), _binary(shingles.identities(values, starts)), _lists(bands), _lists(sketch)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n_shingles", "node", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, SIGNATURE)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("h"), text).mapInArrow(sign, SIGNATURE)
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -140,7 +141,7 @@ def _bits(x: str, y: str):
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each document."""
+    """``doc_id, h, n_shingles, component_id, kept`` of each document; h is the hash of its text."""
     signed = stored(signatures(docs), "signatures")
     nodes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = stored(nodes, "nodes")
@@ -180,13 +181,32 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = nodes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labels.groupBy("component").agg(F.min("rep").alias("component_id"))
     labels = labels.join(least, "component").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
+    out = signed.select("doc_id", "h", "n_shingles", "node").join(labels, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: one document of each group stays, as do texts without words."""
+    found = stored(groups(docs, percent).filter("kept"), "kept")
+    one = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min("h").alias("h")).withColumnRenamed("component_id", "doc_id")
+    empty = found.filter("n_shingles = 0").select("doc_id", "h").distinct()
+    keepers = stored(one.select("doc_id", "h").unionByName(empty), "keepers").withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_h"))
+    out = docs.join(keepers, same, "left_semi")
+    if found.filter("n_shingles > 0").groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
+        return out.select(*cols)
+    # A document that is there twice, text and all, would stay twice.
+    words = F.coalesce(F.regexp_like(F.col("text"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    key = F.struct(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")))
+    out = out.withColumns({"_words": words, "_key": key, "_row": F.monotonically_increasing_id()})
+    first = F.first(F.struct(*cols)).alias("_r")
+    return out.filter("_words").groupBy("_key").agg(first).select("_r.*").unionByName(out.filter("NOT _words").select(*cols))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents"))
+    return groups(table(spark, sf_dir, "documents")).drop("h")
 
 
 OP9_SQL = r"""
