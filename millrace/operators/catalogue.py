@@ -170,7 +170,7 @@ def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 def new_items(df: DataFrame, seen: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """First occurrences of keys that aren't in ``seen``."""
-    return latest(df.filter(F.col(key).isNotNull() & (F.col(key) != "")), [key], order).join(seen.select(key).distinct(), key, "left_anti")
+    return latest(df.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != "")), [key], order).join(seen.select(key).distinct(), key, "left_anti")
 
 
 def diff_listing(listing: DataFrame, base: DataFrame) -> DataFrame:
