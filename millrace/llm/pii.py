@@ -8,8 +8,8 @@ possessive repeats, and starts only where a run starts or the last match ended.
 
 Contextual extraction then looks for identifiers the fixed kinds miss.  A mention is a
 fixed span or any other word of 6 to 64 characters that has a digit; its pattern is
-what stands left of it: up to two words and a separator such as ``:`` or ``=``.  The seeds are the
-fixed spans' texts.  In each round, over the graph of distinct (pattern, instance) edges:
+what stands left of it: a word and a separator such as ``:`` or ``=``, or else two words.  The seeds are
+the fixed spans' texts.  In each round, over the graph of distinct (pattern, instance) edges:
 
 * a pattern's confidence is the share of its instances that are known; it is accepted with
   at least MIN_KNOWN known instances and MIN_CONFIDENCE;
@@ -48,7 +48,7 @@ PATTERNS = {
 NEEDED = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 _ID = r"\p{L}\p{N}_.%+@-"
 IDENTIFIER = rf"(?<![{_ID}])(?=[\p{{L}}_.%+@-]*+[0-9])[{_ID}]{{6,64}}+(?![{_ID}])"
-LEFT = r"((?:\p{L}+[\x20\t]+)?\p{L}+[\x20\t]*[:=#]?[\x20\t]*[\x22'(]?[\x20\t]*)$"
+LEFT = r"(\p{L}+[\x20\t]*[:=#][\x20\t]*[\x22'(]?[\x20\t]*|\p{L}+[\x20\t]+\p{L}+[\x20\t]+[\x22'(]?)$"
 
 SPANS = "array<struct<s:int,e:int,m:string>>"
 
