@@ -146,7 +146,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = stored(nodes, "nodes")
 
-    members = nodes.select("node", F.explode("bands").alias("band"))
+    members = nodes.select("node", F.posexplode("bands").alias("at", "band"))
     sizes = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(members.join(sizes, "band"), "members")
     popular = members.groupBy("node").agg(F.sum("n").alias("popularity")).join(nodes.select("node", "sketch"), "node")
@@ -161,19 +161,21 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     found = stored(connected_components(links.toDF("src", "dst")), "components")
     labelled = led.filter("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = stored(labelled.select("band", "node", "leader", "sketch", "component"), "labelled")
+    labelled = stored(labelled.select("at", "band", "node", "leader", "sketch", "component"), "labelled")
     mixed = labelled.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo != _hi").select("band")
-    open_rows = stored(labelled.join(mixed, "band").filter("node != leader").select("band", "node", "component", "sketch"), "open")
+    open_rows = stored(labelled.join(mixed, "band").filter("node != leader").select("at", "band", "node", "component", "sketch"), "open")
     sets = sets_of(docs, nodes, open_rows.select("node"))
     # What a set has alone bounds its similarity to any other: (n - own) / n, and less for what the other has alone.
     open_rows = open_rows.join(own_shingles(sets), "node").filter(100 * (F.col("items_n") - F.col("own")) >= percent * F.col("items_n"))
-    open_rows = stored(open_rows, "open")
+    open_rows = stored(open_rows.join(nodes.select("node", "bands"), "node"), "open")
+    # A pair is looked at in the first band that it shares, not in each.
+    first = F.array_position(F.zip_with("a_bands", "b_bands", lambda x, y: x == y), True) == F.col("a_at") + 1
     a, b = (open_rows.select(*[F.col(c).alias(f"{side}_{c}") for c in open_rows.columns]) for side in "ab")
     shared = F.least(F.col("a_items_n") - F.col("a_own"), F.col("b_items_n") - F.col("b_own"))
     either = F.greatest(F.col("a_items_n") + F.col("b_own"), F.col("b_items_n") + F.col("a_own"))
     can = (100 * shared >= percent * either) & (_bits("a_sketch", "b_sketch") <= MOST_BITS)
-    rest = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & can)
-    rest = stored(rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "pairs")
+    rest = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & can & first)
+    rest = stored(rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "pairs")
     more = stored(confirm(rest, sets, percent), "links")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more).toDF("src", "dst"))
