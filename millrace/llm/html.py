@@ -86,6 +86,7 @@ def _boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> str:
 def parse(source: str, hashed: bool = True) -> Page:
     page = Page()
     # Open elements: tag, element number, why left out, in article, in main, first part.
+    # Parts are tags, marked by a NUL, texts, and digests of closed blocks.
     stack: list[tuple[str, int, str, bool, bool, int]] = [("", -1, "", False, False, 0)]
     parts: list[str] = []
     buffer: list[str] = []
@@ -104,10 +105,10 @@ def parse(source: str, hashed: bool = True) -> Page:
             if stack[-1][0] in BLOCK:
                 flush()
             tag, element, why, _, _, first = stack.pop()
-            if hashed and not why and tag in BLOCK and tag not in ("html", "body"):
-                inside = "\x1f".join(parts[first:])
+            if hashed and not why and tag in BLOCK and tag not in ("html", "body", "article", "main"):
+                inside, said = "\x1f".join(parts[first:]), any(x[:1] != "\0" and x.strip() for x in parts[first:])
                 del parts[first:]  # the parent's hash is taken over its children's
-                if inside.strip("\x1f<>/abcdefghijklmnopqrstuvwxyz0123456789 \n\t"):
+                if said:
                     digest = hashlib.blake2b(inside.encode("utf-8", "surrogatepass"), digest_size=8).digest()
                     page.hashes[element] = int.from_bytes(digest, "little", signed=True)
                     parts.append("#" + digest.hex())
@@ -163,7 +164,7 @@ def parse(source: str, hashed: bool = True) -> Page:
         page.parents.append(parent)
         page.hashes.append(0)
         if not why:
-            parts.append(f"<{tag}>")
+            parts.append(f"\0{tag}")
         stack.append((tag, len(page.parents) - 1, why, in_article or tag == "article", in_main or tag == "main" or attributes.get("role") == "main", len(parts)))
     flush()
     close(1)
@@ -185,7 +186,7 @@ def main_text(page: Page, templates: frozenset[int] = frozenset()) -> str:
 
 def _with_host(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    return pages.withColumn("_host", host)
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host.alias("_host"))
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -224,7 +225,7 @@ def extract(pages: DataFrame, **how) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
     found = pages.join(templates(pages, **how), "_host", "left")
-    rows = found.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), "_templates")
+    rows = found.select("page_id", "url", "html", "_templates")
     return rows.mapInArrow(texts, "page_id long, url string, text string, n_chars long")
 
 
