@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import shingles
 from millrace.session import table
@@ -221,7 +222,8 @@ def fitted(docs: DataFrame) -> tuple[list[str], Model | None]:
 
 def predict(docs: DataFrame, languages: list[str], model: Model | None, *keep: str) -> DataFrame:
     """``keep`` columns of ``docs``, ``lang_pred`` and ``score``."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*[F.col(f"`{k}`") for k in keep]).dtypes)
+    schema = docs.select(*[F.col(f"`{k}`") for k in keep]).schema
+    schema = T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     lettered = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
 
     def label(batches):
@@ -239,7 +241,7 @@ def predict(docs: DataFrame, languages: list[str], model: Model | None, *keep: s
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], pa.array(pred, pa.string()), pa.array(score)], names=[*part.schema.names[:n_keep], "lang_pred", "score"])
 
     rows = docs.select(*[F.col(f"`{k}`") for k in keep], F.col("text").cast("string").alias("_text"), lettered.alias("_lettered"))
-    return rows.mapInArrow(label, schema + ", lang_pred string, score double")
+    return rows.mapInArrow(label, schema)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -247,7 +249,9 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     languages, model = fitted(docs)
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return predict(docs, languages, model, *docs.columns).filter("lang_pred != 'und'").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The rows travel as one column, so that no name of theirs can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return predict(rows, languages, model, "row").filter("lang_pred != 'und'").select("row.*")
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

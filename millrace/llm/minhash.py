@@ -141,7 +141,9 @@ def _bits(x: str, y: str):
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, h, n_shingles, component_id, kept`` of each document; h is the hash of its text."""
+    """``doc_id, h, group, n_shingles, component_id, kept`` of each document.
+
+    h is the hash of its text; the group is the component's own key, also where doc_ids repeat."""
     signed = stored(signatures(docs), "signatures")
     nodes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = stored(nodes, "nodes")
@@ -182,33 +184,31 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     labels = nodes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labels.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = labels.join(least, "component").select("node", "component_id")
+    labels = labels.join(least, "component").select("node", "component_id", F.col("component").alias("group"))
     out = signed.select("doc_id", "h", "n_shingles", "node").join(labels, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "h", "group", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: one document of each group stays, as do texts without words."""
     found = stored(groups(docs, percent).filter("kept"), "kept")
-    one = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min("h").alias("h")).withColumnRenamed("component_id", "doc_id")
+    one = found.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct("doc_id", "h")).alias("one")).select("one.*")
     empty = found.filter("n_shingles = 0").select("doc_id", "h").distinct()
     keepers = stored(one.select("doc_id", "h").unionByName(empty), "keepers").withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_h"))
-    out = docs.join(keepers, same, "left_semi")
+    # The rows travel as one column, so that no name of theirs can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    out = rows.join(keepers, F.col("id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")), "left_semi")
     if found.filter("n_shingles > 0").groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
-        return out.select(*cols)
+        return out.select("row.*")
     # A document that is there twice, text and all, would stay twice.
-    words = F.coalesce(F.regexp_like(F.col("text"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    key = F.struct(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")))
-    out = out.withColumns({"_words": words, "_key": key, "_row": F.monotonically_increasing_id()})
-    first = F.first(F.struct(*cols)).alias("_r")
-    return out.filter("_words").groupBy("_key").agg(first).select("_r.*").unionByName(out.filter("NOT _words").select(*cols))
+    words = F.coalesce(F.regexp_like(F.col("row.text"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    once = out.filter(words).groupBy("id", "h").agg(F.first("row").alias("row")).select("row.*")
+    return once.unionByName(out.filter(~words).select("row.*"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents")).drop("h")
+    return groups(table(spark, sf_dir, "documents")).drop("h", "group")
 
 
 OP9_SQL = r"""

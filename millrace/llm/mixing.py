@@ -85,11 +85,13 @@ def expand(docs: DataFrame, **how) -> DataFrame:
     key = F.xxhash64(*[F.col(f"`{c}`") for c in cols])
     drawn = with_copies(measured(docs, key.alias("_row")), **how)
     drawn = drawn.groupBy("doc_id", "_row").agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
-    drawn = drawn.withColumnRenamed("doc_id", "_doc")
-    one = Window.partitionBy("doc_id", "_row").orderBy(F.lit(1))
-    rows = docs.withColumn("_row", key).join(drawn, "_row").filter(F.col("doc_id").eqNullSafe(F.col("_doc")))
-    rows = rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
-    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in cols])
+    drawn = drawn.withColumnsRenamed({"doc_id": "_doc", "_row": "_key"})
+    one = Window.partitionBy("id", "key").orderBy(F.lit(1))
+    # The rows travel as one column, so that no name of theirs can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col("doc_id").alias("id"), key.alias("key"))
+    rows = rows.join(drawn, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_doc")))
+    rows = rows.withColumn("n", F.row_number().over(one)).filter("n = 1")
+    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,15 +148,18 @@ def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets and ``n_chars`` counted anew."""
     rows = stored(scanned(docs), "scanned")
     extra = extra_spans(rows).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
-    df = base_spans(docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))), "_text")
+    # The rows travel as one column, so that no name of theirs can clash.
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    df = base_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), text.alias("_text")), "_text")
     df = df.join(extra, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("_text") == F.col("_hash")), "left")
     df = df.withColumn("spans", F.when(F.col("extra").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "extra"))))
     names = ", ".join(f"'[{k.upper()}]'" for k in (*KINDS, "id"))
     # A span that starts inside the one before is covered by it as far as that goes.
     step = f"named_struct('p', greatest(a.p, x.e), 't', CASE WHEN x.s >= a.p THEN concat(a.t, substring(_text, a.p + 1, x.s - a.p), array({names})[x.k]) ELSE a.t END)"
-    masked = F.expr(f"CASE WHEN size(spans) > 0 THEN aggregate(spans, named_struct('p', 0, 't', ''), (a, x) -> {step}, a -> concat(a.t, substring(_text, a.p + 1))) ELSE text END")
-    cols = {"text": masked} | ({"n_chars": F.coalesce(F.length(masked), F.lit(0)).cast("long")} if "n_chars" in docs.columns else {})
-    return df.withColumns(cols).select(*[F.col(f"`{c}`") for c in docs.columns])
+    masked = F.expr(f"CASE WHEN size(spans) > 0 THEN aggregate(spans, named_struct('p', 0, 't', ''), (a, x) -> {step}, a -> concat(a.t, substring(_text, a.p + 1))) ELSE row.text END")
+    changed = {"text": "masked", "n_chars": "n_masked"}
+    df = df.withColumn("masked", masked).withColumn("n_masked", F.coalesce(F.length("masked"), F.lit(0)).cast("long"))
+    return df.select(*[(F.col(changed[c]) if c in changed else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
