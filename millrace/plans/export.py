@@ -91,3 +91,36 @@ def copy_files(planned: DataFrame, destination: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"written": done}, schema=pa.schema([("written", pa.string())]))
 
     return planned.select("path", "folder", "name", "ext", "caption").mapInArrow(copy, "written string")
+
+
+def write_tars(planned: DataFrame, destination: str) -> DataFrame:
+    """One tar per folder and shard, its members image, ``.txt`` and ``.json`` sharing a stem.
+
+    A shard has a bounded number of samples; only paths, captions and audit texts are shuffled,
+    bytes are read where the tar is written, under a temporary name first."""
+
+    def write(pdf):
+        import io
+        import tarfile
+        import uuid
+
+        import pandas as pd
+        import pyarrow.fs as fs
+
+        target, root = fs.FileSystem.from_uri(destination)
+        folder = f"{root}/{pdf['folder'].iloc[0]}".rstrip("/")
+        target.create_dir(folder)
+        path = f"{folder}/{pdf['shard'].iloc[0]}"
+        temporary = f"{path}.{uuid.uuid4().hex}"
+        with target.open_output_stream(temporary) as out, tarfile.open(fileobj=out, mode="w|") as tar:
+            for row in pdf.sort_values("path").itertuples():
+                source, where = fs.FileSystem.from_uri(row.path)
+                for ext, data in ((row.ext, source.open_input_stream(where).read()), (".txt", (row.caption or "").encode()), (".json", (row.audit or "{}").encode())):
+                    info = tarfile.TarInfo(row.name + ext)
+                    info.size = len(data)
+                    tar.addfile(info, io.BytesIO(data))
+        target.move(temporary, path)
+        return pd.DataFrame({"written": [path], "n": [len(pdf)]})
+
+    rows = planned.select("path", "folder", "shard", "name", "ext", "caption", "audit")
+    return rows.groupBy("folder", "shard").applyInPandas(write, "written string, n long")

@@ -71,3 +71,21 @@ def score_stream(stream: DataFrame, scorer, schema: str, path: str, checkpoint:
         batch.mapInPandas(scorer, schema).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def stream_crossings(counts: DataFrame, threshold: int) -> DataFrame:
+    """Rows ``hook, tick, n`` of a stream whose count reaches the threshold from below.
+
+    The state of a hook is its last count; hooks don't disturb each other."""
+
+    def fire(key, frames, state):
+        last = state.get[0] if state.exists else -1
+        out = []
+        for row in (r for f in frames for r in f.sort_values("tick").itertuples()):
+            if last < threshold <= row.n:
+                out.append((key[0], row.tick, row.n))
+            last = int(row.n)
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["hook", "tick", "n"])
+
+    return counts.groupBy("hook").applyInPandasWithState(fire, "hook string, tick long, n long", "last long", "append", "NoTimeout")
