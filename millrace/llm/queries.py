@@ -16,4 +16,4 @@ QUERIES = {
     "op9_minhash": minhash.op9_minhash,
     "op10_sstable": sstable.op10_sstable,
 }
-SQL = {"op1_mixing": mixing.OP1_SQL, "op2_imatch": imatch.OP2_SQL, "op4_vectors": vectors.OP4_SQL, "op9_minhash": minhash.OP9_SQL}
+SQL = {"op1_mixing": mixing.OP1_SQL, "op2_imatch": imatch.OP2_SQL, "op3_substrings": substrings.OP3_SQL, "op4_vectors": vectors.OP4_SQL, "op9_minhash": minhash.OP9_SQL}

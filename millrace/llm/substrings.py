@@ -264,3 +264,18 @@ def removed(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, n, i, md5(b[i + 1 : i + 200]) AS h FROM (SELECT doc_id, n, b, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+r AS (SELECT doc_id, n, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+m AS (SELECT doc_id, i, CASE WHEN i <= 200 + lag(i) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM m) GROUP BY doc_id, g),
+k AS (SELECT doc_id, z AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), NULL) AS z FROM s UNION ALL SELECT doc_id, 0, min(a) FROM s GROUP BY doc_id),
+t AS (SELECT k.doc_id, string_agg(hex(d.b[k.a + 1 : coalesce(k.z, d.n)]), '' ORDER BY k.a) AS x FROM k JOIN d ON d.doc_id = k.doc_id WHERE coalesce(k.z, d.n) > k.a GROUP BY k.doc_id),
+c AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.n_spans, 0) AS n_spans,
+  CASE WHEN c.doc_id IS NULL THEN sha256(d.b) ELSE sha256(unhex(coalesce(t.x, ''))) END AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
