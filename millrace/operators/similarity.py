@@ -27,40 +27,57 @@ def hex_hash(text: Column) -> Column:
     return F.when(text.rlike("^[0-9a-fA-F]{16}$"), F.conv(text, 16, -10).cast("long"))
 
 
-def near_hash_pairs(df: DataFrame, key: str, value: str, threshold: int = 10) -> DataFrame:
-    """``a, b, distance``: pairs of keys (a < b) whose 64-bit values differ in at most ``threshold`` bits.
+def _close_values(distinct: DataFrame, threshold: int) -> DataFrame:
+    """``v, w``: distinct 64-bit values (v < w) that differ in at most ``threshold`` bits.
 
     Multi-index hashing: with distance t over four bands of 16 bits some band differs in
     at most t // 4 bits, so one side is probed with all such variants of each band and meets the
-    other in an equality join.  Equal values are grouped first; a group's copies are linked to
-    its least key's value, not to each other, until the end."""
+    other in an equality join.  From 16 on the variants outnumber the gain."""
+    close = F.bit_count(F.col("v").bitwiseXOR(F.col("w"))) <= threshold
+    if threshold >= 16:
+        return distinct.join(distinct.withColumnRenamed("v", "w"), (F.col("v") < F.col("w")) & close)
+    masks = [sum(1 << i for i in bits) for r in range(threshold // BANDS + 1) for bits in combinations(range(BAND_BITS), r)]
+    bands = F.posexplode(F.array(*[F.shiftrightunsigned("v", BAND_BITS * i).bitwiseAND(F.lit(0xFFFF).cast("long")).cast("int") for i in range(BANDS)]))
+    banded = distinct.select("v", bands.alias("band", "part"))
+    probes = banded.withColumn("_m", F.explode(F.array(*map(F.lit, masks)))).select(F.col("v").alias("w"), "band", F.col("part").bitwiseXOR(F.col("_m")).alias("part"))
+    return banded.join(probes, ["band", "part"]).filter((F.col("v") < F.col("w")) & close).select("v", "w").distinct()
+
+
+def near_hash_pairs(df: DataFrame, key: str, value: str, threshold: int = 10) -> DataFrame:
+    """``a, b, distance``: all pairs of keys (a < b) whose 64-bit values differ in at most ``threshold`` bits.
+
+    The list itself grows with the square of a group of copies; ``near_hash_groups`` doesn't."""
     if threshold < 0:
         return df.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance")).limit(0)
     rows = df.filter(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
-    distinct = rows.select("v").distinct()
-    if threshold < 16:
-        radius = threshold // BANDS
-        masks = [sum(1 << i for i in bits) for r in range(radius + 1) for bits in combinations(range(BAND_BITS), r)]
-        bands = F.posexplode(F.array(*[F.shiftrightunsigned("v", BAND_BITS * i).bitwiseAND(F.lit(0xFFFF).cast("long")).cast("int") for i in range(BANDS)]))
-        banded = distinct.select("v", bands.alias("band", "part"))
-        probes = banded.withColumn("_m", F.explode(F.array(*map(F.lit, masks)))).select(F.col("v").alias("w"), "band", F.col("part").bitwiseXOR(F.col("_m")).alias("part"))
-        close = F.bit_count(F.col("v").bitwiseXOR(F.col("w")))
-        pairs = banded.join(probes, ["band", "part"]).filter((F.col("v") < F.col("w")) & (close <= threshold)).select("v", "w").distinct()
-    else:
-        other = distinct.withColumnRenamed("v", "w")
-        pairs = distinct.join(other, (F.col("v") < F.col("w")) & (F.bit_count(F.col("v").bitwiseXOR(F.col("w"))) <= threshold))
+    pairs = _close_values(rows.select("v").distinct(), threshold)
     left, right = rows.withColumnsRenamed({"k": "ka", "v": "va"}), rows.withColumnsRenamed({"k": "kb", "v": "vb"})
     across = pairs.join(left, F.col("v") == F.col("va")).join(right, F.col("w") == F.col("vb")).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.bit_count(F.col("v").bitwiseXOR(F.col("w"))).alias("distance"))
     same = left.join(right, (F.col("va") == F.col("vb")) & (F.col("ka") < F.col("kb"))).select(F.col("ka").alias("a"), F.col("kb").alias("b"), F.lit(0).alias("distance"))
     return across.unionByName(same)
 
 
+def near_hash_groups(df: DataFrame, key: str, value: str, threshold: int = 10) -> DataFrame:
+    """``key, component``: the least key that near hashes lead to; null hashes stand alone.
+
+    Copies are one value, however many there are, and join their value's component at the end."""
+    rows = df.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
+    found = connected_components(_close_values(rows.filter("_v IS NOT NULL").select(F.col("_v").alias("v")).distinct(), max(0, threshold)).toDF("src", "dst"))
+    values = rows.filter("_v IS NOT NULL").groupBy("_v").agg(F.min("_k").alias("_least"))
+    values = values.join(found, F.col("_v") == F.col("node"), "left").withColumn("component", F.coalesce("component", "_v"))
+    least = values.groupBy("component").agg(F.min("_least").alias("_first"))
+    labels = values.join(least, "component").select(F.col("_v").alias("_value"), "_first")
+    out = rows.join(labels, F.col("_v") == F.col("_value"), "left")
+    return out.select(F.col("_k").alias(key), F.coalesce("_first", "_k").alias("component"))
+
+
 def near_vector_pairs(df: DataFrame, key: str, vector: str, threshold: float = 0.92) -> DataFrame:
     """``a, b, cosine``: pairs of keys (a < b) at or above the threshold; vectors of one length only.
 
     Vectors are normalised once and packed into blocks; a row of blocks meets another in one
     matrix product.  Every block is sent to the block rows it takes part in, so a task holds
-    two blocks at a time."""
+    two blocks at a time.  This is exact and quadratic, for up to some millions of vectors; beyond
+    that, sorted projection passes find the near pairs of large sets."""
     rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
     blocks = max(1, int(np.ceil(rows.count() / BLOCK)))
     dealt = rows.withColumn("_b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))

@@ -165,6 +165,7 @@ def signatures(spark, sf_dir: str) -> DataFrame:
 
 
 query("d2_near_hash_pairs", f"WITH {_SIG} SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.s, b.s)) AS INT) AS distance FROM sig a JOIN sig b ON a.vec_id < b.vec_id AND bit_count(xor(a.s, b.s)) <= 15")(lambda spark, d: similarity.near_hash_pairs(signatures(spark, d), "vec_id", "s", 15))
+query("d3_near_hash_groups", f"WITH RECURSIVE {_SIG}, l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sig a JOIN sig b ON a.vec_id <> b.vec_id AND bit_count(xor(a.s, b.s)) <= 15), c AS (SELECT vec_id AS a, vec_id AS b FROM sig UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b) SELECT a AS vec_id, min(b) AS component FROM c GROUP BY a")(lambda spark, d: similarity.near_hash_groups(signatures(spark, d), "vec_id", "s", 15))
 _LINKS = "n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), l AS (SELECT a.vec_id AS a, b.vec_id AS b, least(greatest(list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))), -1), 1) AS cosine FROM n a JOIN n b ON a.vec_id < b.vec_id AND list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.4)"
 _COMP = "c AS (SELECT vec_id AS a, vec_id AS b FROM n UNION SELECT c.a, CASE WHEN l.a = c.b THEN l.b ELSE l.a END FROM c JOIN l ON l.a = c.b OR l.b = c.b), g AS (SELECT a AS vec_id, min(b) AS component FROM c GROUP BY a)"
 query("d4_near_vector_pairs", f"WITH {_LINKS} SELECT a, b, cosine FROM l")(lambda spark, d: similarity.near_vector_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.4))
