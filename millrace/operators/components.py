@@ -23,7 +23,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("_least").alias("dst"))
     else:
         out = joined.select(F.col("dst").alias("src"), F.col("_least").alias("dst")).unionByName(least.select(F.col("_at").alias("src"), F.col("_least").alias("dst")))
-    return out.filter(F.col("src") != F.col("dst")).distinct()
+    return out.filter(F.col("src") != F.col("dst"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if found == before or not found[0]:
             break
         before = found
-        now = stored(_star(_star(now, large=True), large=False), "edges")
+        now = stored(_star(_star(now, large=True), large=False).distinct(), "edges")
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("component"))).distinct()
