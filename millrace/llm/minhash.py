@@ -179,10 +179,13 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rest = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & can & first)
     rest = stored(rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "pairs")
     more = stored(confirm(rest, sets, percent), "links")
-    if not more.isEmpty():
-        found = connected_components(links.unionByName(more).toDF("src", "dst"))
-
     labels = nodes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if not more.isEmpty():
+        # The later links join whole components: only those are walked again.
+        of = stored(labels.select("node", "component"), "labels")
+        bridges = more.join(of.withColumnsRenamed({"node": "a", "component": "src"}), "a").join(of.withColumnsRenamed({"node": "b", "component": "dst"}), "b")
+        joined = connected_components(bridges.select("src", "dst")).withColumnsRenamed({"node": "_old", "component": "_new"})
+        labels = labels.join(joined, F.col("component") == F.col("_old"), "left").withColumn("component", F.coalesce("_new", "component")).drop("_old", "_new")
     least = labels.groupBy("component").agg(F.min("rep").alias("component_id"))
     labels = labels.join(least, "component").select("node", "component_id", F.col("component").alias("group"))
     out = signed.select("doc_id", "h", "n_shingles", "node").join(labels, "node", "left")
