@@ -280,6 +280,29 @@ def test_vectors_equal_brute_force(spark):
     assert got == {i: (len(links.get(i, ())), component[i], component[i] == i) for i, _ in rows}
 
 
+def test_dense_groups_keep_all_links(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (np.ones(64) + rng.standard_normal(64) * [1e-6, 1e-3][i % 2]).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for how in ({}, {"exact": 100, "bucket": 100, "block": 400}):
+        got = vectors.links_and_components(df, **how)
+        assert got.groupBy("n_links", "component_id").count().collect() == [(2999, 0, 3000)]
+
+
+def test_passes_follow_from_the_number_of_nodes(spark):
+    assert vectors.plan(vectors.EXACT) == (1, 0)
+    for n in (10**5, 10**6, 10**8):
+        passes, signs = vectors.plan(n)
+        assert (1 - (1 - np.arccos(0.9) / np.pi) ** signs) ** passes <= vectors.MISS and n / 2**signs <= vectors.BUCKET
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(1500):  # pairs at cosine 0.9
+        x, y = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        rows += [(2 * i, x.tolist()), (2 * i + 1, (0.9001 * x + (1 - 0.9001**2) ** 0.5 * y).tolist())]
+    got = vectors.links_and_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), exact=100, bucket=50, block=40)
+    assert got.filter("n_links != 1 OR component_id != vec_id - vec_id % 2").count() <= 6
+
+
 # ---- languages ----
 
 
