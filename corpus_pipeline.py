@@ -1,7 +1,7 @@
 """Documents to training sequences: five stages, each over all that the one before kept.
 
 language ID drops documents without a letter; MinHash leaves one document of each group of
-near-duplicates; PII masks personal data; mixing draws documents to the sources' target
+near-duplicates (similarity NEAR_PERCENT or more); PII masks personal data; mixing draws documents to the sources' target
 weights, some twice; packing lays the token pieces out in sequences.
 """
 
@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm import langid, minhash, mixing, packing, pii
 from millrace.session import stored, table
 
+#: Contracts of single queries, as op9's 85, don't bind the stage.
+NEAR_PERCENT = 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@
    every two documents of a bucket are in one component, compared, or too different.
 
 At similarity 0.85 a pair shares no band with probability 4e-7. Its sketches differ in 87
-bits on average with a deviation of 12.5, and so in over MOST_BITS with probability 3e-7.
+bits on average with a deviation of 12.5, and so in over MOST_BITS with probability 3e-7.  For another similarity ``most_bits`` lies as many
+deviations above the mean; at 0.80 a pair shares no band with probability 3e-5.
 
 Defined cases: null or wordless text has an empty set, is linked with nothing and kept; a text
 of one to four words is one shingle; repeated rows are copies; a null doc_id counts as the
@@ -26,6 +27,8 @@ largest; an empty table gives no rows; other columns pass through ``keep_one``.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +45,16 @@ SKETCH_WORDS = 16
 MOST_BITS = 150
 PERCENT = 85
 
+
+def most_bits(percent: int) -> int:
+    """Bits in which sketches may differ at a similarity of ``percent``: MOST_BITS for PERCENT, in step with mean and deviation else."""
+
+    def mean(p: int) -> float:
+        return 32 * SKETCH_WORDS * (1 - math.exp(-4 * SAMPLES * (1 - p / 100) / (64 * SKETCH_WORDS)))
+
+    return math.ceil(mean(percent) + (MOST_BITS - mean(PERCENT)) * math.sqrt(mean(percent) / mean(PERCENT)))
+
+
 _RNG = np.random.Generator(np.random.PCG64(77))
 _XOR = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 _ODD = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,7 +114,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, items) of the nodes in ``wanted (node, rep)``, from the text of a document that has the set."""
+    """(node, items) of the nodes in ``wanted (node, of)``, from the text of a document ``of (h, doc_id)`` that has the set."""
 
     def sets(batches):
         for batch in batches:
@@ -112,7 +125,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 asked = batch.column(0).slice(row, len(found)).cast(pa.binary())
                 yield found.filter(pa.compute.equal(asked, found.column(0)))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(wanted, "rep").select("node", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_h"), F.col("text").cast("string"))
+    texts = texts.join(wanted, F.col("_doc").eqNullSafe(F.col("of.doc_id")) & (F.col("_h") == F.col("of.h"))).select("node", "text")
     return texts.mapInArrow(sets, "node binary, items array<long>").dropDuplicates(["node"])
 
 
@@ -126,7 +140,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
 
 def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, items`` for the nodes in ``wanted (node)``, written once."""
-    return stored(_full_sets(docs, nodes.select("node", "rep").join(wanted.distinct(), "node", "left_semi")), "sets")
+    return stored(_full_sets(docs, nodes.select("node", "of").join(wanted.distinct(), "node", "left_semi")), "sets")
 
 
 def own_shingles(sets: DataFrame) -> DataFrame:
@@ -144,8 +158,9 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, h, group, n_shingles, component_id, kept`` of each document.
 
     h is the hash of its text; the group is the component's own key, also where doc_ids repeat."""
+    bits = most_bits(percent)
     signed = stored(signatures(docs), "signatures")
-    nodes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct("h", "doc_id")).alias("of"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = stored(nodes, "nodes")
 
     members = nodes.select("node", F.posexplode("bands").alias("at", "band"))
@@ -156,7 +171,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     leaders = members.groupBy("band").agg(F.max(F.struct("popularity", "node", "sketch")).alias("_top"))
     leaders = leaders.select("band", F.col("_top.node").alias("leader"), F.col("_top.sketch").alias("leader_sketch"))
     led = members.join(leaders, "band")
-    pairs = led.filter(F.col("node") != F.col("leader")).filter(_bits("sketch", "leader_sketch") <= MOST_BITS)
+    pairs = led.filter(F.col("node") != F.col("leader")).filter(_bits("sketch", "leader_sketch") <= bits)
     pairs = stored(pairs.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     links = stored(confirm(pairs, sets_of(docs, nodes, ends), percent), "links")
@@ -175,7 +190,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     a, b = (open_rows.select(*[F.col(c).alias(f"{side}_{c}") for c in open_rows.columns]) for side in "ab")
     shared = F.least(F.col("a_items_n") - F.col("a_own"), F.col("b_items_n") - F.col("b_own"))
     either = F.greatest(F.col("a_items_n") + F.col("b_own"), F.col("b_items_n") + F.col("a_own"))
-    can = (100 * shared >= percent * either) & (_bits("a_sketch", "b_sketch") <= MOST_BITS)
+    can = (100 * shared >= percent * either) & (_bits("a_sketch", "b_sketch") <= bits)
     rest = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & can & first)
     rest = stored(rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "pairs")
     more = stored(confirm(rest, sets, percent), "links")

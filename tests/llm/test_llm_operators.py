@@ -214,6 +214,18 @@ def test_keep_one(spark, odd):
     assert minhash.keep_one(odd.limit(0)).count() == 0
 
 
+def test_the_pipeline_drops_near_copies_from_80_percent(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(40):  # one changed word leaves 45 of 55 shingles
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(54)]
+        rows += [(2 * i if i < 30 else None, " ".join(w)), (2 * i + 1 if i < 20 else None, " ".join([*w[:27], "new", *w[28:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert corpus_pipeline.drop_near_duplicates(spark, df, "").count() == 40
+    assert minhash.keep_one(df).count() == 80
+    assert minhash.most_bits(85) == minhash.MOST_BITS and 178 <= minhash.most_bits(80) <= 190
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 1200, dtype=np.uint64)
