@@ -46,7 +46,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     def pieces(batches):
-        tok, end = PieceTokenizer.of(tokenizer), np.uint32(end_id).tobytes()
+        tok, end = PieceTokenizer.of(tokenizer, specials=True), np.uint32(end_id).tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):

@@ -179,7 +179,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
 
         part = TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(f"{folder}/shards")
-        tok = PieceTokenizer.of(tokenizer)
+        tok = PieceTokenizer.of(tokenizer, specials=True)
         width = 2 if max(end_id, tok.library.get_vocab_size() - 1) < 1 << 16 else 4
         end = np.uint32(end_id).tobytes()
         shard, writer = 0, ShardWriter(width)

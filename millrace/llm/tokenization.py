@@ -39,19 +39,20 @@ class _Memo(dict):
 class PieceTokenizer:
     """``encode(text) -> uint32 ids``; one object per Python worker and vocabulary file."""
 
-    _made: dict[str, PieceTokenizer] = {}
+    _made: dict[tuple[str, bool], PieceTokenizer] = {}
 
     @classmethod
-    def of(cls, path: str) -> PieceTokenizer:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, specials: bool = False) -> PieceTokenizer:
+        """``specials``: strings of special tokens get those tokens' ids, as by the library's default; else they are text."""
+        if (path, specials) not in cls._made:
+            cls._made[path, specials] = cls(path, specials)
+        return cls._made[path, specials]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not specials
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -79,6 +80,7 @@ class PieceTokenizer:
             plain = not self.odd[np.frombuffer(text.encode("latin-1"), np.uint8)].any()
         except UnicodeEncodeError:
             plain = False
-        if not plain or any(s in text for s in self.special):
+        lowered = text.lower() if self.lower else text
+        if not plain or any(s in text or s in lowered for s in self.special):
             return np.array(self._by_library(text), np.uint32).tobytes()
-        return b"".join(map(self.memo.__getitem__, self.pieces(text.lower() if self.lower else text)))
+        return b"".join(map(self.memo.__getitem__, self.pieces(lowered)))

@@ -52,6 +52,18 @@ def test_piece_tokenizer_equals_the_library(texts, name):
         assert own.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_strings_get_the_ids_of_an_unmodified_library(spark, tmp_path, name):
+    library, path = Tokenizer.from_file(public_tokenizers.path(name)), public_tokenizers.path(name)
+    texts = ["a <|endoftext|> b", "<|startoftext|>x<|EndOfText|>", "plain"]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [tokenization.PieceTokenizer.of(path, specials=True).encode(t).tolist() for t in texts] == expected
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.length for r in packing.packed(df, path).collect()} == {i: len(e) + 1 for i, e in enumerate(expected)}
+    sstable.write_shards(df, path, f"file://{tmp_path}/t")
+    assert [sstable.lookup(spark, f"file://{tmp_path}/t", i)[0].tolist()[:-1] for i in range(3)] == expected
+
+
 def laid_out(rows):
     by = defaultdict(list)
     for r in rows:
