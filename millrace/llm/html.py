@@ -1,12 +1,13 @@
 """Main text of web pages, with site templates removed by counting element subtrees per host.
 
 1. Each page is parsed where it is read; the subtrees of its block elements are hashed
-   (tags and text).  One row per (host, subtree, page title) survives an aggregation, and so
-   edited copies of one article, which share their title, count once.
-2. A subtree that recurs under at least MIN_PAGES titles of a host, and at least MIN_SHARE of that
-   host's titles, is a template.  As each page has a bounded number of subtrees, a host has at
-   most (subtrees per page) / MIN_SHARE templates.
-3. Pages meet the templates of their host; those subtrees are deleted, as are elements
+   (tags and text).  One row per (host, subtree, page) survives an aggregation.  Pages with equal
+   title and heading (without a heading: longest block) count as one, and so edited copies of one article
+   count once, and a title that a whole site shares merges nothing.
+2. A subtree that recurs on at least MIN_PAGES of these pages of a host is a template, however
+   large the host is.
+3. Pages meet the templates of their host, or where a host has more than MOST_LISTED, those of them that
+   the page itself has; those subtrees are deleted, as are elements
    that are boilerplate by tag, role or class.  The text of ``article`` elements is taken, else of
    ``main``, else of what is left of the body.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from millrace.session import stored, table
 
 MIN_PAGES = 10
-MIN_SHARE = 0.2
+MOST_LISTED = 500
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
@@ -48,6 +49,7 @@ WORDS = frozenset("ad ads adv sidebar menu nav navbar footer modal overlay widge
 STARTS = ("advert", "sponsor", "promo", "cookie", "newsletter", "social", "breadcrumb", "navig", "popup", "comment", "sidebar", "adslot", "adbox")
 #: An ``article`` inside one of these is not the page's article.
 NOT_WRAPPERS = ("comment", "related", "recommend", "respond", "repl")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
@@ -56,6 +58,7 @@ class Page:
     """Blocks of text (text, element, in article, in main) and, for elements, parents and subtree hashes."""
 
     title: str = ""
+    heading: str = ""
     blocks: list[tuple[str, int, bool, bool]] = field(default_factory=list)
     parents: list[int] = field(default_factory=list)
     hashes: list[int] = field(default_factory=list)
@@ -98,6 +101,8 @@ def parse(source: str, hashed: bool = True) -> Page:
             buffer.clear()
             if text:
                 _, element, _, in_article, in_main, _ = stack[-1]
+                if not page.heading and any(x[0] in HEADINGS for x in stack[-3:]):
+                    page.heading = text
                 page.blocks.append((text, element, in_article, in_main))
 
     def close(depth: int) -> None:
@@ -189,31 +194,40 @@ def _with_host(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host.alias("_host"))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``_host, _templates``: the hashes of the subtrees that recur on each host."""
+PAGE = ["_host", "_k1", "_k2"]
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, most_listed: int = MOST_LISTED) -> tuple[DataFrame, DataFrame]:
+    """``_host, _templates``, the hashes of the subtrees that recur on each host, null where they are
+    too many, and ``_host, _k1, _k2, _own``, those that each page of such a host has."""
 
     def subtrees(batches):
         for batch in batches:
-            hosts, titles, found = [], [], []
-            for host, source in zip(batch.column(0), batch.column(1), strict=True):
+            titles, found = [], []
+            for source in batch.column(3):
                 page = parse(source.as_py() or "")
-                title = page.title or "\n".join(b[0] for b in page.blocks)
+                title = f"{page.title}\x1f{page.heading or max((b[0] for b in page.blocks), key=len, default='')}"
                 titles.append(int.from_bytes(hashlib.blake2b(title.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
-                hosts.append(host.as_py())
                 found.append(sorted({h for h in page.hashes if h}))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(titles, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["_host", "title", "found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(titles, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=[*PAGE, "title", "found"])
 
-    seen = stored(pages.select("_host", F.col("html").cast("string")).mapInArrow(subtrees, "_host string, title long, found array<long>"), "subtrees")
-    per_host = seen.select("_host", "title").distinct().groupBy("_host").agg(F.count("*").alias("_titles"))
+    seen = stored(pages.select(*PAGE, "html").mapInArrow(subtrees, "_host string, _k1 long, _k2 long, title long, found array<long>"), "subtrees")
     counts = seen.select("_host", "title", F.explode("found").alias("subtree")).distinct().groupBy("_host", "subtree").agg(F.count("*").alias("n"))
-    frequent = counts.filter(F.col("n") >= min_pages).join(per_host, "_host").filter(F.col("n") >= min_share * F.col("_titles"))
+    frequent = stored(counts.filter(F.col("n") >= min_pages).select("_host", "subtree"), "frequent")
+    sizes = frequent.groupBy("_host").agg(F.count("*").alias("_n"))
+    listed = frequent.join(sizes.filter(F.col("_n") <= most_listed), "_host", "left_semi").groupBy("_host").agg(F.collect_set("subtree").alias("_templates"))
+    many = sizes.filter(F.col("_n") > most_listed).select("_host")
     # Written, so that the pages' join sees a small table with a known size and no aggregate beside it.
-    return stored(frequent.groupBy("_host").agg(F.collect_set("subtree").alias("_templates")), "templates")
+    lists = stored(listed.unionByName(many.withColumn("_templates", F.lit(None).cast("array<long>"))), "templates")
+    wide = lists.filter("_templates IS NULL").select("_host")
+    of = seen.join(wide, "_host", "left_semi").select(*PAGE, F.explode("found").alias("subtree")).distinct()
+    return lists, of.join(frequent, ["_host", "subtree"], "left_semi").groupBy(*PAGE).agg(F.collect_set("subtree").alias("_own"))
 
 
 def extract(pages: DataFrame, **how) -> DataFrame:
     """``page_id, url, text, n_chars`` of each page."""
-    pages = _with_host(pages)
+    source = F.coalesce("html", F.lit(""))
+    pages = _with_host(pages).withColumns({"_k1": F.xxhash64(source), "_k2": F.xxhash64(F.lit(7), source)})
 
     def texts(batches):
         for batch in batches:
@@ -224,9 +238,13 @@ def extract(pages: DataFrame, **how) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    found = pages.join(templates(pages, **how), "_host", "left")
-    rows = found.select("page_id", "url", "html", "_templates")
-    return rows.mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    lists, own = templates(pages, **how)
+    wide = lists.filter("_templates IS NULL").select("_host")
+    rows = pages.join(lists, "_host", "left").select("page_id", "url", "html", "_templates", "_host")
+    if not wide.isEmpty():
+        of_wide = pages.join(wide, "_host", "left_semi").join(own, PAGE, "left").select("page_id", "url", "html", F.col("_own").alias("_templates"), "_host")
+        rows = rows.join(wide, "_host", "left_anti").unionByName(of_wide)
+    return rows.drop("_host").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

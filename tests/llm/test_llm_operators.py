@@ -384,6 +384,15 @@ def test_site_templates(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_templates_on_a_tenth_of_a_large_host_and_under_one_title(spark):
+    rows = [(i, "http://a.org/x", f"<title>t{i}</title><article><p>own {i}</p>{'<div><p>Join us</p></div>' if i % 10 == 0 else ''}</article>") for i in range(120)]
+    rows += [(200 + i, "http://b.org/", f"<title>Site</title><article><h1>head {i}</h1><p>text {i}</p><div><p>Join us</p></div></article>") for i in range(12)]
+    df = spark.createDataFrame([*rows, (300, None, None)], "page_id long, url string, html string")
+    for how in ({}, {"most_listed": 0}):
+        got = {r.page_id: r.text for r in html.extract(df, **how).collect()}
+        assert got == {i: f"own {i}" for i in range(120)} | {200 + i: f"head {i}\ntext {i}" for i in range(12)} | {300: ""}
+
+
 # ---- fingerprints ----
 
 
