@@ -64,11 +64,13 @@ class Page:
     hashes: list[int] = field(default_factory=list)
 
 
-def _words(attributes: dict[str, str]) -> list[str]:
+def _words(attributes: dict[str, str], in_article: bool) -> list[str]:
+    if in_article:  # ids and parts of class names are words of the article there
+        return attributes.get("class", "").lower().split()
     return re.split(r"[\s_-]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
 
 
-def _boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> str:
+def _boilerplate(tag: str, attributes: dict[str, str], in_article: bool, in_main: bool) -> str:
     """Why the element is left out, or an empty string."""
     if tag in NOT_TEXT or tag == "header" and not in_article:
         return "tag"
@@ -80,7 +82,9 @@ def _boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> str:
         return "hidden"
     if attributes.get("role", "").lower() in ROLES:
         return "role"
-    for w in _words(attributes):
+    if (in_article or in_main) and (tag in HEADINGS or tag not in BLOCK):
+        return ""
+    for w in _words(attributes, in_article):
         if w in WORDS or w.startswith(STARTS) or w == "header" and not in_article:
             return w
     return ""
@@ -156,7 +160,7 @@ def parse(source: str, hashed: bool = True) -> Page:
         raw_attributes = m[3] or m[6] or ""
         attributes = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(raw_attributes)} if raw_attributes.strip(" /") else {}
         _, parent, why, in_article, in_main, _ = stack[-1]
-        own = _boilerplate(tag, attributes, in_article)
+        own = _boilerplate(tag, attributes, in_article, in_main)
         if tag in ("article", "main") and why not in ("", "tag", "hidden", "role") and not own and not why.startswith(NOT_WRAPPERS):
             why = ""
         why = why or own

@@ -371,6 +371,7 @@ def test_languages_on_the_held_out_fold(spark, odd):
         ("text only &lt;b&gt;", "text only <b>"),
         ("<div>" * 3000 + "deep", "deep"),
         ("<main><ul><li>1<li>2</ul></main><nav>n", "1\n2"),
+        ('<article><h2 id="how-to-search">a</h2><section id="related-work"><p>b</section><h3 class="social-history">c</h3><p>d <span id="notice-period" class="notice">e</span></p><div class="article-share-price">f</div><div class="ad">no</div>', "a\nb\nc\nd e\nf"),
     ],
 )
 def test_main_text(page, text):
