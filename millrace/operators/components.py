@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import stored
+from millrace.session import remove, stored_at
 
 MOST_ROUNDS = 60
 
@@ -31,16 +31,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has columns ``src`` and ``dst`` of one orderable type, in any direction.
     Ends when a double step changes nothing: then each edge leads from a node to the least
-    node of its component.  Each round is written to the shared folder."""
+    node of its component.  Each round is written to the shared folder, and the round before it removed."""
     ordered = edges.filter(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    now = stored(ordered.distinct(), "edges")
-    before = None
+
+    def counted(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
+
+    now, path = stored_at(ordered.distinct(), "edges")
+    before = counted(now)
     for _ in range(MOST_ROUNDS):
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
-        if found == before or not found[0]:
+        if not before[0]:
+            break
+        old = path
+        now, path = stored_at(_star(_star(now, large=True), large=False).distinct(), "edges")
+        found = counted(now)
+        remove(edges.sparkSession, old)
+        if found == before:
             break
         before = found
-        now = stored(_star(_star(now, large=True), large=False).distinct(), "edges")
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("component"))).distinct()
