@@ -13,7 +13,8 @@ inside a source are equal.
 
 Defined cases: a null text has size 0; null sources form one source, the last; a source
 without words has target 0 and takes nothing; documents that are equal in size go by
-doc_id, null first; repeated rows are separate documents; an empty table gives no rows;
+doc_id, null first, then by the hash of their text and in ``expand`` of all their columns, and so reruns agree on ties;
+repeated rows are separate documents; an empty table gives no rows;
 further columns are ignored by the query and kept by ``expand``.
 """
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.ranking import with_global_rank
+from millrace.operators.ranking import with_global_rank
 from millrace.session import stored, table
 
 WEIGHTS = (3, 1, 2)
@@ -62,7 +63,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
 def with_copies(sizes: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """Add ``source_size, target, copies`` to a materialised frame that has ``source, size, doc_id``."""
     targets = source_targets(sizes, **how)
-    ranked = with_global_rank(sizes, [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_first()])
+    order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_first()]
+    ranked = with_global_rank(sizes, [*order, *[F.col(c).asc() for c in ("_text", "_row") if c in sizes.columns]])
     start = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit("")))), 1, 4), 16, 10).cast("double") / 65536
     joined = ranked.alias("r").join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     at = F.col("rank") - F.col("first_rank")
@@ -72,7 +74,7 @@ def with_copies(sizes: DataFrame, seed: str = SEED, **how) -> DataFrame:
 
 
 def measured(docs: DataFrame, *extra: Column) -> DataFrame:
-    return stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *extra), "sizes")
+    return stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"), *extra), "sizes")
 
 
 def expand(docs: DataFrame, **how) -> DataFrame:
