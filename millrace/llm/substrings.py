@@ -9,14 +9,17 @@ lies in exactly one: a string can only recur in phrases with the same trigger te
 1. Parse: per trigger text, count the phrases and see whether they all are equal.  Trigger texts that occur
    once, most of an ordinary corpus, end here.
 2. Phrases that occur more than once are repeated as a whole.
-3. The dictionary holds each distinct phrase of a trigger text that has several, once.  Its
-   LENGTH-byte suffix heads are put in order within their trigger text, and equal neighbours are
-   the repeated strings.  Trigger texts with at most GROUP phrases are ordered inside a
-   task, whole groups at a time; the strings of larger ones are dealt by their own hash, so that
+3. The dictionary holds each distinct phrase of a trigger text that has several, once.  A suffix array of it,
+   by prefix doubling on its bytes and up to LENGTH of them, puts its suffixes in order; neighbours that are equal so far are the
+   repeated strings, byte by byte.  Trigger texts with at most GROUP phrases are ordered inside a
+   task, whole groups at a time; the strings of larger ones are dealt by two 64-bit hashes of their own, so that
    a passage common to a third of all documents is spread.
-4. A document's repeated strings, as runs of start positions, meet its text again.
+4. The parse says where the phrases stand: a string's order in the corpus is that of its trigger text and then that of its
+   suffix of the dictionary.  Since every string lies inside one phrase, the phrases that follow it
+   never break a tie, and so the parse needs no suffix array of its own.  A document's repeated strings, as runs
+   of start positions, meet its text again.
 
-Equality is by 64-bit hashes of content.  Positions are bytes of UTF-8.
+Phrases are told apart by a 64-bit hash beside that of their trigger text.  Positions are bytes of UTF-8.
 
 Defined cases: null text counts as empty; texts under LENGTH bytes keep all bytes; repeated rows
 are documents of their own, so their strings are repeated; a null doc_id is a key
@@ -42,6 +45,9 @@ GROUP = 1024
 
 _BYTE = np.random.Generator(np.random.PCG64(99)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+#: Another order of the bytes, for hashes that know nothing of the first.
+_OTHER = np.random.Generator(np.random.PCG64(98)).permutation(256).astype(np.uint8)
+
 
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of the polynomial hash, and the inverse powers that make its parts comparable."""
@@ -84,12 +90,41 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: i
     return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
 
 
-def string_hashes(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, salt: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, index within its phrase) of the strings of each phrase; salt keeps trigger texts apart."""
-    sums, inverse = _sums(data)
+def string_places(offsets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start in the data, index within its phrase) of the strings of each phrase."""
     index = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.repeat(offsets[:-1], counts) + index
-    return mix(mix((sums[at + length] - sums[at]) * inverse[at]) + np.repeat(salt, counts)), index
+    return np.repeat(offsets[:-1], counts) + index, index
+
+
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    out = np.empty(len(keys), np.uint64)
+    out[order] = np.cumsum(np.concatenate([np.zeros(1, np.uint64), (sorted_[1:] != sorted_[:-1]).astype(np.uint64)]))
+    return out
+
+
+def suffix_ranks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of the suffixes that start ``at``, compared by their first ``length`` bytes: equal ranks are equal bytes.
+
+    Prefix doubling: eight bytes are a number; from there on a rank by twice as many bytes follows from two ranks.  ``length`` is 8 or more
+    and all those bytes lie in ``data``; what other suffixes find behind the end doesn't matter."""
+    key = np.concatenate([data, np.zeros(length, np.uint8)]).astype(np.uint64)
+    for width in (1, 2, 4):
+        key = (key[:-width] << np.uint64(8 * width)) | key[width:]
+    width = 8
+    rank = _ranks(key)
+    while 2 * width <= length:
+        rank = _ranks((rank[:-width] << np.uint64(32)) | rank[width:])
+        width *= 2
+    return _ranks((rank[at] << np.uint64(32)) | rank[at + length - width])
+
+
+def string_hashes(data: np.ndarray, at: np.ndarray, salt: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the strings that start ``at``; salt keeps trigger texts apart."""
+    sums, inverse = _sums(data)
+    return mix(mix((sums[at + length] - sums[at]) * inverse[at]) + salt)
 
 
 def runs_of(flags: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,10 +194,11 @@ def _ordered_matches(length: int):
         col = lambda c: t[c].chunk(0) if isinstance(t[c], pa.ChunkedArray) else t[c]
         data, offsets = _bytes_of(col("piece"))
         counts, times = col("n").to_numpy().astype(np.int64), col("times").to_numpy()
-        hashes, index = string_hashes(data, offsets, counts, mix(col("trigger").to_numpy().view(np.uint64)), length)
-        order = np.argsort(hashes, kind="stable")
-        equal = hashes[order[1:]] == hashes[order[:-1]]
-        flags = np.zeros(len(hashes), bool)
+        at, index = string_places(offsets, counts)
+        ranks = suffix_ranks(data, at, length)
+        order = np.argsort(ranks)
+        equal = ranks[order[1:]] == ranks[order[:-1]]
+        flags = np.zeros(len(ranks), bool)
         flags[order[1:][equal]] = True
         flags[order[:-1][equal]] = True
         row = np.repeat(np.arange(len(counts)), counts)
@@ -197,12 +233,14 @@ def _exploded(dictionary: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             data, offsets = _bytes_of(batch.column(6))
             counts = batch.column(5).to_numpy().astype(np.int64)
-            hashes, index = string_hashes(data, offsets, counts, mix(batch.column(0).to_numpy().view(np.uint64)), length)
+            at, index = string_places(offsets, counts)
             row = np.repeat(np.arange(len(counts)), counts)
+            salt = mix(batch.column(0).to_numpy().view(np.uint64))[row]
+            one, two = (string_hashes(d, at, salt, length) for d in (data, _OTHER[data]))
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(1).take(at), batch.column(2).take(at), batch.column(3).take(at), pa.array((batch.column(4).to_numpy()[row] + index).astype(np.int32))], names=["string", "times", "d", "h", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(1).take(at), batch.column(2).take(at), batch.column(3).take(at), pa.array((batch.column(4).to_numpy()[row] + index).astype(np.int32))], names=["string", "string2", "times", "d", "h", "start"])
 
-    return dictionary.mapInArrow(explode, "string long, times long, d long, h long, start int")
+    return dictionary.mapInArrow(explode, "string long, string2 long, times long, d long, h long, start int")
 
 
 def repeated_runs(keyed: DataFrame, length: int = LENGTH, seed: int = SEED, group: int = GROUP) -> DataFrame:
@@ -224,8 +262,8 @@ def repeated_runs(keyed: DataFrame, length: int = LENGTH, seed: int = SEED, grou
     inside = small.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_ordered_matches(length), RUNS)
     # The phrases of a large group are dealt evenly before each gives its own strings.
     strings = _exploded(large.repartition("d", "h", "start"), length)
-    again = strings.groupBy("string").agg(F.count("*").alias("c")).filter("c > 1").select("string")
-    spread = strings.filter("times = 1").join(again, "string").select("d", "h", "start", F.lit(1).alias("n"))
+    again = strings.groupBy("string", "string2").agg(F.count("*").alias("c")).filter("c > 1").select("string", "string2")
+    spread = strings.filter("times = 1").join(again, ["string", "string2"]).select("d", "h", "start", F.lit(1).alias("n"))
     return alike.unionByName(whole).unionByName(inside).unionByName(spread)
 
 
