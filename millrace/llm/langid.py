@@ -8,7 +8,7 @@ outputs are piecewise linear, which costs no accuracy and is fast in numpy.
 Training reads labelled documents outside the held-out fold only: per language, about
 SAMPLE_DOCS documents (by hash of doc_id) with up to SAMPLE_SEGMENTS of their segments, so
 what reaches the driver is bounded by ``languages * SAMPLE_DOCS * SAMPLE_SEGMENTS`` segments
-of 64 bytes, for at most MOST_LANGUAGES of the most frequent languages.
+of 64 bytes; with very many languages each gives fewer documents, MOST_SAMPLED in all, but none is left out.
 Prediction runs where the documents are read; only labels leave the tasks.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; so is every text if
@@ -30,10 +30,11 @@ from millrace.session import table
 
 SEGMENT = 64
 HIDDEN = 8
-SAMPLE_DOCS, SAMPLE_SEGMENTS, MOST_LANGUAGES = 300, 12, 64
+SAMPLE_DOCS, SAMPLE_SEGMENTS, MOST_SAMPLED, LEAST_SAMPLED = 300, 12, 100_000, 20
 STEPS, BATCH, RATE = 220, 384, 0.02
 BLOCK = 2048
 FOLDS = 5
+SURE = 0.9
 
 Model = dict[str, np.ndarray]
 
@@ -154,7 +155,7 @@ def train(rows: np.ndarray, sizes: np.ndarray, y: np.ndarray, languages: int, se
     first, second = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
     by = [np.flatnonzero(y == c) for c in range(languages)]
     for step in range(1, STEPS + 1):
-        pick = np.concatenate([rng.choice(i, max(1, BATCH // languages)) for i in by])
+        pick = np.concatenate([rng.choice(i, max(1, BATCH // languages)) for i in by if len(i)])
         valid = (np.arange(SEGMENT)[:, None] < sizes[pick]).astype(np.float32)
         _, g = loss_and_gradients(p, rows[pick].T, valid, y[pick])
         norm = np.sqrt(sum(float((w * w).sum()) for w in g.values()))
@@ -184,14 +185,17 @@ def pooled(p: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def training_segments(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """(languages, segment bytes, sizes, language numbers) of the bounded sample."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = labelled.groupBy("lang").count().orderBy("lang").collect()  # one row for each language
     none = np.zeros((0, SEGMENT), np.uint8)
     if not counts:
         return [], none, np.zeros(0, int), np.zeros(0, int)
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, SAMPLE_DOCS / r["count"]))])
+    # A few rows in a rare language must not all be drawn away, so that every language has some.
+    each = max(LEAST_SAMPLED, min(SAMPLE_DOCS, MOST_SAMPLED // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, _share double")
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.filter(draw < share[F.col("lang")]).select("lang", "text", F.xxhash64("doc_id").alias("seed"))
+    chosen = labelled.join(F.broadcast(shares), "lang").filter(draw < F.col("_share")).select("lang", "text", F.xxhash64("doc_id", "text").alias("seed"))
+    chosen = chosen.dropDuplicates(["lang", "seed"])  # a row that is there a million times is drawn once
 
     def cut(batches):
         for batch in batches:
@@ -245,13 +249,19 @@ def predict(docs: DataFrame, languages: list[str], model: Model | None, *keep: s
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is identified; the others have no letter at all."""
+    """The rows of ``docs`` whose language is identified; ``lang`` becomes the prediction where it is null or the score is SURE or more.
+
+    Rejected are texts without a letter, null and empty ones included.  Repeated rows stay or go together and get one
+    language; of equally likely languages the first by name counts; without anything to learn from, ``lang`` stays as it is;
+    an empty table gives no rows; further columns pass through, whatever their names."""
     languages, model = fitted(docs)
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     # The rows travel as one column, so that no name of theirs can clash.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return predict(rows, languages, model, "row").filter("lang_pred != 'und'").select("row.*")
+    found = predict(rows, languages, model, "row").filter("lang_pred != 'und'")
+    lang = F.when(F.col("row.lang").isNull() | (F.col("score") >= SURE), F.col("lang_pred")).otherwise(F.col("row.lang"))
+    return found.select(*[(lang if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
