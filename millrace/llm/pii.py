@@ -6,21 +6,27 @@ points, add up to the positions.  The expressions are written so that Java's mat
 neither recurses nor rescans a long run:
 possessive repeats, and starts only where a run starts or the last match ended.
 
-Contextual extraction then looks for identifiers the fixed kinds miss.  A mention is a
-fixed span or any other word of 6 to 64 characters that has a digit; its pattern is
-what stands left of it: a word and a separator such as ``:`` or ``=``, or else two words.  The seeds are
-the fixed spans' texts.  In each round, over the graph of distinct (pattern, instance) edges:
-
-* a pattern's confidence is the share of its instances that are known; it is accepted with
-  at least MIN_KNOWN known instances and MIN_CONFIDENCE;
-* an instance's score is ``1 - product(1 - confidence)`` over its accepted patterns; from MIN_SCORE
-  on it is known in the next round.
-
-Every mention of an instance that became known is a span of kind ``id``.
+Contextual extraction then looks for identifiers the fixed kinds miss.  A mention is a fixed span or any
+other word of LEAST_CHARS characters or more that has a digit.  Its patterns are what stands beside it: on the
+left a label (a word and a separator such as ``:`` or ``=``) or else two words, and on the right two words.
+The seeds are the fixed spans' texts and words in published credential formats (kind ``secret``);
+words that are plainly dates, versions, ordinals, quantities or short numbers are known to be other things.
+Over the graph of distinct (pattern, instance) edges, until a round finds nothing new:
+
+* of a pattern's n instances ``pos`` are known as personal and ``neg`` as other things.  A label's field holds one sort of
+  value, so unknown instances don't speak against it: its confidence is ``pos / (pos + neg + 1)``, and
+  ``pos / n * log2(pos)`` must reach LEAST_GAIN.  Between words of running text every unknown instance counts
+  against the pattern, and what remains is taken times RUNNING, so that one such pattern alone decides nothing.
+  Patterns need LEAST_KNOWN known instances and LEAST_CONFIDENCE (before the factor);
+* an instance's score is ``1 - product(1 - confidence)`` over its patterns; from LEAST_SCORE on it is known,
+  of the kind that makes up LEAST_SHARE of the known instances of its surest pattern, else of kind ``id``.
+
+Every mention of an instance that became known is a span of its kind.  A word in a credential format is one only
+if its contexts say so too.
 
 Defined cases: null text counts as empty; a match that fails its test is dropped and its
 characters are not tried again; spans of different kinds may overlap; repeated rows give equal
-results; an empty table gives no rows; further columns pass through ``mask``.
+results; of equally sure patterns the greatest by kind and text gives the kind; an empty table gives no rows; further columns pass through ``mask``.
 """
 
 from __future__ import annotations
@@ -31,11 +37,16 @@ from pyspark.sql import functions as F
 from millrace.session import stored, table
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_KNOWN = 5
-MIN_CONFIDENCE = 0.8
-MIN_SCORE = 0.8
-ROUNDS = 3
-CONTEXT_CHARS = 64
+ALL_KINDS = (*KINDS, "secret", "id")
+SECRET, ID = 4, 5
+UNKNOWN, OTHER = -1, -2
+LEAST_CHARS = 4
+LEAST_KNOWN = 5
+LEAST_CONFIDENCE = 0.8
+LEAST_GAIN = 0.8
+LEAST_SHARE = 0.8
+LEAST_SCORE = 0.8
+RUNNING = 0.6
 
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
@@ -46,21 +57,31 @@ PATTERNS = {
 }
 #: A text without this has no match of the kind.
 NEEDED = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
+# Credential formats (digests in hexadecimal, keys of public services, JSON web tokens), and words that are other things.
+CREDENTIAL = r"^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)$"
+ORDINARY = r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T.*)?|[vV]?[0-9]{1,4}(?:\.[0-9]{1,4}){0,3}|[0-9]{1,6}%?|[0-9]+(?:st|nd|rd|th)|[0-9.]+(?:[kmc]?m|k?g|[kKMGT]B|[kKMG]?Hz|px|ms|s|h))$"
+
 _ID = r"\p{L}\p{N}_.%+@-"
-IDENTIFIER = rf"(?<![{_ID}])(?=[\p{{L}}_.%+@-]*+[0-9])[{_ID}]{{6,64}}+(?![{_ID}])"
-LEFT = r"(\p{L}+[\x20\t]*[:=#][\x20\t]*[\x22'(]?[\x20\t]*|\p{L}+[\x20\t]+\p{L}+[\x20\t]+[\x22'(]?)$"
+IDENTIFIER = rf"(?<![{_ID}])(?=[\p{{L}}_.%+@-]*+[0-9])[{_ID}]{{{LEAST_CHARS - 1},}}[\p{{L}}\p{{N}}]"
+_NAME = r"[\p{L}\p{N}_-]"
+LEFT = rf"(?<!{_NAME})({_NAME}++[\x20\t]*+[:=#][\x20\t]*+[\x22'(]?+[\x20\t]*+|{_NAME}++[\x20\t]++{_NAME}++[\x20\t]++[\x22'(]?+)\z"
+RIGHT = r"\A[\x22')]?+[,.;]?+[\x20\t]++(\p{L}++[\x20\t]++\p{L}++)"
+LABEL = r"[:=#][\x20\t]*[\x22'(]?[\x20\t]*$"
 
-SPANS = "array<struct<s:int,e:int,m:string>>"
+SPANS = "array<struct<s:int,e:int,m:string%s>>"
 
 
 def _literal(regex: str) -> str:
     return "'" + regex.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _places(parts: str, found: str) -> Column:
-    """(start, end, match) from the parts between the matches and the matches."""
-    step = f"named_struct('p', a.p + length({parts}[i]) + length({found}[i]), 'o', concat(a.o, array(named_struct('s', a.p + length({parts}[i]), 'e', a.p + length({parts}[i]) + length({found}[i]), 'm', {found}[i]))))"
-    return F.expr(f"CASE WHEN size({found}) > 0 THEN aggregate(sequence(0, size({found}) - 1), named_struct('p', 0, 'o', CAST(array() AS {SPANS})), (a, i) -> {step}, a -> a.o) ELSE CAST(array() AS {SPANS}) END")
+def _places(parts: str, found: str, contexts: bool) -> Column:
+    """(start, end, match) from the parts between the matches and the matches; with ``contexts`` also what stands left and right."""
+    start = f"a.p + length({parts}[i])"
+    beside = f", 'left', regexp_extract({parts}[i], {_literal(LEFT)}, 1), 'right', regexp_extract({parts}[i + 1], {_literal(RIGHT)}, 1)" if contexts else ""
+    none = f"CAST(array() AS {SPANS % (',left:string,right:string' if contexts else '')})"
+    step = f"named_struct('p', {start} + length({found}[i]), 'o', concat(a.o, array(named_struct('s', {start}, 'e', {start} + length({found}[i]), 'm', {found}[i]{beside}))))"
+    return F.expr(f"CASE WHEN size({found}) > 0 THEN aggregate(sequence(0, size({found}) - 1), named_struct('p', 0, 'o', {none}), (a, i) -> {step}, a -> a.o) ELSE {none} END")
 
 
 def _luhn(match: str) -> str:
@@ -77,7 +98,7 @@ _TESTS = {
 }
 
 
-def _matches(df: DataFrame, text: str, names: dict[str, tuple[str, str]]) -> DataFrame:
+def _matches(df: DataFrame, text: str, names: dict[str, tuple[str, str]], contexts: bool = False) -> DataFrame:
     """Add an array of spans for each name: (expression, what a text needs to be looked at)."""
     look = {k: F.expr(f"{text} rlike {_literal(need)}") for k, (_, need) in names.items()}
     cols = {}
@@ -85,53 +106,85 @@ def _matches(df: DataFrame, text: str, names: dict[str, tuple[str, str]]) -> Dat
         cols[f"_p_{k}"] = F.when(look[k], F.split(F.col(text), regex, -1))
         cols[f"_f_{k}"] = F.when(look[k], F.expr(f"regexp_extract_all({text}, {_literal(regex)}, 0)"))
     df = df.withColumns(cols)
-    df = df.withColumns({f"_s_{k}": _places(f"_p_{k}", f"_f_{k}") for k in names})
+    df = df.withColumns({f"_s_{k}": _places(f"_p_{k}", f"_f_{k}", contexts) for k in names})
     return df.drop(*cols)
 
 
+def _fixed(extra: str = "") -> Column:
+    """The spans of the fixed kinds that pass their tests, by start and kind; k numbers the kinds."""
+    parts = [F.expr(f"transform(filter(_s_{k}, x -> {_TESTS[k]}), x -> named_struct('s', x.s, 'k', {n}, 'e', x.e, 'm', x.m{extra}))") for n, k in enumerate(KINDS)]
+    return F.array_sort(F.concat(*parts))
+
+
 def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``spans``: array of (s, k, e, m) of the fixed kinds, by start and kind; k numbers the kinds."""
     df = _matches(df, text, {k: (PATTERNS[k], NEEDED[k]) for k in KINDS})
-    parts = [F.expr(f"transform(filter(_s_{k}, x -> {_TESTS[k]}), x -> named_struct('s', x.s, 'k', {n}, 'e', x.e, 'm', x.m))") for n, k in enumerate(KINDS)]
-    return df.withColumn("spans", F.array_sort(F.concat(*parts))).drop(*[f"_s_{k}" for k in KINDS])
+    return df.withColumn("spans", _fixed()).drop(*[f"_s_{k}" for k in KINDS])
 
 
 def joined(spans: str) -> Column:
-    names = ", ".join(f"'{k}'" for k in (*KINDS, "id"))
+    names = ", ".join(f"'{k}'" for k in ALL_KINDS)
     return F.expr(f"array_join(transform({spans}, x -> concat(array({names})[x.k], ':', x.s, ':', x.e)), ',')")
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """Per row: ``doc_id, text_hash, spans, mentions``; a mention is (s, e, m, known, pattern)."""
+    """Per row: ``doc_id, text_hash, spans, mentions``; a mention is (s, e, m, k, left, right) with k a kind, UNKNOWN or OTHER."""
     df = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    df = base_spans(df)
-    df = _matches(df, "text", {"id": (IDENTIFIER, r"[0-9]")})
-    left = f"lower(regexp_replace(regexp_extract(substring(text, greatest(x.s - {CONTEXT_CHARS}, 0) + 1, least(x.s, {CONTEXT_CHARS})), {_literal(LEFT)}, 1), '[ \\\\t]+', ' '))"
-    fixed = F.expr(f"transform(spans, x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'known', true, 'pattern', {left}))")
-    other = F.expr(f"transform(filter(_s_id, y -> NOT exists(spans, b -> b.s < y.e AND y.s < b.e)), x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'known', false, 'pattern', {left}))")
-    return df.select("doc_id", F.xxhash64("text").alias("text_hash"), "spans", F.concat(fixed, other).alias("mentions"))
+    df = _matches(df, "text", {k: (PATTERNS[k], NEEDED[k]) for k in KINDS} | {"id": (IDENTIFIER, r"[0-9]")}, contexts=True)
+    df = df.withColumn("_spans", _fixed(", 'left', x.left, 'right', x.right"))
+    plain = lambda c: f"lower(regexp_replace({c}, '[ \\\\t]+', ' '))"
+    sides = f"'left', {plain('x.left')}, 'right', {plain('x.right')}"
+    sort = f"CASE WHEN x.m rlike {_literal(CREDENTIAL)} THEN {SECRET} WHEN x.m rlike {_literal(ORDINARY)} THEN {OTHER} ELSE {UNKNOWN} END"
+    fixed = F.expr(f"transform(_spans, x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'k', x.k, {sides}))")
+    other = F.expr(f"transform(filter(_s_id, y -> NOT exists(_spans, b -> b.s < y.e AND y.s < b.e)), x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'k', {sort}, {sides}))")
+    bare = F.expr("transform(_spans, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'm', x.m))")
+    return df.select("doc_id", F.xxhash64("text").alias("text_hash"), bare.alias("spans"), F.concat(fixed, other).alias("mentions"))
+
+
+def graph(mentions: DataFrame) -> DataFrame:
+    """``pattern, m, k``: the distinct edges of ``mentions (m, k, left, right)``; labels start with ``L``, words with ``W`` or ``R``."""
+    left = F.when(F.col("left") != "", F.concat(F.when(F.col("left").rlike(LABEL), "L ").otherwise("W "), "left"))
+    right = F.when(F.col("right") != "", F.concat(F.lit("R "), "right"))
+    both = mentions.select("m", "k", F.explode(F.array_compact(F.array(left, right))).alias("pattern"))
+    return both.groupBy("pattern", "m").agg(F.max("k").alias("k"))
+
+
+def confident(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """``pattern, confidence, kind`` of the patterns that may decide, for ``known (m, kind)``."""
+    marked = edges.join(known, "m", "left")
+    kinds = [F.count_if(F.col("kind") == k).alias(f"_k{k}") for k in range(len(ALL_KINDS))]
+    scores = marked.groupBy("pattern").agg(F.count("kind").alias("pos"), F.count_if((F.col("k") == OTHER) & F.col("kind").isNull()).alias("neg"), F.count("*").alias("n"), *kinds)
+    label = F.col("pattern").startswith("L")
+    sure = F.col("pos") / (F.when(label, F.col("pos") + F.col("neg")).otherwise(F.col("n")) + 1)
+    gain = ~label | (F.col("pos") / F.col("n") * F.log2("pos") >= LEAST_GAIN)
+    most = F.greatest(*[F.struct(F.col(f"_k{k}").alias("c"), F.lit(k).alias("kind")) for k in range(len(ALL_KINDS))])
+    kind = F.when(most["c"] >= LEAST_SHARE * F.col("pos"), most["kind"]).otherwise(ID)
+    scores = scores.filter((F.col("pos") >= LEAST_KNOWN) & (sure >= LEAST_CONFIDENCE) & gain)
+    return scores.select("pattern", (sure * F.when(label, 1.0).otherwise(RUNNING)).alias("confidence"), kind.alias("kind"))
 
 
 def discovered(mentions: DataFrame) -> DataFrame:
-    """Instances (column ``m``) that high-confidence patterns add to the known ones."""
-    edges = stored(mentions.filter("pattern != ''").groupBy("pattern", "m").agg(F.max("known").alias("seed")), "edges")
-    known = edges.filter("seed").select("m").distinct()
-    for _ in range(ROUNDS):
-        marked = edges.join(known.withColumn("_known", F.lit(1)), "m", "left")
-        scores = marked.groupBy("pattern").agg(F.count("_known").alias("known"), F.count("*").alias("n"))
-        accepted = scores.filter((F.col("known") >= MIN_KNOWN) & (F.col("known") >= MIN_CONFIDENCE * F.col("n")))
-        accepted = accepted.select("pattern", (F.col("known") / F.col("n")).alias("confidence"))
-        doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
-        found = edges.join(accepted, "pattern").groupBy("m").agg((1 - F.exp(doubt)).alias("score")).filter(F.col("score") >= MIN_SCORE)
-        known = stored(known.unionByName(found.select("m")).distinct(), "known")
-    return known.join(edges.filter("seed").select("m").distinct(), "m", "left_anti")
+    """``m, kind``: the instances that high-confidence patterns add to the fixed spans."""
+    edges = stored(graph(mentions), "edges")
+    seeds = edges.filter("k >= 0").groupBy("m").agg(F.max("k").alias("kind"))
+    found, n = seeds.limit(0), 0
+    while True:
+        known = seeds.unionByName(found.join(seeds, "m", "left_anti"))
+        by = edges.filter((F.col("k") < 0) | (F.col("k") == SECRET)).join(confident(edges, known), "pattern")
+        doubt = F.sum(F.log1p(-F.col("confidence")))
+        scores = by.groupBy("m").agg((1 - F.exp(doubt)).alias("score"), F.max(F.struct("confidence", "kind", "pattern")).alias("_by"))
+        found = stored(scores.filter(F.col("score") >= LEAST_SCORE).select("m", F.col("_by.kind").alias("kind")), "found")
+        now = found.count()
+        if now <= n:  # known instances only raise confidences, so a round without new ones is the last
+            return found
+        n = now
 
 
 def extra_spans(rows: DataFrame) -> DataFrame:
     """``doc_id, text_hash, extra``: the spans that contextual extraction adds to scanned rows."""
     mentions = rows.select("doc_id", "text_hash", F.explode("mentions").alias("x")).select("doc_id", "text_hash", "x.*")
-    new = mentions.filter("NOT known").join(discovered(mentions), "m", "left_semi")
-    span = F.struct("s", F.lit(len(KINDS)).alias("k"), "e", "m")
+    new = mentions.filter(~F.col("k").between(0, SECRET - 1)).join(discovered(mentions), "m")
+    span = F.struct("s", F.col("kind").alias("k"), "e", "m")
     return new.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(span)).alias("extra"))
 
 
@@ -153,7 +206,7 @@ def mask(docs: DataFrame) -> DataFrame:
     df = base_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), text.alias("_text")), "_text")
     df = df.join(extra, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("_text") == F.col("_hash")), "left")
     df = df.withColumn("spans", F.when(F.col("extra").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "extra"))))
-    names = ", ".join(f"'[{k.upper()}]'" for k in (*KINDS, "id"))
+    names = ", ".join(f"'[{k.upper()}]'" for k in ALL_KINDS)
     # A span that starts inside the one before is covered by it as far as that goes.
     step = f"named_struct('p', greatest(a.p, x.e), 't', CASE WHEN x.s >= a.p THEN concat(a.t, substring(_text, a.p + 1, x.s - a.p), array({names})[x.k]) ELSE a.t END)"
     masked = F.expr(f"CASE WHEN size(spans) > 0 THEN aggregate(spans, named_struct('p', 0, 't', ''), (a, x) -> {step}, a -> concat(a.t, substring(_text, a.p + 1))) ELSE row.text END")
