@@ -11,7 +11,8 @@
    A pair whose sketches differ in more than MOST_BITS bits is dropped; other pairs are
    confirmed on the full sets.
 4. Components of the links follow.  Where a bucket still holds several
-   components, members of different components are compared with each other as well.
+   components, members of different components are compared with each other as well; the members of a large
+   bucket are dealt into blocks, and each two blocks meet under a key of their own.
    An exact bound goes first: shingles that no other member of these buckets has can't be
    shared, and a heavily edited copy has too many of them to be linked with anything.  So
    every two documents of a bucket are in one component, compared, or too different.
@@ -44,6 +45,7 @@ SAMPLES = 320
 SKETCH_WORDS = 16
 MOST_BITS = 150
 PERCENT = 85
+BLOCK = 1000
 
 
 def most_bits(percent: int) -> int:
@@ -154,7 +156,18 @@ def _bits(x: str, y: str):
     return sum(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH_WORDS))
 
 
-def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def in_blocks(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join of ``rows (band, node, ...)`` inside bands, as ``a_...`` and ``b_...`` with the key ``_band, _i, _j``.
+
+    Every two members of a band meet under one key, which brings together two blocks of about ``block`` rows."""
+    large = rows.groupBy("band").agg(F.count("*").alias("_n")).filter(F.col("_n") > 2 * block).select("band", F.ceil(F.col("_n") / block).alias("_blocks"))
+    dealt = rows.join(large, "band", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_blocks"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    keys = {"a": {"_part": "_i", "_other": "_j"}, "b": {"_part": "_j", "_other": "_i"}}
+    return tuple(dealt.select(F.col("band").alias("_band"), *[F.col(c).alias(n) for c, n in keys[side].items()], *[F.col(c).alias(f"{side}_{c}") for c in rows.columns]) for side in "ab")
+
+
+def groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """``doc_id, h, group, n_shingles, component_id, kept`` of each document.
 
     h is the hash of its text; the group is the component's own key, also where doc_ids repeat."""
@@ -187,11 +200,11 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     open_rows = stored(open_rows.join(nodes.select("node", "bands"), "node"), "open")
     # A pair is looked at in the first band that it shares, not in each.
     first = F.array_position(F.zip_with("a_bands", "b_bands", lambda x, y: x == y), True) == F.col("a_at") + 1
-    a, b = (open_rows.select(*[F.col(c).alias(f"{side}_{c}") for c in open_rows.columns]) for side in "ab")
+    a, b = in_blocks(open_rows, block)
     shared = F.least(F.col("a_items_n") - F.col("a_own"), F.col("b_items_n") - F.col("b_own"))
     either = F.greatest(F.col("a_items_n") + F.col("b_own"), F.col("b_items_n") + F.col("a_own"))
     can = (100 * shared >= percent * either) & (_bits("a_sketch", "b_sketch") <= bits)
-    rest = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & can & first)
+    rest = a.join(b, ["_band", "_i", "_j"]).filter((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & can & first)
     rest = stored(rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "pairs")
     more = stored(confirm(rest, sets, percent), "links")
     labels = nodes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -221,7 +234,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return out.select("row.*")
     # A document that is there twice, text and all, would stay twice.
     words = F.coalesce(F.regexp_like(F.col("row.text"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    once = out.filter(words).groupBy("id", "h").agg(F.first("row").alias("row")).select("row.*")
+    once = out.filter(words).groupBy("id", "h").agg(F.min("row").alias("row")).select("row.*")
     return once.unionByName(out.filter(~words).select("row.*"))
 
 
