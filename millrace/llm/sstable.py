@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.tokenization import PieceTokenizer
-from millrace.session import shared_dir, table
+from millrace.session import qualified, shared_dir, table
 
 END_ID = 1
 BLOCK_BYTES = 64 << 10
@@ -46,7 +46,7 @@ SHARD_BYTES = 16 << 20
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 MAGIC = b"MRSSTAB1"
 FOOTER = struct.Struct("<6Q2I8s")
-MANIFEST = "file string, part long, shard long, n_docs long, n_ids long, bytes long"
+MANIFEST = "file string, part long, shard long, n_docs long, n_ids long, bytes long, first_id long, last_id long"
 ENTRIES = "file string, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
@@ -156,19 +156,26 @@ class Shard:
 
 
 def lookup(spark: SparkSession, folder: str, doc_id: int | None) -> list[np.ndarray]:
-    """Ids of one document in a written folder; only the shards whose Bloom filter allows it are searched."""
+    """Ids of one document in a written folder.
+
+    The manifest's first and last doc_ids leave the shards that can have it; of those only footer, index and Bloom filter are read,
+    and the blocks that the search leads to."""
 
     def search(batches):
+        fs, root = pafs.FileSystem.from_uri(f"{folder}/shards")
         for batch in batches:
-            for content in batch.column(0):
-                raw = content.as_buffer()
-                shard = Shard(lambda at, n, raw=raw: raw[at : at + n].to_pybytes(), raw.size)
-                yield pa.RecordBatch.from_pydict({"ids": [x.astype(np.int64).tolist() for x in shard.lookup(doc_id)]}, schema=pa.schema([("ids", pa.list_(pa.int64()))]))
+            for name in batch.column(0).to_pylist():
+                with fs.open_input_file(f"{root}/{name}") as f:
+                    shard = Shard(lambda at, n, f=f: f.read_at(n, at), f.size())
+                    found = [x.astype(np.int64).tolist() for x in shard.lookup(doc_id)]
+                yield pa.RecordBatch.from_pydict({"ids": found}, schema=pa.schema([("ids", pa.list_(pa.int64()))]))
 
-    names = spark.read.parquet(f"{folder}/manifest").select(F.concat(F.lit(folder + "/shards/"), "file").alias("path"))
-    files = spark.read.format("binaryFile").load(f"{folder}/shards")
-    files = files.join(names.withColumnRenamed("path", "_p"), F.element_at(F.split("path", "/"), -1) == F.element_at(F.split("_p", "/"), -1), "left_semi")
-    return [np.array(r[0]) for r in files.select("content").mapInArrow(search, "ids array<long>").collect()]
+    shards = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    if doc_id is None:  # null comes first
+        shards = shards.filter("first_id IS NULL")
+    else:
+        shards = shards.filter((F.col("first_id").isNull() | (F.col("first_id") <= doc_id)) & (F.col("last_id") >= doc_id))
+    return [np.array(r[0]) for r in shards.select("file").mapInArrow(search, "ids array<long>").collect()]
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -191,9 +198,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
             with fs.open_output_stream(temporary) as f:
                 f.write(data)
             fs.move(temporary, f"{root}/{name}")
-            row = {"file": [name], "part": [part], "shard": [shard], "n_docs": [len(writer.keys)], "n_ids": [writer.n_ids], "bytes": [len(data)]}
+            row = (name, part, shard, len(writer.keys), writer.n_ids, len(data), from_key(writer.keys[0]), from_key(writer.keys[-1]))
             shard, writer = shard + 1, ShardWriter(width)
-            return pa.RecordBatch.from_pydict(row)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.string()] + [pa.int64()] * 7, strict=True)], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -206,8 +213,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     fs, root = pafs.FileSystem.from_uri(f"{folder}/shards")
     fs.create_dir(root)
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Equal rows are told apart by a number, so that many of them don't meet in one task; their order among themselves doesn't show.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("_tie").asc()]
+    ranged = slim.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
     ranged.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -242,8 +250,6 @@ def with_starts(entries: DataFrame, manifest: DataFrame) -> DataFrame:
 def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    folder = f"{shared_dir(spark)}/sstable-{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = "file://" + folder
+    folder = f"{qualified(spark, shared_dir(spark))}/sstable-{uuid.uuid4().hex}"
     manifest = write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
     return with_starts(read_shards(spark, folder), manifest)
