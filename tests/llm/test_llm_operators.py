@@ -170,12 +170,65 @@ def test_fixed_spans_equal_python(spark):
 
 def test_contexts_find_unseen_identifiers(spark, odd):
     rows = [(i, f"see mail: u{i}@ex.org for more of case no 12 words") for i in range(30)] + [(100, "send mail: agent47x today"), (101, "plain room 47xx9912 words")]
+    rows += [(200 + i, f"key = {hashlib.sha1(b'%d' % i).hexdigest()}") for i in range(8)] + [(210, "key = hunter2x"), (211, "commit " + hashlib.sha1(b"z").hexdigest())]
     got = {r.doc_id: r.spans for r in pii.with_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.joined("all_spans").alias("spans")).collect()}
-    assert got[100] == "id:11:19" and got[101] == "" and got[3] == "email:10:19"
+    assert got[100] == "email:11:19" and got[101] == "" and got[3] == "email:10:19"
+    assert got[200] == "secret:6:46" and got[210] == "secret:6:14" and got[211] == ""
     assert pii.mask(odd).columns == odd.columns and pii.mask(odd).count() == len(ODD)
     assert pii.with_spans(odd.limit(0)).count() == 0
 
 
+def test_a_field_with_a_third_of_known_values_gives_the_others(spark):
+    long = "Q7" + "x" * 300
+    rows = [(i, f"contact token: u{i}@ex.org") for i in range(10)] + [(100 + i, f"contact token: AB{i}X{i * 7}Q") for i in range(19)] + [(150, f"contact token: {long}")]
+    rows += [(200 + i, f"built on date: 2024-01-{10 + i}") for i in range(9)] + [(300 + i, f"part: {'u%d@ex.org' % i if i < 5 else 'item%d' % i}") for i in range(300)]
+    got = {r.doc_id: r.n for r in pii.with_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.size("all_spans").alias("n")).collect()}
+    assert all(got[i] == 1 for i, _ in rows if i < 200) and all(got[i] == 0 for i, _ in rows if 200 <= i < 300 or i >= 305)
+
+
+def found_by_python(edges):
+    """The graph's scoring, over {(pattern, m): k}."""
+    by, seeds, found = defaultdict(list), {}, {}
+    for (p, m), k in edges.items():
+        by[p].append((m, k))
+        if k >= 0:
+            seeds[m] = max(k, seeds.get(m, -1))
+    while True:
+        known, sure = {**found, **seeds}, {}
+        for p, members in by.items():
+            kinds = [known[m] for m, _ in members if m in known]
+            pos, neg, n, label = len(kinds), sum(k == pii.OTHER and m not in known for m, k in members), len(members), p[0] == "L"
+            confidence = pos / ((pos + neg if label else n) + 1)
+            if pos >= pii.LEAST_KNOWN and confidence >= pii.LEAST_CONFIDENCE and (not label or pos / n * np.log2(pos) >= pii.LEAST_GAIN):
+                most, kind = max((kinds.count(k), k) for k in range(len(pii.ALL_KINDS)))
+                sure[p] = (confidence * (1 if label else pii.RUNNING), kind if most >= pii.LEAST_SHARE * pos else pii.ID)
+        doubt, best = defaultdict(lambda: 1.0), {}
+        for (p, m), k in edges.items():
+            if p in sure and (k < 0 or k == pii.SECRET):
+                doubt[m] *= 1 - sure[p][0]
+                best[m] = max(best.get(m, (0, 0, "")), (*sure[p], p))
+        new = {m: best[m][1] for m in doubt if 1 - doubt[m] >= pii.LEAST_SCORE}
+        if len(new) <= len(found):
+            return new
+        found = new
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_scoring_equals_python(spark, seed):
+    rnd = random.Random(seed)
+    words, sorts = ["red", "sea", "go"], {}
+    rows = []
+    for _ in range(900):
+        m = f"v{rnd.randrange(120)}"
+        k = sorts.setdefault(m, rnd.choice([0, 0, 1, 3, 4, -1, -1, -2]))
+        label = {0: "mail: ", 1: "host = ", 3: "call: ", 4: "key: "}.get(k, "no: ") if rnd.random() < 0.8 else rnd.choice(["mail: ", "key: ", "id# "])
+        rows.append((m, k, label if rnd.random() < 0.6 else f"{rnd.choice(words)} {rnd.choice(words)} ", f"{rnd.choice(words)} {'x' if k < 0 else 'y'}"))
+    df = spark.createDataFrame(rows, "m string, k int, left string, right string")
+    edges = {(r.pattern, r.m): r.k for r in pii.graph(df).collect()}
+    got = {r.m: r.kind for r in pii.discovered(df).collect()}
+    assert got and got == found_by_python(edges)
+
+
 # ---- near-duplicates ----
 
 
@@ -217,6 +270,14 @@ def test_minhash_equals_brute_force(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.groups(df).collect()) == expected
 
 
+def test_buckets_in_blocks_bring_every_two_together(spark):
+    rows = [(b, i) for b, n in ((1, 50), (2, 9), (3, 1)) for i in range(n)]
+    a, b = minhash.in_blocks(spark.createDataFrame(rows, "band long, node long"), 4)
+    got = sorted((r.a_band, r.a_node, r.b_node) for r in a.join(b, ["_band", "_i", "_j"]).filter("a_node < b_node").collect())
+    assert got == sorted((band, i, j) for band, i in rows for other, j in rows if band == other and i < j)
+    assert a.groupBy("_band", "_i", "_j").count().agg(F.max("count")).first()[0] < 15
+
+
 def test_keep_one(spark, odd):
     kept = minhash.keep_one(odd)
     assert kept.columns == odd.columns
@@ -313,6 +374,13 @@ def test_dense_groups_keep_all_links(spark):
         assert got.groupBy("n_links", "component_id").count().collect() == [(2999, 0, 3000)]
 
 
+def test_vectors_of_empty_and_wide_tables(spark):
+    wide = "vec_id long, embedding array<double>, node long, key long, part long, h1 long, n_links string"
+    assert vectors.links_and_components(spark.createDataFrame([], wide)).count() == 0
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1, 2, 3, 4, "x"), (1, [1.0, 0.0], 1, 2, 3, 4, "x"), (None, [2.0, 0.1], 1, 2, 3, 4, "y")], wide)
+    assert sorted(((r.vec_id or 0), r.n_links, r.component_id, r.kept) for r in vectors.links_and_components(df).collect()) == [(0, 2, 1, False), (1, 2, 1, True), (1, 2, 1, True)]
+
+
 def test_passes_follow_from_the_number_of_nodes(spark):
     assert vectors.plan(vectors.EXACT) == (1, 0)
     for n in (10**5, 10**6, 10**8):
@@ -344,6 +412,47 @@ def test_gradients_by_differences():
         assert abs(slope - g[k][i]) < 1e-3 * max(1, abs(g[k][i]))
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, " ".join([chr(0x4E00 + 40 * (i % 80) + i // 80 % 5) * 8] * 3), f"l{i % 80:02}") for i in range(800)] + [(7, "same text", "l07")] * 50
+    languages, parts, sizes, y = langid.training_segments(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert languages == [f"l{k:02}" for k in range(80)] and set(y.tolist()) == set(range(80)) and len(parts) <= 2 * 800 * 4 / 5 + 60
+
+
+def sigmoid_free_forward(p, data):
+    """Position probabilities of one segment, number by number."""
+    H = langid.HIDDEN
+    clip = lambda v, lo, hi: min(max(v, lo), hi)
+    states = {}
+    for side, order in (("f", range(len(data))), ("b", range(len(data) - 1, -1, -1))):
+        h = [0.0] * H
+        for t in order:
+            ux = [float(p["wx" + side][k][data[t]]) for k in range(3 * H)]
+            uh = [sum(float(p["u" + side][k][j]) * h[j] for j in range(H)) for k in range(3 * H)]
+            z = [clip(ux[k] + uh[k], 0, 1) for k in range(H)]
+            r = [clip(ux[H + k] + uh[H + k], 0, 1) for k in range(H)]
+            new = [clip(ux[2 * H + k] + r[k] * uh[2 * H + k], -1, 1) for k in range(H)]
+            h = [z[k] * h[k] + (1 - z[k]) * new[k] for k in range(H)]
+            states[side, t] = h
+    out = []
+    for t in range(len(data)):
+        s = states["f", t] + states["b", t]
+        e = np.exp([sum(float(w) * x for w, x in zip(row, s, strict=True)) + float(c) for row, c in zip(p["v"], p["c"], strict=True)])
+        out.append(e / e.sum())
+    return out
+
+
+def test_pooled_equals_a_scalar_network():
+    p = langid.start_model(3, np.random.default_rng(1))
+    texts = [b"x", "kurz und gr\u00fcn".encode() * 12, bytes(range(97, 123)) * 5]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = langid.pooled(p, data, offsets)
+    for row, raw in zip(got, texts, strict=True):
+        # A segment is read to its full width; what lies behind the text's end is zeros for the backward direction.
+        parts = [raw[a : a + langid.SEGMENT] for a in range(0, len(raw), langid.SEGMENT)]
+        probs = [q for part in parts for q in sigmoid_free_forward(p, part + bytes(langid.SEGMENT - len(part)))[: len(part)]]
+        assert np.allclose(row, np.mean(probs, axis=0), atol=1e-4)
+
+
 def test_languages_on_the_held_out_fold(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     languages, model = langid.fitted(docs)
@@ -371,6 +480,8 @@ def test_languages_on_the_held_out_fold(spark, odd):
         ("text only &lt;b&gt;", "text only <b>"),
         ("<div>" * 3000 + "deep", "deep"),
         ("<main><ul><li>1<li>2</ul></main><nav>n", "1\n2"),
+        ('<main><p>the long story that is told here</p><article>teaser</article></main>', "the long story that is told here\nteaser"),
+        ('<article><div class="commentary">a</div><div id="promoter-profile">b</div><p class="share price">c</p><div class="comments">no</div></article>', "a\nb\nc"),
         ('<article><h2 id="how-to-search">a</h2><section id="related-work"><p>b</section><h3 class="social-history">c</h3><p>d <span id="notice-period" class="notice">e</span></p><div class="article-share-price">f</div><div class="ad">no</div>', "a\nb\nc\nd e\nf"),
     ],
 )
@@ -389,11 +500,39 @@ def test_templates_on_a_tenth_of_a_large_host_and_under_one_title(spark):
     rows = [(i, "http://a.org/x", f"<title>t{i}</title><article><p>own {i}</p>{'<div><p>Join us</p></div>' if i % 10 == 0 else ''}</article>") for i in range(120)]
     rows += [(200 + i, "http://b.org/", f"<title>Site</title><article><h1>head {i}</h1><p>text {i}</p><div><p>Join us</p></div></article>") for i in range(12)]
     df = spark.createDataFrame([*rows, (300, None, None)], "page_id long, url string, html string")
-    for how in ({}, {"most_listed": 0}):
+    for how in ({}, {"most_listed": 0}, {"most_broadcast": 0}):
         got = {r.page_id: r.text for r in html.extract(df, **how).collect()}
         assert got == {i: f"own {i}" for i in range(120)} | {200 + i: f"head {i}\ntext {i}" for i in range(12)} | {300: ""}
 
 
+def test_templates_equal_a_count_in_python(spark):
+    rnd = random.Random(8)
+    line = "A line that an author likes."
+    rows = []
+    for i in range(160):
+        host = "big.org" if i < 100 else f"h{i % 12}.org"
+        links = "".join(f"<li><a href=/{rnd.random()}>{rnd.choice('abc')}{i}</a></li>" for _ in range(rnd.randint(2, 5)))
+        box = f"<div><div>Call {i} now</div></div>" if i % 4 else ""  # no tag or class tells it
+        body = f"<h1>head {i}</h1><p>own {i}</p>" + (f"<p>{line}</p>" if i % 3 else "")
+        rows.append((i, f"http://{host}/{i}", f"<title>t{i}</title><body><div><ul>{links}</ul></div>{box}" + (f"<article>{body}{box}</article>" if i % 2 else f"<div>{body}</div>")))
+    pages, seen = defaultdict(set), defaultdict(set)
+    for i, url, source in rows:
+        host, page = url.split("/")[2], html.parse(source)
+        pages[host].add(i)
+        for h in {*page.hashes, *page.shapes} - {0}:
+            seen[host, h].add(i)
+    keep = defaultdict(set)
+    for (host, h), at in seen.items():
+        if len(at) >= min(10, max(3, -(-len(pages[host]) // 2))):
+            keep[host].add(h)
+    expected = {i: html.main_text(html.parse(source), frozenset(keep[url.split("/")[2]])) for i, url, source in rows}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == expected
+    assert expected[1] == f"head 1\nown 1\n{line}" and "Call" not in expected[98] and expected[99] == "head 99\nown 99"
+    odd = spark.createDataFrame([(1, "http://a.org", "<p>x", "h", [1])] * 2 + [(None, None, None, None, None), (2, "", "y " * 600_000, "", [])], "page_id long, url string, html string, _host string, _templates array<int>")
+    assert sorted((r.page_id or 0, r.n_chars) for r in html.extract(odd).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1_199_999)]
+
+
 # ---- fingerprints ----
 
 
@@ -407,11 +546,27 @@ def test_edited_texts(spark, odd):
         nxt, half = order[(order.index(r.id) + 1) % 6], len(r.text) // 2
         assert r.next_id == nxt and r.edited == r.text[: len(r.text) - half] + least[nxt][:half]
     lex = imatch.lexicon(df)
-    prints = {r.text: r.f for r in df.select("text", imatch.fingerprint(F.col("text"), lex).alias("f")).collect()}
+    prints = {r.text: r.f for r in imatch.with_fingerprint(df, "text", "f", lex).collect()}
     assert prints[""] == imatch.EMPTY * imatch.SUBSETS
     assert imatch.with_edited(df.limit(0)).count() == 0
 
 
+def test_texts_of_a_million_characters(spark):
+    rnd = random.Random(12)
+    long = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(180_000))
+    df = spark.createDataFrame([(1, long, "en", "a", len(long), "x"), (2, long, "en", "a", len(long), "x"), (3, "x" * 1_500_000, "en", "b", 1_500_000, "x")], "doc_id long, text string, lang string, source string, n_chars long, h string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert {r.size for r in mixing.measured(df).collect()} == {180_000, 1}
+    lex = imatch.lexicon(df.select("text"))
+    prints = {r.doc_id: r.f for r in imatch.with_fingerprint(df, "text", "f", lex).collect()}
+    assert prints[1] == prints[2] != prints[3]
+    assert {r.doc_id: r.n_removed for r in substrings.removed(df).collect()} == {1: len(long), 2: len(long), 3: 1_500_000}
+    assert {r.doc_id: (r.component_id, r.kept) for r in minhash.groups(df).collect()} == {1: (1, True), 2: (1, False), 3: (3, True)}
+    assert langid.predict(df, ["en"], langid.start_model(1, np.random.default_rng(0)), "doc_id").filter("lang_pred = 'en'").count() == 3
+    sizes = {r.doc_id: r.n for r in packing.token_pieces(df, path).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert sizes[1] == sizes[2] > 180_000
+
+
 # ---- the pipeline ----
 
 
