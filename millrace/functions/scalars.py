@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Media types by file extension.
+from millrace.functions.prompts import unescaped
+
+# The least size of media, media types by file extension, and those that exports to a hub take.
+LEAST_BYTES = 5000
+HUB_IMAGES = (".png", ".jpg", ".jpeg", ".webp", ".gif", ".bmp", ".tiff")
+HUB_VIDEOS = (".mp4", ".mov", ".webm", ".mkv", ".avi")
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp")
 VIDEO_EXTENSIONS = (".mp4", ".mov", ".webm", ".mkv", ".avi", ".m4v")
 
@@ -75,10 +80,21 @@ def frame_offsets(duration: Column, n: int) -> Column:
 
 
 def clean_html(text: Column) -> Column:
-    """The basic character references decoded, tags removed, trimmed."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(text, "<[^>]+>", ""))
+    """Character references decoded, tags removed, trimmed."""
+    return F.trim(F.regexp_replace(unescaped(text), "<[^>]+>", ""))
+
+
+def min_bytes(size: Column, least: int = LEAST_BYTES) -> Column:
+    """Whether a file is large enough to be media; unknown sizes aren't."""
+    return F.coalesce(size >= least, F.lit(False))
+
+
+def caption_pick(source: Column, model: Column, enabled: bool = True, overwrite: bool = False) -> Column:
+    """The model's caption where that is enabled, not blank, and there is no source caption or it may be overwritten."""
+    source, model = F.coalesce(source, F.lit("")), F.trim(F.coalesce(model, F.lit("")))
+    if not enabled:
+        return source
+    return F.when((model != "") & ((F.trim(source) == "") | F.lit(overwrite)), model).otherwise(source)
 
 
 def prompt_of_page(text: Column) -> Column:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The ring of corrections, the rules of threshold suggestions, and the weights of the moving average.
 KEEP_RING = 500
 MIN_FOR_PRESSURE = 3
 MOST_DELTA = 15
+NEW_WEIGHT, OLD_WEIGHT = 0.3, 0.7
+HOUR = 3_600_000_000
 
 
 def with_prices(usage: DataFrame, prices: DataFrame) -> DataFrame:
@@ -31,21 +34,27 @@ def estimate_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price
 
 def cost_totals(usage: DataFrame) -> DataFrame:
     slug = F.coalesce(F.nullif(F.trim("slug"), F.lit("")), F.lit("unknown"))
-    return usage.groupBy(slug.alias("slug")).agg(F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"), F.count("*").alias("calls"), F.max("ts").alias("last_call"))
+    last = [F.max_by("provider", "ts").alias("provider")] if "provider" in usage.columns else []
+    return usage.groupBy(slug.alias("slug")).agg(F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"), F.count("*").alias("calls"), F.max("ts").alias("last_call"), *last)
 
 
 def hourly_spend(usage: DataFrame, key: str, micros: Column, cost: str) -> DataFrame:
-    """``hourly``: the cost of the hour up to each row, its first instant included."""
-    hour = Window.partitionBy(key).orderBy("_us").rangeBetween(-3_600_000_000, 0)
-    return usage.withColumn("_us", micros).withColumn("hourly", F.round(F.sum(cost).over(hour), 4))
+    """``hourly``: the cost of the hour up to each row, its first instant included.
 
+    A row is summed up in its own clock hour and lends its cost to the next one, and so a task
+    holds two hours of a key at most, however hot the key is."""
+    rows = usage.withColumn("_us", micros).withColumn("_hour", F.floor(F.col("_us") / HOUR))
+    rows = rows.withColumn("_in", F.explode(F.array(F.col("_hour"), F.col("_hour") + 1)))
+    hour = Window.partitionBy(key, "_in").orderBy("_us").rangeBetween(-HOUR, 0)
+    return rows.withColumn("hourly", F.round(F.sum(cost).over(hour), 4)).filter("_in = _hour").drop("_in", "_hour")
 
-def spend_alerts(usage: DataFrame, key: str, threshold: float) -> DataFrame:
-    """The first row of each calendar hour whose rolling spend reaches the threshold; 0 is off."""
+
+def spend_alerts(usage: DataFrame, key: str, threshold: float, tie: str) -> DataFrame:
+    """The first row of each calendar hour, by time and ``tie``, whose rolling spend reaches the threshold; 0 is off."""
     if threshold <= 0:
         return usage.limit(0)
     hour = F.floor(F.col("_us") / 3_600_000_000)
-    first = Window.partitionBy(key, "_hour").orderBy("_us", "event_id")
+    first = Window.partitionBy(key, "_hour").orderBy("_us", tie)
     return usage.filter(F.col("hourly") >= threshold).withColumn("_hour", hour).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_hour")
 
 
@@ -63,7 +72,9 @@ def minute_cap(events: DataFrame, key: str, seconds: Column, n: int, order: list
 
 
 def telemetry(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts, error rate, tokens per second and nearest-rank percentiles over successes."""
+    """Counts, error rate, tokens per second and nearest-rank percentiles over successes.
+
+    The percentiles are exact: a group's buffer holds its distinct latencies with their counts, which whole milliseconds bound."""
     ok = F.col("ok")
     spread = {f"p{p}_ms": F.coalesce(F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY latency_ms) FILTER (WHERE ok)"), F.lit(0.0)) for p in (50, 95)}
     seconds = F.sum(F.when(ok, F.col("latency_ms"))) / 1000
@@ -96,7 +107,7 @@ def exemplars(corrections: DataFrame, k: int) -> DataFrame:
 
 def ewma(values: Column) -> Column:
     """The first value seeds; each later one enters with weight 0.3.  ``values``: array of double, oldest first."""
-    return F.aggregate(values, F.lit(None).cast("double"), lambda a, v: F.when(a.isNull(), v).otherwise(0.3 * v + 0.7 * a))
+    return F.aggregate(values, F.lit(None).cast("double"), lambda a, v: F.when(a.isNull(), v).otherwise(NEW_WEIGHT * v + OLD_WEIGHT * a))
 
 
 def suggest_thresholds(corrections: DataFrame, terminal: tuple[str, ...] = ("DISCARD", "CORRUPT")) -> DataFrame:

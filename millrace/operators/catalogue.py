@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import norm_score
+from millrace.functions.scalars import model_object, norm_score
+from millrace.operators.ranking import with_rank_in_group
 
 SORTS = {"newest": None, "oldest": None, "ovr": "ovr", "rel": "rel", "quality": "quality"}
 TERMINAL = ("DISCARD", "CORRUPT")
@@ -89,8 +90,10 @@ def score_distribution(df: DataFrame) -> DataFrame:
 
 
 def job_stats(df: DataFrame) -> DataFrame:
+    """Per category: items, unsafe ones, those whose audit (``vision_json``) sees a text overlay, and those with a prompt."""
     rows = df.filter((F.col("status") == "sorted") & F.col("category").isNotNull())
-    return rows.groupBy("category").agg(F.count("*").alias("n"), F.count_if("nsfw").alias("n_nsfw"), F.count_if(F.lower("prompt").contains("watermark")).alias("n_overlay"), F.count_if(F.coalesce(F.length(F.trim("prompt")), F.lit(0)) > 0).alias("n_prompt"))
+    overlay = F.from_json("vision_json", "contains_text_overlay boolean")["contains_text_overlay"]
+    return rows.groupBy("category").agg(F.count("*").alias("n"), F.count_if("nsfw").alias("n_nsfw"), F.count_if(overlay).alias("n_overlay"), F.count_if(F.coalesce(F.length(F.trim("prompt")), F.lit(0)) > 0).alias("n_prompt"))
 
 
 def distinct_values(df: DataFrame, column: str, status: str | None = None) -> DataFrame:
@@ -138,29 +141,51 @@ def digest_outliers(df: DataFrame, since: float, reason: str, known: tuple[str,
 
 
 def round_robin(df: DataFrame, order: str) -> DataFrame:
-    """``turn``: the i-th item of every source in turn, sources by name."""
-    nth = F.row_number().over(Window.partitionBy("source").orderBy(order))
-    return df.withColumn("turn", nth)
+    """``turn``: the i-th item of every source in turn, sources by name.  No source is numbered in one task."""
+    return with_rank_in_group(df, "source", [F.col(order).asc()], "turn").withColumn("turn", F.col("turn") + 1)
 
 
 def weighted_round_robin(df: DataFrame, weights: DataFrame, order: list[str]) -> DataFrame:
     """``cycle`` and ``slot``: a slug with weight w takes w turns per cycle (at least one).
 
     ``weights (slug, pos, weight)``; the order (cycle, pos, slot) is the fair order."""
-    nth = F.row_number().over(Window.partitionBy("slug").orderBy(*order)) - 1
     w = F.greatest(F.coalesce("weight", F.lit(1)), F.lit(1))
-    return df.join(weights, "slug", "left").withColumn("slot", nth).withColumn("cycle", F.floor(F.col("slot") / w))
+    ranked = with_rank_in_group(df, "slug", [F.col(c).asc() for c in order], "slot")
+    return ranked.join(weights, "slug", "left").withColumn("cycle", F.floor(F.col("slot") / w))
 
 
 def unique_stems(df: DataFrame, folder: str, stem: str, order: list[str]) -> DataFrame:
-    """``name``: the stem, later ones of a folder with ``_1``, ``_2``...
+    """``name``: the stem; one that is taken in its folder gets ``_1``, ``_2``... , the first that is free when its turn comes in ``order``.
 
-    A made-up name that meets a stem of the same folder gets a further suffix that no stem has."""
+    Where no made-up name meets a stem, that is the number of its copies before it.  Only rows of stems that
+    meet, such as copies of ``a`` beside a real ``a_1``, are walked one by one, a family of stems at a time."""
     nth = F.row_number().over(Window.partitionBy(folder, stem).orderBy(*order)) - 1
     made = df.withColumn("_nth", nth).withColumn("name", F.when(F.col("_nth") == 0, F.col(stem)).otherwise(F.concat_ws("_", stem, F.col("_nth").cast("string"))))
-    taken = df.select(F.col(folder).alias("_folder"), F.col(stem).alias("_taken")).distinct()
-    hit = made.join(taken, (F.col(folder) == F.col("_folder")) & (F.col("name") == F.col("_taken")) & (F.col("_nth") > 0), "left")
-    return hit.withColumn("name", F.when(F.col("_taken").isNull(), F.col("name")).otherwise(F.concat(F.col("name"), F.lit("_"), F.substring(F.sha1(F.concat_ws("/", folder, stem, F.col("_nth").cast("string"))), 1, 8)))).drop("_nth", "_folder", "_taken")
+    base = F.regexp_replace(stem, "(?:_[0-9]+)+$", "")
+    counts = df.groupBy(F.col(folder).alias("_folder"), F.col(stem).alias("_stem")).agg(F.count("*").alias("_n")).withColumn("_base", F.regexp_replace("_stem", "(?:_[0-9]+)+$", ""))
+    twice = counts.filter("_n > 1")
+    child = counts.filter("_stem != _base").select("_folder", "_base", F.col("_stem").alias("_child"))
+    # A stem s with copies is in danger if the folder also has a stem s_<number>.
+    danger = twice.join(child, ["_folder", "_base"]).filter(F.col("_child").startswith(F.concat("_stem", F.lit("_"))) & F.regexp_like(F.expr("substring(_child, length(_stem) + 2)"), F.lit("^[0-9]+(?:_[0-9]+)*$")))
+    danger = danger.groupBy("_folder", "_base").agg(F.collect_set("_stem").alias("_stems"))
+    out = made.withColumn("_of", base).join(danger, F.col(folder).eqNullSafe(F.col("_folder")) & (F.col("_of") == F.col("_base")), "left")
+    met = F.exists("_stems", lambda d: (F.col(stem) == d) | F.col(stem).startswith(F.concat(d, F.lit("_"))))
+    out = out.withColumn("_met", F.coalesce(met, F.lit(False))).drop("_nth", "_folder", "_base", "_stems")
+    walked = out.filter("_met")
+
+    def walk(frame):
+        used, names = set(), []
+        for s in (frame := frame.sort_values(order))[stem]:
+            name, k = s, 0
+            while name in used:
+                k += 1
+                name = f"{s}_{k}"
+            used.add(name)
+            names.append(name)
+        return frame.assign(name=names)
+
+    walked = walked.groupBy(folder, "_of").applyInPandas(walk, walked.schema)
+    return out.filter("NOT _met").unionByName(walked).drop("_of", "_met")
 
 
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -193,6 +218,74 @@ def delete_items(base: DataFrame, keys: DataFrame, key: str = "path") -> DataFra
     return base.join(keys.select(key), key, "left_anti")
 
 
+def deleted(base: DataFrame, keys: DataFrame, key: str = "path") -> DataFrame:
+    """One row ``n``: how many rows of ``base`` go with ``keys``."""
+    return base.join(keys.select(key), key, "left_semi").agg(F.count("*").alias("n"))
+
+
+def append_seen(seen: DataFrame, new: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(``seen`` with the new keys, one row ``n`` with their number); ``by`` names the key columns, blank keys are skipped."""
+    fresh = new.select(*by).filter(F.trim(F.col(by[-1]).cast("string")) != "").distinct().join(seen.select(*by), by, "left_anti")
+    return seen.select(*by).distinct().unionByName(fresh), fresh.agg(F.count("*").alias("n"))
+
+
+# How each source's key stands in the names of sorted and of queued files.
+SORTED_KEYS = {"civitai": r"civitai_(\d+)", "reddit": r"_reddit_([A-Za-z0-9]+)_\d+_\d+_\d+\.", "twitter_x": r"_(x_[A-Za-z0-9]+_[A-Za-z0-9]+)_\d+_\d+\."}
+QUEUED_KEYS = {"civitai": r"civitai_(\d+)", "reddit": r"^reddit_([A-Za-z0-9]+)_\d+\.", "twitter_x": r"^(x_[A-Za-z0-9]+_[A-Za-z0-9]+)\."}
+
+
+def recovered_keys(files: DataFrame) -> DataFrame:
+    """``source, key``: the keys that the names of files ``(status, source, file)`` still tell, to rebuild a lost seen set."""
+    key = F.when(F.lit(False), "")
+    for status, patterns in (("sorted", SORTED_KEYS), ("queue", QUEUED_KEYS)):
+        for source, pattern in patterns.items():
+            key = key.when((F.col("status") == status) & F.col("source").startswith(source), F.regexp_extract("file", pattern, 1))
+    return files.select("source", key.alias("key")).filter("key != ''").distinct()
+
+
+def set_hash(items: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``items`` with the hashes ``(path, phash)`` put in, null ones cleared; unknown paths change nothing, the greatest hash of a path counts."""
+    new = hashes.groupBy(F.col("path").alias("_path")).agg(F.max("phash").alias("_phash"))
+    out = items.join(new, F.col("path") == F.col("_path"), "left")
+    return out.withColumn("phash", F.when(F.col("_path").isNotNull(), F.col("_phash")).otherwise(F.col("phash"))).drop("_path", "_phash")
+
+
+def hashes(items: DataFrame, slug: str | None = None, status: str | None = None) -> DataFrame:
+    """``path, phash`` of the items of a topic and a status, those without a hash included."""
+    for column, value in (("topic_slug", slug), ("status", status)):
+        if value is not None:
+            items = items.filter(F.col(column) == value)
+    return items.select("path", "phash")
+
+
+def audit_of(items: DataFrame, path: str) -> DataFrame:
+    """One row ``path, audit, error``: the audit record of an item, or why there is none."""
+    asked = items.sparkSession.createDataFrame([(path,)], "path string")
+    found = items.filter(F.col("path") == path).select("path", model_object(F.col("vision_json")).alias("audit"), F.lit(True).alias("_known"))
+    error = F.when(F.col("_known").isNull(), "no such item").when(F.col("audit").isNull(), "no audit record")
+    return asked.join(found, "path", "left").select("path", "audit", error.alias("error"))
+
+
+def resolve_categories(requested: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """The requested categories that a taxonomy ``(name)`` knows, without the terminal ones in any case of letters."""
+    known = requested.select("category").distinct().join(taxonomy.select(F.col("name").alias("category")).distinct(), "category", "left_semi")
+    return known.filter(~F.upper("category").isin(*TERMINAL))
+
+
+def per_slug_gates(items: DataFrame, gates: DataFrame) -> DataFrame:
+    """The items that reach their own topic's minima ``gates (topic_slug, ovr_min, rel_min)``; a minimum of 0 or null, or no row, is off."""
+    out = items.join(gates.select("topic_slug", F.col("ovr_min").alias("_ovr"), F.col("rel_min").alias("_rel")), "topic_slug", "left")
+    for score, least in (("ovr", "_ovr"), ("rel", "_rel")):
+        off = F.coalesce(F.col(least), F.lit(0)) <= 0
+        out = out.filter(off | F.coalesce(F.col(score) >= F.col(least), F.lit(False)))
+    return out.drop("_ovr", "_rel")
+
+
+def to_item(rows: DataFrame) -> DataFrame:
+    """Index rows as items: a null prompt is empty, ``nsfw`` 0 or 1 a truth value, broken audit JSON null."""
+    return rows.withColumns({"prompt": F.coalesce("prompt", F.lit("")), "nsfw": F.col("nsfw").cast("boolean"), "vision_json": F.when(F.try_parse_json("vision_json").isNotNull(), F.col("vision_json"))})
+
+
 def recategorise(items: DataFrame, moves: DataFrame, taxonomy: list[str]) -> tuple[DataFrame, DataFrame]:
     """(items after the valid moves, rejected moves); the last valid move of a path counts."""
     valid = moves.filter(F.col("target").isin(*taxonomy))

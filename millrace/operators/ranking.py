@@ -29,3 +29,13 @@ def with_global_rank(df: DataFrame, order: list[Column], name: str = "rank") ->
         .withColumn(name, F.col("_before") + F.row_number().over(inside) - 1)
         .drop("_part", "_before", "_tie")
     )
+
+
+def with_rank_in_group(df: DataFrame, group: str, order: list[Column], name: str = "rank") -> DataFrame:
+    """Add ``name``: 0-based position of each row in ``order`` among those of its ``group``.
+
+    The global rank less the group's first, so that a group with a third of all rows is no task of its own."""
+    ranked = stored(with_global_rank(df, [F.col(group).asc_nulls_first(), *order], "_rank"), "ranks")
+    firsts = ranked.groupBy(F.col(group).alias("_group")).agg(F.min("_rank").alias("_first"))
+    out = ranked.join(firsts, F.col(group).eqNullSafe(F.col("_group")))
+    return out.withColumn(name, F.col("_rank") - F.col("_first")).drop("_rank", "_group", "_first")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from math import comb, inf
 
 import numpy as np
 import pandas as pd
@@ -10,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.components import connected_components
+from millrace.operators.ranking import with_global_rank
 from millrace.session import stored
 
-BANDS, BAND_BITS = 4, 16
-BLOCK = 512
+BITS, MOST_PROBES = 64, 5000
+BLOCK = 4096
 
 
 def signature(vector: Column) -> Column:
@@ -27,19 +30,38 @@ def hex_hash(text: Column) -> Column:
     return F.when(text.rlike("^[0-9a-fA-F]{16}$"), F.conv(text, 16, -10).cast("long"))
 
 
+def band_plan(n: int, threshold: int) -> int:
+    """How many bands make the fewest comparisons among n values, by the probes of a value and the values each meets; 0 for all with all."""
+
+    def work(bands: int) -> float:
+        width, radius = BITS // bands, threshold // bands
+        probes = sum(comb(width, r) for r in range(radius + 1))
+        return bands * probes * (1 + n / 2**width) if probes <= MOST_PROBES else inf
+
+    best = min(range(2, 9), key=work)
+    return best if work(best) < n else 0
+
+
 def _close_values(distinct: DataFrame, threshold: int) -> DataFrame:
     """``v, w``: distinct 64-bit values (v < w) that differ in at most ``threshold`` bits.
 
-    Multi-index hashing: with distance t over four bands of 16 bits some band differs in
-    at most t // 4 bits, so one side is probed with all such variants of each band and meets the
-    other in an equality join.  From 16 on the variants outnumber the gain."""
+    Multi-index hashing: of b bands some one differs in at most ``threshold // b`` bits, so one side is probed with all such variants of
+    each band and meets the other in an equality join.  The number of bands follows from the number of values; where probes
+    cost more than they save, as for few values, all values meet in blocks."""
     close = F.bit_count(F.col("v").bitwiseXOR(F.col("w"))) <= threshold
-    if threshold >= 16:
-        return distinct.join(distinct.withColumnRenamed("v", "w"), (F.col("v") < F.col("w")) & close)
-    masks = [sum(1 << i for i in bits) for r in range(threshold // BANDS + 1) for bits in combinations(range(BAND_BITS), r)]
-    bands = F.posexplode(F.array(*[F.shiftrightunsigned("v", BAND_BITS * i).bitwiseAND(F.lit(0xFFFF).cast("long")).cast("int") for i in range(BANDS)]))
-    banded = distinct.select("v", bands.alias("band", "part"))
-    probes = banded.withColumn("_m", F.explode(F.array(*map(F.lit, masks)))).select(F.col("v").alias("w"), "band", F.col("part").bitwiseXOR(F.col("_m")).alias("part"))
+    n = distinct.count()
+    bands = band_plan(n, threshold)
+    if not bands:
+        blocks = max(1, -(-n // BLOCK))
+        dealt = distinct.withColumn("_b", F.pmod(F.xxhash64("v"), F.lit(blocks)))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+        left, right = dealt.withColumn("_c", every), dealt.select(F.col("v").alias("w"), F.col("_b").alias("_c")).withColumn("_b", every)
+        return left.join(right, ["_b", "_c"]).filter((F.col("v") < F.col("w")) & close).select("v", "w")
+    width = BITS // bands
+    masks = [sum(1 << i for i in bits) for r in range(threshold // bands + 1) for bits in combinations(range(width), r)]
+    parts = F.posexplode(F.array(*[F.shiftrightunsigned("v", width * i).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for i in range(bands)]))
+    banded = distinct.select("v", parts.alias("band", "part"))
+    probes = banded.withColumn("_m", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).select(F.col("v").alias("w"), "band", F.col("part").bitwiseXOR(F.col("_m")).alias("part"))
     return banded.join(probes, ["band", "part"]).filter((F.col("v") < F.col("w")) & close).select("v", "w").distinct()
 
 
@@ -125,14 +147,20 @@ def semantic_search(df: DataFrame, queries: list[tuple[str, list[float], int | N
     v = F.col(vector).cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     hits = []
-    for query_id, q, top_k in queries:
+    for query_id, q, _ in queries:
         length = float(np.linalg.norm(q))
         dot = F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in q]), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
         cosine = F.when((norm > 0) & F.lit(length > 0), F.least(F.greatest(dot / (norm * length), F.lit(-1.0)), F.lit(1.0))).otherwise(0.0)
-        hits.append(F.when(F.size(vector) == len(q), F.struct(F.lit(query_id).alias("query_id"), cosine.alias("cosine"), F.lit(-1 if top_k is None else top_k).alias("top_k"))))
-    rows = df.select(F.col(key), F.explode(F.array_compact(F.array(*hits))).alias("h")).select(key, "h.*")
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), key))
-    return rows.withColumn("nth", nth).filter((F.col("top_k") < 0) | (F.col("nth") <= F.col("top_k"))).drop("top_k")
+        hits.append(F.when(F.size(vector) == len(q), F.struct(F.lit(query_id).alias("query_id"), cosine.alias("cosine"))))
+    found = []
+    for hit, (_, _, top_k) in zip(hits, queries, strict=True):
+        rows = df.select(F.col(key), hit.alias("h")).filter("h IS NOT NULL").select(key, "h.*")
+        if top_k is None or top_k < 0:
+            found.append(with_global_rank(rows, [F.desc("cosine"), F.col(key).asc()], "nth").withColumn("nth", (F.col("nth") + 1).cast("int")))
+        else:  # each task keeps its own nearest, so that what is numbered has top_k rows
+            few = rows.orderBy(F.desc("cosine"), key).limit(top_k)
+            found.append(few.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), key))))
+    return reduce(DataFrame.unionByName, found)
 
 
 def put_vectors(base: DataFrame, new: DataFrame) -> DataFrame:

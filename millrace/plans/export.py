@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import duration_label, fps_label, resolution_label, split_bucket, trigger_word
+from millrace.functions.scalars import HUB_IMAGES, HUB_VIDEOS, duration_label, fps_label, resolution_label, split_bucket, trigger_word
 from millrace.operators.catalogue import TERMINAL, unique_stems
+from millrace.operators.ranking import with_rank_in_group
 
 PROFILES = ("kohya", "folders", "webdataset", "clips")
 
@@ -42,28 +43,35 @@ def plan(rows: DataFrame, profile: str, split: float | None = None, repeats: int
     rows = rows.withColumn("folder", F.concat_ws("/", "split", leaf, "bucket")).withColumn("caption", trigger_word(F.col("caption"), trigger))
     order = ["category", "source", "path"]
     if profile == "webdataset":
-        nth = F.row_number().over(Window.partitionBy("folder").orderBy(*order)) - 1
-        rows = rows.withColumn("shard", F.format_string("shard-%06d.tar", F.floor(nth / shard).cast("int")))
+        rows = with_rank_in_group(rows, "folder", [F.col(c).asc() for c in order], "_nth")
+        rows = rows.withColumn("shard", F.format_string("shard-%06d.tar", F.floor(F.col("_nth") / shard).cast("int"))).drop("_nth")
         return unique_stems(rows.withColumn("_home", F.concat_ws("/", "folder", "shard")), "_home", "stem", order).drop("_home")
     return unique_stems(rows, "folder", "stem", order)
 
 
 def shard_summary(planned: DataFrame) -> DataFrame:
-    return planned.agg(F.count("*").alias("sample_count"), F.count_if(F.col("split") == "val").alias("n_val"), F.count_if(F.col("split") == "train").alias("n_train"), F.count_distinct("folder", "shard").alias("shard_count"), F.array_sort(F.collect_set("category")).alias("categories"))
+    """One row: samples, splits, archives, categories and how many samples each bucket has (a folder lies in one bucket)."""
+    by = planned.groupBy("bucket").agg(F.count("*").alias("sample_count"), F.count_if(F.col("split") == "val").alias("n_val"), F.count_if(F.col("split") == "train").alias("n_train"), F.count_distinct("folder", "shard").alias("shard_count"), F.collect_set("category").alias("_categories"))
+    buckets = F.array_sort(F.collect_list(F.when(F.col("bucket").isNotNull(), F.concat_ws("=", "bucket", F.col("sample_count").cast("string")))))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("sample_count", "n_val", "n_train", "shard_count")]
+    return by.agg(*sums, F.array_sort(F.array_distinct(F.flatten(F.collect_list("_categories")))).alias("categories"), buckets.alias("buckets"))
 
 
-def hub_metadata(rows: DataFrame) -> DataFrame:
-    """Rows of ``metadata.jsonl``; null fields are left out when written."""
+def hub_metadata(rows: DataFrame, include_video: bool = False) -> DataFrame:
+    """Rows of ``metadata.jsonl`` for files ``(category, file, caption, score, source)`` that a hub takes; null fields are left out when written."""
+    taken = HUB_IMAGES + (HUB_VIDEOS if include_video else ())
+    rows = rows.filter(F.lower(F.regexp_extract("file", r"(\.[^.]+)$", 1)).isin(*taken))
     return rows.select(F.concat_ws("/", "category", "file").alias("file_name"), F.coalesce("caption", F.lit("")).alias("caption"), "category", "score", F.nullif("source", F.lit("")).alias("source"))
 
 
-def write_hub_metadata(rows: DataFrame, path: str) -> None:
+def write_hub_metadata(rows: DataFrame, path: str, include_video: bool = False) -> None:
     """One row per sample, ordered, as JSON lines in the export folder."""
-    hub_metadata(rows).repartitionByRange("file_name").sortWithinPartitions("file_name").write.mode("overwrite").json(path)
+    hub_metadata(rows, include_video).repartitionByRange("file_name").sortWithinPartitions("file_name").write.mode("overwrite").json(path)
 
 
 def copy_files(planned: DataFrame, destination: str) -> DataFrame:
-    """Copy each sample and write its caption on the executors; returns what was written.
+    """Copy each sample and write its caption on the executors, and its audit record, ``{}`` if it has none, where the plan has a
+    column ``audit``; returns what was written.
 
     Only paths move through Spark; a file is written under a temporary name first, so that a
     task can run again."""
@@ -82,7 +90,8 @@ def copy_files(planned: DataFrame, destination: str) -> DataFrame:
                 target.create_dir(folder)
                 source, path = fs.FileSystem.from_uri(row["path"])
                 out = f"{folder}/{row['name']}{row['ext']}"
-                for name, data in ((out, source.open_input_stream(path).read()), (f"{folder}/{row['name']}.txt", (row["caption"] or "").encode())):
+                sides = {".txt": row["caption"] or ""} | ({".json": row["audit"] or "{}"} if "audit" in row else {})
+                for name, data in ((out, source.open_input_stream(path).read()), *((f"{folder}/{row['name']}{ext}", text.encode()) for ext, text in sides.items())):
                     temporary = f"{name}.{uuid.uuid4().hex}"
                     with target.open_output_stream(temporary) as f:
                         f.write(data)
@@ -90,7 +99,7 @@ def copy_files(planned: DataFrame, destination: str) -> DataFrame:
                 done.append(out)
             yield pa.RecordBatch.from_pydict({"written": done}, schema=pa.schema([("written", pa.string())]))
 
-    return planned.select("path", "folder", "name", "ext", "caption").mapInArrow(copy, "written string")
+    return planned.select("path", "folder", "name", "ext", "caption", *(["audit"] if "audit" in planned.columns else [])).mapInArrow(copy, "written string")
 
 
 def write_tars(planned: DataFrame, destination: str) -> DataFrame:

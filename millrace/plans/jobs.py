@@ -27,10 +27,11 @@ def fleet_union(fleets: DataFrame) -> DataFrame:
 
 
 def requeue(items: DataFrame, queued: DataFrame, slug: str | None = None, categories: tuple[str, ...] = (), limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(items to move with ``target``, images to quarantine): sorted pairs go back to their queue.
+    """(items to move, images to quarantine): sorted pairs go back to their queue, lone images to ``.quarantine``.
 
     Names lose category, time and random part; what is queued already stays. ``items`` has
-    ``stem, ext, has_text``."""
+    ``stem, ext, has_text`` and ``has_audit`` if audit records are to be archived.  Items to move have their ``target``, the ``meta``
+    record to write beside it, and ``archive``, where the audit record goes; of items with one target the first by path moves."""
     rows = items.filter("status = 'sorted'")
     if slug is not None:
         rows = rows.filter(F.col("topic_slug") == slug)
@@ -38,6 +39,13 @@ def requeue(items: DataFrame, queued: DataFrame, slug: str | None = None, catego
         rows = rows.filter(F.col("category").isin(*categories))
     target = F.concat_ws("/", F.lit("queue"), "topic_slug", "source", F.concat(recover_id(F.col("stem")), F.col("ext")))
     moves = rows.filter("has_text").withColumn("target", target).join(queued.select(F.col("path").alias("target")), "target", "left_anti")
+    moves = latest(moves, ["target"], [F.asc("path")])
+    came = F.concat_ws("/", "category", "source", F.concat("stem", "ext"))
+    meta = F.to_json(F.struct(recover_id(F.col("stem")).alias("message_id"), F.col("source").alias("source_channel"), came.alias("requeued_from")))
+    has_audit = F.col("has_audit") if "has_audit" in rows.columns else F.lit(False)
+    archive = F.when(has_audit, F.concat_ws("/", F.lit("_archive"), "category", "source", F.concat("stem", F.lit(".vision.json"))))
+    moves = moves.withColumns({"meta": meta, "archive": archive})
     if limit is not None:
         moves = moves.orderBy("path").limit(limit)
-    return moves, rows.filter("NOT has_text")
+    lone = rows.filter("NOT has_text").withColumn("target", F.concat_ws("/", F.lit(".quarantine"), came))
+    return moves, lone

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import keywords, scalars
@@ -52,7 +52,7 @@ on_items("a5_status_source_rollup", "SELECT status, source, count(*) AS n FROM i
 on_items("a6_ovr_histogram", "SELECT CAST(ovr // 10 * 10 AS INT) AS bucket, count(*) AS n FROM items WHERE status = 'sorted' AND ovr IS NOT NULL GROUP BY 1")(catalogue.ovr_histogram)
 _LABEL = "CASE WHEN {c} >= 100 THEN '100-100' ELSE ({c} // 10 * 10) || '-' || ({c} // 10 * 10 + 9) END"
 on_items("a7_score_distribution", f"SELECT axis, label, count(*) AS n FROM (SELECT 'ovr' AS axis, {_LABEL.format(c='ovr')} AS label FROM items WHERE status = 'sorted' UNION ALL SELECT 'rel', {_LABEL.format(c='rel')} FROM items WHERE status = 'sorted') GROUP BY ALL")(catalogue.score_distribution)
-on_items("a8_job_stats", "SELECT category, count(*) AS n, count(*) FILTER (WHERE nsfw) AS n_nsfw, count(*) FILTER (WHERE contains(lower(prompt), 'watermark')) AS n_overlay, count(*) FILTER (WHERE length(trim(prompt)) > 0) AS n_prompt FROM items WHERE status = 'sorted' AND category IS NOT NULL GROUP BY category")(catalogue.job_stats)
+on_items("a8_job_stats", "SELECT category, count(*) AS n, count(*) FILTER (WHERE nsfw) AS n_nsfw, count(*) FILTER (WHERE size % 6 = 0 AND size % 5 > 0) AS n_overlay, count(*) FILTER (WHERE length(trim(prompt)) > 0) AS n_prompt FROM items WHERE status = 'sorted' AND category IS NOT NULL GROUP BY category")(lambda df: catalogue.job_stats(df.withColumn("vision_json", F.when(F.col("size") % 5 == 0, "{broken").otherwise(F.to_json(F.struct((F.col("size") % 6 == 0).alias("contains_text_overlay")))))))
 for _col in catalogue.GROUPABLE:
     on_items(f"a9_distinct_{_col}", f"SELECT DISTINCT {_col} AS value FROM items WHERE {_col} IS NOT NULL")(lambda df, c=_col: catalogue.distinct_values(df, c))
 _NORM = "CASE WHEN {c} > 1 THEN {c} / 100.0::DOUBLE ELSE {c} END"
@@ -60,7 +60,7 @@ _KIND = "CASE WHEN category IS NULL OR category IN ('DISCARD', 'CORRUPT') THEN '
 on_items("a10_digest", f"SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k}" for k in ("kept", "borderline", "off_topic", "discarded")) + ", " + ", ".join(f"coalesce(round(avg({_NORM.format(c=c)}) FILTER (WHERE ovr > 0 OR rel > 0), 4), 0) AS avg_{c}" for c in ("ovr", "rel")) + f", count(*) FILTER (WHERE ovr > 0 OR rel > 0) AS sample_count FROM (SELECT *, {_KIND} AS kind FROM items WHERE status = 'sorted' AND mtime >= 200)")(lambda df: catalogue.digest(df, 200, KEPT))
 on_items("a10_digest_categories", "SELECT category, count(*) AS n FROM items WHERE status = 'sorted' AND mtime >= 200 AND category IS NOT NULL GROUP BY category")(lambda df: catalogue.digest_categories(df, 200))
 on_items("a11_digest_top_keeps", f"SELECT path, {_NORM.format(c='ovr')} AS score FROM items WHERE status = 'sorted' AND category = 'Keep' ORDER BY score DESC, mtime DESC, path LIMIT 10")(lambda df: catalogue.digest_top_keeps(df, 0, KEPT, 10).select("path", "score"))
-on_items("a11_digest_outliers", f"SELECT path FROM items WHERE status = 'sorted' AND ({_NORM.format(c='ovr')}) BETWEEN 0.4 AND 0.6 AND category IN ('Keep', 'Borderline') ORDER BY mtime DESC, path LIMIT 3")(lambda df: catalogue.digest_outliers(df.withColumn("reason", F.lit("")), 0, "reason", ("Keep", "Borderline")).select("path"))
+on_items("a11_digest_outliers", f"SELECT path FROM items WHERE status = 'sorted' AND (size % 7 = 0 AND length(prompt) > 200 OR ({_NORM.format(c='ovr')}) BETWEEN 0.4 AND 0.6 AND category IN ('Keep', 'Borderline')) ORDER BY mtime DESC, path LIMIT 3")(lambda df: catalogue.digest_outliers(df.withColumn("reason", F.when(F.col("size") % 7 == 0, F.col("prompt")).otherwise("")), 0, "reason", ("Keep", "Borderline")).select("path"))
 on_items("a12_norm_score", f"SELECT path, coalesce({_NORM.format(c='ovr')}, 0) AS score FROM items")(lambda df: df.select("path", scalars.norm_score(F.col("ovr")).alias("score")))
 
 _QUERY = '(the AND of) OR NOT "an" that'
@@ -68,13 +68,20 @@ on_items("f1_keyword_query", "SELECT path FROM items WHERE (contains(lower(promp
 on_items("f2_keyword_any", "SELECT path FROM items WHERE contains(lower(prompt), 'license') OR contains(lower(prompt), 'token =')")(lambda df: df.filter(keywords.keyword_any(F.col("prompt"), [" License ", "", None, "token ="])).select("path"))
 on_items("f3_topic_filter", """SELECT path, CASE WHEN length(trim(prompt)) < 400 THEN 'prompt too short (' || length(trim(prompt)) || ' < 400)' WHEN contains(lower(source || chr(10) || trim(prompt)), 'license') THEN 'banned phrase'
   WHEN NOT contains(lower(source || chr(10) || trim(prompt)), 'the') THEN 'missing required keyword' WHEN NOT contains(lower(trim(prompt)), 'thth') THEN 'no generation-style keywords in prompt' ELSE 'ok' END AS reason FROM items""")(lambda df: keywords.topic_filter(df, "source", "prompt", required="the", banned=["license"], hints=["thth"], min_length=400).select("path", "reason"))
-on_items("f4_auto_keywords", """SELECT DISTINCT topic_slug, ['instagram', 'man', 'portraits', 'en-style'] || ['woman', 'girl', 'female', 'model', 'portrait', 'selfie'] || ['man', 'male', 'guy', 'portrait'] AS words FROM items WHERE topic_slug = 'en'""")(lambda df: df.filter("topic_slug = 'en'").select("topic_slug").distinct().select("topic_slug", keywords.auto_keywords(F.concat(F.lit("The Instagram man of AI portraits, portraits in "), F.col("topic_slug"), F.lit("-style"))).alias("words")).withColumn("words", F.filter("words", lambda w: w != "in")))
+_STOP = ", ".join(f"'{w}'" for w in keywords.STOPWORDS)
+query(
+    "f4_auto_keywords",
+    f"""WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(topic), '[a-z][a-z-]+'), lambda x: length(x) >= 3 AND x NOT IN ({_STOP}))) AS words FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'The Instagram man of ' ELSE '' END || text AS topic FROM conversations))
+    SELECT conv_id, turn, list_sort(words || CASE WHEN list_has_any(words, {list(keywords.INFLUENCER)}) THEN {list(keywords.INFLUENCER_ADDS)} ELSE [] END || CASE WHEN list_has_any(words, {list(keywords.MAN)}) THEN {list(keywords.MAN_ADDS)} ELSE [] END) AS words FROM w""",
+)(lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", F.sort_array(keywords.auto_keywords(F.concat(F.when(F.col("turn") % 3 == 0, "The Instagram man of ").otherwise(""), "text"))).alias("words")))
 on_items("f5_media_policy", "SELECT path, CASE WHEN ends_with(path, '.txt') THEN NULL ELSE 'image' END AS kind FROM (SELECT CASE WHEN size % 2 = 0 THEN replace(path, '.txt', '.JPG') ELSE path END AS path FROM items)")(lambda df: df.select(F.when(F.col("size") % 2 == 0, F.replace("path", F.lit(".txt"), F.lit(".JPG"))).otherwise(F.col("path")).alias("path")).withColumn("kind", scalars.media_kind(F.col("path"))))
-on_items("f6_min_bytes", "SELECT path, size FROM items WHERE size >= 5000")(lambda df: df.filter("size >= 5000").select("path", "size"))
-on_items("f9_resolve_categories", "SELECT DISTINCT category FROM items WHERE category IN ('Keep', 'Borderline')")(lambda df: df.select("category").distinct().filter(F.col("category").isin("Keep", "Borderline", "DISCARD") & ~F.upper("category").isin(*catalogue.TERMINAL)))
+on_items("f6_min_bytes", "SELECT path, size FROM items WHERE size >= 5000")(lambda df: df.filter(scalars.min_bytes(F.col("size"))).select("path", "size"))
+on_items("f9_resolve_categories", "SELECT DISTINCT category FROM items WHERE category IN ('Keep', 'Borderline')")(lambda df: catalogue.resolve_categories(df, df.sparkSession.createDataFrame([("Keep",), ("Borderline",), ("DISCARD",)], "name string")))
 on_items("f12_safe_component", "SELECT path, parse_filename(path) AS name FROM items")(lambda df: df.select("path", scalars.safe_component(F.col("path"), "item").alias("name")))
-on_items("p1_to_item", "SELECT path, coalesce(prompt, '') AS prompt, nsfw FROM items WHERE status = 'queue'")(lambda df: df.filter("status = 'queue'").select("path", F.coalesce("prompt", F.lit("")).alias("prompt"), "nsfw"))
-on_items("f11_per_slug_gates", "SELECT path FROM items WHERE status = 'sorted' AND ovr >= CASE topic_slug WHEN 'en' THEN 65 WHEN 'fr' THEN 80 ELSE 0 END")(lambda df: df.filter("status = 'sorted'").join(F.broadcast(df.sparkSession.createDataFrame([("en", 65), ("fr", 80)], "topic_slug string, ovr_min int")), "topic_slug", "left").filter(F.col("ovr") >= F.coalesce("ovr_min", F.lit(0))).select("path"))
+on_items("p1_to_item", "SELECT path, CASE WHEN size % 3 = 0 THEN '' ELSE prompt END AS prompt, nsfw, CASE WHEN size % 4 = 0 THEN NULL ELSE concat('{\"n\":', size, '}') END AS vision_json FROM items")(
+    lambda df: catalogue.to_item(df.select("path", F.when(F.col("size") % 3 != 0, F.col("prompt")).alias("prompt"), F.col("nsfw").cast("int").alias("nsfw"), F.when(F.col("size") % 4 == 0, "{bad").otherwise(F.to_json(F.struct(F.col("size").alias("n")))).alias("vision_json")))
+)
+on_items("f11_per_slug_gates", "SELECT path FROM items WHERE status = 'sorted' AND ovr >= CASE topic_slug WHEN 'en' THEN 65 WHEN 'fr' THEN 80 ELSE 0 END AND rel >= CASE topic_slug WHEN 'en' THEN 55 ELSE 0 END")(lambda df: catalogue.per_slug_gates(df.filter("status = 'sorted'"), df.sparkSession.createDataFrame([("en", 65, 55), ("fr", 80, 0), ("de", None, None)], "topic_slug string, ovr_min int, rel_min int")).select("path"))
 
 on_items("w1_round_robin", "SELECT path, source, row_number() OVER (PARTITION BY source ORDER BY path) AS turn FROM items WHERE status = 'queue'")(lambda df: catalogue.round_robin(df.filter("status = 'queue'"), "path").select("path", "source", "turn"))
 on_items("w2_weighted_round_robin", "SELECT path, slug, slot // CASE slug WHEN 'en' THEN 3 WHEN 'fr' THEN 2 ELSE 1 END AS cycle, slot FROM (SELECT path, topic_slug AS slug, row_number() OVER (PARTITION BY topic_slug ORDER BY source, path) - 1 AS slot FROM items WHERE status = 'queue')")(
@@ -141,7 +148,7 @@ def costed(spark, sf_dir: str) -> DataFrame:
 
 
 query("a15_estimate_cost", f"WITH {_COST} SELECT event_id, cost FROM cost")(lambda spark, d: costed(spark, d).select("event_id", "cost"))
-query("a16_cost_totals", f"WITH {_COST} SELECT CAST(user_id AS VARCHAR) AS slug, CAST(sum(event_id % 100) AS BIGINT) AS tokens, round(sum(cost), 6) AS cost, count(*) AS calls FROM cost GROUP BY 1")(lambda spark, d: accounting.cost_totals(costed(spark, d).withColumn("slug", F.col("user_id").cast("string"))).drop("last_call"))
+query("a16_cost_totals", f"WITH {_COST} SELECT CAST(user_id AS VARCHAR) AS slug, CAST(sum(event_id % 100) AS BIGINT) AS tokens, round(sum(cost), 6) AS cost, count(*) AS calls, arg_max(event_type, ts) AS provider FROM cost GROUP BY 1")(lambda spark, d: accounting.cost_totals(costed(spark, d).withColumn("slug", F.col("user_id").cast("string")).withColumn("provider", F.col("event_type"))).drop("last_call"))
 _HOUR = "hour AS (SELECT *, epoch_us(ts) AS us, round(sum(value) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW), 4) AS hourly FROM events)"
 
 
@@ -150,11 +157,11 @@ def hourly(spark, sf_dir: str) -> DataFrame:
 
 
 query("w7_hourly_spend", f"WITH {_HOUR} SELECT event_id, hourly FROM hour")(lambda spark, d: hourly(spark, d).select("event_id", "hourly"))
-query("w8_spend_alerts", f"WITH {_HOUR} SELECT event_id, hourly FROM (SELECT *, row_number() OVER (PARTITION BY event_type, us // 3600000000 ORDER BY us, event_id) AS n FROM hour WHERE hourly >= 200) WHERE n = 1")(lambda spark, d: accounting.spend_alerts(hourly(spark, d), "event_type", 200).select("event_id", "hourly"))
+query("w8_spend_alerts", f"WITH {_HOUR} SELECT event_id, hourly FROM (SELECT *, row_number() OVER (PARTITION BY event_type, us // 3600000000 ORDER BY us, event_id) AS n FROM hour WHERE hourly >= 200) WHERE n = 1")(lambda spark, d: accounting.spend_alerts(hourly(spark, d), "event_type", 200, "event_id").select("event_id", "hourly"))
 query("w9_threshold_crossings", "SELECT event_type, day, n FROM (SELECT *, coalesce(lag(n) OVER (PARTITION BY event_type ORDER BY day), -1) AS before FROM (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL)) WHERE before < 70 AND n >= 70")(lambda spark, d: accounting.threshold_crossings(table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n")), ["event_type"], "day", 70).select("event_type", "day", "n"))
 query("w11_minute_cap", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type, epoch_us(ts) // 60000000 ORDER BY ts, event_id) AS n FROM events) WHERE n <= 2")(lambda spark, d: accounting.minute_cap(telemetry_events(spark, d), "event_type", F.unix_micros("ts") / 1e6, 2, ["ts", "event_id"]).select("event_id"))
-query("w5_ewma", "WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events), s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) AS k FROM o WHERE r <= 500), f AS (SELECT user_id, k, value AS acc FROM s WHERE k = 1 UNION ALL SELECT s.user_id, s.k, 0.3::DOUBLE * s.value + 0.7::DOUBLE * f.acc FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1) SELECT user_id, round(arg_max(acc, k), 6) AS ewma FROM f GROUP BY user_id")(
-    lambda spark, d: table(spark, d, "events").withColumn("_n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))).filter("_n <= 500").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("v")).select("user_id", F.round(accounting.ewma(F.transform("v", lambda x: x["value"])), 6).alias("ewma"))
+query("w5_ewma", f"WITH RECURSIVE {_CORR}, {_RING}, s AS (SELECT slug, ovr, row_number() OVER (PARTITION BY slug ORDER BY ts, image_key) AS k FROM ring), f AS (SELECT slug, k, ovr AS acc FROM s WHERE k = 1 UNION ALL SELECT s.slug, s.k, 0.3::DOUBLE * s.ovr + 0.7::DOUBLE * f.acc FROM f JOIN s ON s.slug = f.slug AND s.k = f.k + 1) SELECT slug, round(arg_max(acc, k), 6) AS ewma FROM f GROUP BY slug")(
+    lambda spark, d: accounting.recent_corrections(corrections(spark, d)).groupBy("slug").agg(F.sort_array(F.collect_list(F.struct("ts", "image_key", "ovr"))).alias("v")).select("slug", F.round(accounting.ewma(F.transform("v", lambda x: x["ovr"])), 6).alias("ewma"))
 )
 
 _SIG = "sig AS (SELECT vec_id, list_reduce(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN 1::UBIGINT << (64 - i)::UBIGINT ELSE 0::UBIGINT END), lambda a, b: a | b) AS s FROM embeddings)"
@@ -174,4 +181,4 @@ query("w3_balance", f"WITH RECURSIVE {_LINKS}, {_COMP} SELECT vec_id, component
 _PROBE = [0.5 if i % 3 else -0.25 for i in range(64)]
 query("d6_semantic_search", f"SELECT 'q' AS query_id, vec_id, cosine FROM (SELECT vec_id, list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(q, q))) AS cosine FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, {_PROBE}::DOUBLE[] AS q FROM embeddings)) ORDER BY cosine DESC, vec_id LIMIT 10")(lambda spark, d: similarity.semantic_search(table(spark, d, "embeddings"), [("q", _PROBE, 10)], "vec_id", "embedding").select("query_id", "vec_id", "cosine"))
 
-from millrace import registry_more  # noqa: E402,F401  (adds to QUERIES and SQL)
+from millrace import registry_extra, registry_judging, registry_more  # noqa: E402,F401  (add to QUERIES and SQL)

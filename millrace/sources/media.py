@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalars import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
 
-AUDIT = "description string, primary_subject string, is_screenshot boolean, is_composite_grid boolean, contains_text_overlay boolean, is_human_photograph boolean, art_medium string, photorealistic_style boolean, has_ai_flaws boolean, woman_present boolean, nsfw boolean, OVR_Quality_Score int, REL_Quality_Score int, quality_score int, category string, reason string, caption string"
+AUDIT = "description string, primary_subject string, is_screenshot boolean, is_composite_grid boolean, contains_text_overlay boolean, is_human_photograph boolean, art_medium string, photorealistic_style boolean, has_ai_flaws boolean, woman_present boolean, nsfw boolean, OVR_Quality_Score int, REL_Quality_Score int, quality_score int, category string, reason string, caption string, width int, height int"
 
 
 def with_layout(files: DataFrame, root: str) -> DataFrame:
@@ -43,15 +43,22 @@ def read_texts(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     return named.select("folder", F.expr(f"substring(file, 1, length(file) - {len(suffix)})").alias("stem"), F.col("value").alias("text"))
 
 
-def attach_sidecars(media: DataFrame, texts: DataFrame, audits: DataFrame) -> DataFrame:
-    """Caption from ``<stem>.txt`` or ``<file>.txt``; scores from the audit record, broken JSON as empty."""
+def attach_sidecars(media: DataFrame, texts: DataFrame, audits: DataFrame, decoded: DataFrame | None = None) -> DataFrame:
+    """Caption from ``<stem>.txt`` or ``<file>.txt``; scores from the audit record, broken JSON as empty.
+
+    ``width`` and ``height`` are the audit's, else those of ``decoded (path, width, height)``, else 0, as for videos."""
     by_stem = texts.select("folder", "stem", F.col("text").alias("_by_stem"))
     by_file = texts.select("folder", F.col("stem").alias("file"), F.col("text").alias("_by_file"))
     audit = audits.select("folder", "stem", F.from_json("text", AUDIT, {"mode": "PERMISSIVE"}).alias("audit"))
     df = media.join(by_stem, ["folder", "stem"], "left").join(by_file, ["folder", "file"], "left").join(audit, ["folder", "stem"], "left")
     prompt = F.coalesce(F.trim("_by_stem"), F.trim("_by_file"), F.lit(""))
     scores = {"ovr": F.col("audit.OVR_Quality_Score"), "rel": F.col("audit.REL_Quality_Score"), "quality": F.col("audit.quality_score"), "nsfw": F.col("audit.nsfw")}
-    return df.withColumns({"prompt": prompt, **scores}).drop("_by_stem", "_by_file")
+    sides = {c: F.col(f"audit.{c}") for c in ("width", "height")}
+    if decoded is not None:
+        df = df.join(decoded.select(F.col("path").alias("_path"), *[F.col(c).alias(f"_{c}") for c in sides]), F.col("path") == F.col("_path"), "left")
+        sides = {c: F.coalesce(side, F.col(f"_{c}")) for c, side in sides.items()}
+    sides = {c: F.coalesce(side, F.lit(0)) for c, side in sides.items()}
+    return df.withColumns({"prompt": prompt, **scores, **sides}).drop("_by_stem", "_by_file", "_path", "_width", "_height")
 
 
 def read_vectors(lines: DataFrame) -> DataFrame:
@@ -70,11 +77,13 @@ def kohya_folder(media: DataFrame, allow_flat: bool = False) -> DataFrame:
     return named.unionByName(flat)
 
 
-def local_folder(pairs: DataFrame, seen: DataFrame, queued: DataFrame, sorted_ids: DataFrame, min_bytes: int = 5000, min_prompt: int = 40) -> DataFrame:
+def local_folder(pairs: DataFrame, seen: DataFrame, queued: DataFrame, sorted_ids: DataFrame, min_bytes: int = 5000, min_prompt: int = 40, prompt_optional: bool = False) -> DataFrame:
     """Pairs of media and caption that are large enough and neither seen, queued nor sorted.
 
-    Each of the three is ``(stem)``; sorted stems are ids recovered from file names."""
-    df = pairs.filter((F.col("size") >= min_bytes) & (F.length(F.trim("prompt")) >= min_prompt))
+    Each of the three is ``(stem)``; sorted stems are ids recovered from file names and match as a whole.  ``prompt_optional`` lets
+    short and missing captions pass."""
+    captioned = F.coalesce(F.length(F.trim("prompt")) >= min_prompt, F.lit(False))
+    df = pairs.filter((F.col("size") >= min_bytes) & (F.lit(prompt_optional) | captioned))
     for known in (seen, queued, sorted_ids):
         df = df.join(known.select("stem").distinct(), "stem", "left_anti")
     return df

@@ -57,7 +57,8 @@ def test_job_joins(spark):
     assert [r.id for r in jobs.pick_healthy(fleet, probes).collect()] == ["m2", "m1"]
     items = spark.createDataFrame([("p1", "sorted", "s", "w", "Keep", "keep_id7_1700000000_123", ".png", True), ("p2", "sorted", "s", "w", "Keep", "other", ".png", True), ("p3", "sorted", "s", "w", "Keep", "lone", ".png", False)], "path string, status string, topic_slug string, source string, category string, stem string, ext string, has_text boolean")
     moves, lone = jobs.requeue(items, spark.createDataFrame([("queue/s/w/other.png",)], "path string"), slug="s")
-    assert [r.target for r in moves.collect()] == ["queue/s/w/id7.png"] and [r.path for r in lone.collect()] == ["p3"]
+    assert [(r.target, r.archive) for r in moves.collect()] == [("queue/s/w/id7.png", None)] and [(r.path, r.target) for r in lone.collect()] == [("p3", ".quarantine/Keep/w/lone.png")]
+    assert '"requeued_from":"Keep/w/keep_id7_1700000000_123.png"' in moves.first().meta
 
 
 def test_stream_crossings(spark, tmp_path):
@@ -73,12 +74,18 @@ def test_stream_index_and_scores(spark, tmp_path):
     schema = "path string, status string, phash string"
     spark.createDataFrame([("a", "queue", "h"), ("b", "queue", None)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    streams.stream_to_table(stream, str(tmp_path / "table"), str(tmp_path / "c1"))
-    assert spark.read.parquet(str(tmp_path / "table/v0")).count() == 2
+    base = str(tmp_path / "table")
+    assert streams.stream_to_table(stream, base, str(tmp_path / "c1")).count() == 2
+    spark.createDataFrame([("a", "sorted", "other"), ("c", "queue", None)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert sorted(map(tuple, streams.stream_to_table(stream, base, str(tmp_path / "c1")).select("path", "status", "phash").collect())) == [("a", "sorted", "h"), ("b", "queue", None), ("c", "queue", None)]
+    # Another stream with a checkpoint of its own goes on from the table.
+    spark.createDataFrame([("d", "queue", None)], schema).coalesce(1).write.parquet(str(tmp_path / "in2"))
+    second = spark.readStream.schema(schema).parquet(str(tmp_path / "in2"))
+    assert streams.stream_to_table(second, base, str(tmp_path / "c2")).count() == 4
 
     def scorer(frames):
         for f in frames:
             yield f[["path"]].assign(score=1)
 
-    streams.score_stream(stream, scorer, "path string, score long", str(tmp_path / "scores"), str(tmp_path / "c2"))
-    assert spark.read.parquet(str(tmp_path / "scores")).agg(F.sum("score")).first()[0] == 2
+    streams.score_stream(stream, scorer, "path string, score long", str(tmp_path / "scores"), str(tmp_path / "c3"))
+    assert spark.read.parquet(str(tmp_path / "scores")).agg(F.sum("score")).first()[0] == 4

@@ -1,6 +1,13 @@
 """Behaviour of the curation operators on small fixtures."""
 
+import json
+import os
 import random
+import re
+import shutil
+import subprocess
+import sys
+from math import comb
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,11 +80,20 @@ def test_round_robin_equals_a_cursor_walk(spark):
     assert got == walk
 
 
-def test_unique_stems_avoid_real_names(spark):
-    rows = [("d", "a", 1), ("d", "a", 2), ("d", "a_1", 3), ("e", "a", 4)]
+@pytest.mark.parametrize("seed", range(3))
+def test_unique_stems_equal_a_walk(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(rnd.choice("de"), rnd.choice(["a", "a", "a_1", "a_2", "a_1_1", "b", "b_7", "img_1", "img_2", "c"]), i) for i in range(60)] + [("d", "a", 60)]
     got = {r.i: r.name for r in catalogue.unique_stems(spark.createDataFrame(rows, "folder string, stem string, i int"), "folder", "stem", ["i"]).collect()}
-    assert got[1] == "a" and got[3] == "a_1" and got[4] == "a"
-    assert len({got[1], got[2], got[3]}) == 3
+    used, expected = {"d": set(), "e": set()}, {}
+    for folder, stem, i in rows:
+        name, k = stem, 0
+        while name in used[folder]:
+            k += 1
+            name = f"{stem}_{k}"
+        used[folder].add(name)
+        expected[i] = name
+    assert got == expected
 
 
 def test_prices_take_the_longest_prefix(spark):
@@ -86,6 +102,28 @@ def test_prices_take_the_longest_prefix(spark):
     assert {r.model: r.price_in for r in accounting.with_prices(usage, prices).collect()} == {"GPT-4-2024": 5.0, "gpt-3": 1.0, "other": 0.0, None: 0.0}
 
 
+NEGATED = ["no watermark visible", "No cat. A watermark", "a doll-like robot", None, "", "without any logo or watermark; watermark", "nothing but a watermark", "not a robot, " + "x" * 60 + " robot", "it doesn't show a robot", "watermarks", "a watermark, no robot", "robot\nno watermark", "free of side by side panels", "side by side", "know robot", "no. robot"]
+
+
+def positive_by_python(text, terms):
+    """The rule as a walk over mentions."""
+    hay = (text or "").lower()
+    for t in terms:
+        word = not re.search(r"[ \-/.,]", t)
+        for m in re.finditer(rf"\b{re.escape(t)}\b" if word else re.escape(t), hay):
+            before = re.split(r"[.;]", hay[max(0, m.start() - 60) : m.start()])[-1]
+            if not any(n in before if re.search(r"[ ']", n) else re.search(rf"\b{n}\b", before) for n in routing.NEGATIONS):
+                return t
+    return None
+
+
+def test_positive_terms_equal_a_walk(spark):
+    terms = ("watermark", "side by side", "robot")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(NEGATED)], "i int, t string")
+    got = {r.i: r.f for r in df.select("i", routing.first_positive_term(F.col("t"), terms).alias("f")).collect()}
+    assert got == {i: positive_by_python(t, terms) for i, t in enumerate(NEGATED)}
+
+
 def test_negated_terms(spark):
     df = spark.createDataFrame([("no watermark visible",), ("No cat. A watermark",), ("a doll-like robot",), (None,)], "t string")
     assert [r[0] for r in df.select(routing.first_positive_term(F.col("t"), ("watermark", "robot"))).collect()] == [None, "watermark", "robot", None]
@@ -151,7 +189,89 @@ def test_scalars(spark):
     assert r[0] == "ab_c" and abs(r[1] - 23.976) < 1e-3 and r[2] == "a_b_c" and r[3] == "A B C"
 
 
-def test_clean_entry_without_llm():
-    import __spark_entry__ as e
-
-    assert set(e.oracle_sql()) <= set(e.queries())
+@pytest.mark.parametrize("threshold", [0, 10, 15, 18, 24])
+def test_band_plans_lose_no_pair(spark, threshold, monkeypatch):
+    rnd = random.Random(threshold)
+    base = [rnd.getrandbits(63) for _ in range(10)]
+    values = sorted({rnd.choice(base) ^ sum(1 << b for b in rnd.sample(range(63), rnd.randint(0, 20))) for _ in range(60)})
+    expected = {(v, w) for v in values for w in values if v < w and (v ^ w).bit_count() <= threshold}
+    for bands in (0, 3, 4, 6, 8):
+        if bands and sum(comb(64 // bands, r) for r in range(threshold // bands + 1)) > similarity.MOST_PROBES:
+            continue
+        monkeypatch.setattr(similarity, "band_plan", lambda n, t, b=bands: b)
+        got = similarity._close_values(spark.createDataFrame([(v,) for v in values], "v long"), threshold)
+        assert {(r.v, r.w) for r in got.collect()} == expected
+
+
+def test_bands_follow_from_the_number_of_values():
+    assert similarity.band_plan(10, 10) == 0
+    assert [similarity.band_plan(10**k, 10) for k in (6, 9)] == [similarity.band_plan(10**6, 10), similarity.band_plan(10**9, 10)]
+    assert 2 <= similarity.band_plan(10**9, 10) <= similarity.band_plan(10**6, 10) <= 8
+
+
+def test_search_with_and_without_a_limit(spark):
+    df = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(12)] + [(99, [1.0])], "k int, v array<double>")
+    got = similarity.semantic_search(df, [("a", [1.0, 0.0], 3), ("b", [0.0, 1.0], None), ("c", [1.0], 5)], "k", "v").collect()
+    rows = lambda q: [(r.k, r.nth) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.nth)]
+    assert rows("a") == [(4, 1), (9, 2), (3, 3)] and [k for k, _ in rows("b")][:3] == [0, 5, 10] and len(rows("b")) == 12 and rows("c") == [(99, 1)]
+
+
+def test_hourly_spend_equals_a_sum_over_pairs(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice("ab"), rnd.randrange(0, 5 * 3600) * 1_000_000, float(rnd.randrange(9))) for _ in range(200)] + [("a", 0, 1.0), ("a", 3_600_000_000, 1.0), ("a", 3_600_000_001, 1.0)]
+    df = spark.createDataFrame(rows, "k string, us long, cost double")
+    got = sorted((r.k, r._us, r.hourly) for r in accounting.hourly_spend(df, "k", F.col("us"), "cost").collect())
+    assert got == sorted((k, t, sum(c for j, u, c in rows if j == k and t - 3_600_000_000 <= u <= t)) for k, t, _ in rows)
+
+
+def test_png_and_workflow_prompts(spark):
+    from millrace.functions import prompts
+
+    def chunk(kind, data):
+        return len(data).to_bytes(4, "big") + kind + data + b"0000"
+
+    sig, long = b"\x89PNG\r\n\x1a\n", "a long prompt that has well over forty characters in it"
+    graph = '{"1": {"class_type": "CLIPTextEncode", "inputs": {"text": " %s "}, "_meta": {"title": "%s"}}, "2": 5}'
+    files = [
+        (sig + chunk(b"tEXt", b"parameters\0" + long.encode() + b"Negative prompt: x"), long), (sig + chunk(b"tEXt", b"broken") + chunk(b"tEXt", b"parameters\0short"), None), (sig + chunk(b"IEND", b"") + chunk(b"tEXt", b"parameters\0" + long.encode()), None),
+        (sig + chunk(b"tEXt", b"prompt\0" + (graph % ("cat", "Negative")).encode()), None), (sig + chunk(b"iTXt", b"workflow\0\0\0en\0w\0" + (graph % ("câ", "any")).encode()), "câ"), (sig + b"\0\0", None), (b"no png", None), (None, None),
+    ]
+    df = spark.createDataFrame([(i, f) for i, (f, _) in enumerate(files)], "i int, content binary")
+    assert [r[1] for r in df.select("i", prompts.png_text_prompt("content")).orderBy("i").collect()] == [e for _, e in files]
+    texts = [('x "prompt": ' + graph % ("cat", "positive"), "cat"), ('"prompt": {broken}', None), ('"prompt": none', None), ("nothing", None), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, t string")
+    assert [r[1] for r in df.select("i", prompts.yaml_prompt("t")).orderBy("i").collect()] == [e for _, e in texts]
+    posts = [(None, ""), ("short", "short"), ("see " + "{a{" + "b" * 60 + "}} {c}", "{a{" + "b" * 60 + "}}"), ("open { and never closed prompt: go", "go"), ("so <Role>be kind</Role> to all of them", "<Role>be kind</Role>"), ("exactly twenty-one ch", ""), ("x" * 41, "x" * 41)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(posts)], "i int, t string")
+    assert [r[1] for r in df.select("i", prompts.prompt_of_post(F.col("t"))).orderBy("i").collect()] == [e for _, e in posts]
+
+
+def test_attachments_by_name_and_wide_ones(spark):
+    from millrace.sources import feeds
+
+    files = [("a", None, "a.png", 4000, 300), ("b", "image/png", "b", 4000, 300), ("c", "image/png", "c.png", 2048, 2048), ("d", "text/plain", "d.txt", 1, 1), ("e", None, "e.jpg", None, None)]
+    value = json.dumps({"id": "1", "content": "said", "attachments": [{"url": f"u/{u}", "content_type": t, "filename": n, "width": w, "height": h} for u, t, n, w, h in files]})
+    got = feeds.discord_messages(spark.createDataFrame([(value,)], "value string")).collect()
+    assert sorted(r.key for r in got) == ["1_u/a", "1_u/b", "1_u/e"]
+
+
+def test_entry_without_the_llm_folders(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("millrace", "__spark_entry__.py"):
+        source, target = os.path.join(root, name), tmp_path / name
+        if os.path.isdir(source):
+            shutil.copytree(source, target, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        else:
+            shutil.copy(source, target)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'f8_list_items' in q and not any(k.startswith('op') or k == 'pipeline' for k in q) and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
+
+
+def test_a_library_that_breaks_on_import_hides_its_queries_only(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "millrace"), tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    (tmp_path / "millrace/llm").mkdir()
+    (tmp_path / "millrace/llm/__init__.py").write_text("")
+    (tmp_path / "millrace/llm/queries.py").write_text("import a_module_that_is_not_there\n")
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 100"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
