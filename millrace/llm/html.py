@@ -299,18 +299,26 @@ def extract(pages: DataFrame, most_listed: int = MOST_LISTED, most_broadcast: in
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
     frequent, seen = templates(pages, **how)
-    sizes = frequent.groupBy("_host").agg(F.count("*").alias("_n"))
-    few = sizes.filter((F.col("_n") <= most_listed) & F.lit(frequent.count() <= most_broadcast)).select("_host")
-    # Written, so that the pages' join sees a table of at most MOST_BROADCAST numbers and no aggregate beside it.
-    lists = stored(frequent.join(few, "_host", "left_semi").groupBy("_host").agg(F.collect_set("subtree").alias("_templates")), "templates")
-    rows = pages.join(F.broadcast(lists), "_host", "left")
-    rest = stored(sizes.join(few, "_host", "left_anti").select("_host"), "many")
-    if not rest.isEmpty():
-        # Pages of the other hosts get their own templates by their own key, which no host gathers in a task.
-        own = seen.join(rest, "_host", "left_semi").select(*PAGE, F.explode("found").alias("subtree")).distinct()
-        own = own.join(frequent, ["_host", "subtree"], "left_semi").groupBy(*PAGE).agg(F.collect_set("subtree").alias("_own"))
-        rows = rows.join(own, PAGE, "left").withColumn("_templates", F.coalesce("_templates", "_own"))
-    return rows.select("page_id", "url", "html", "_templates").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    sizes = stored(frequent.groupBy("_host").agg(F.count("*").alias("_n")), "sizes")
+    columns = ["page_id", "url", "html", "_templates"]
+
+    def by_page(rows: DataFrame) -> DataFrame:
+        """Pages with their own templates, by a key that no host gathers in a task."""
+        own = seen.select(*PAGE, F.explode("found").alias("subtree")).distinct()
+        own = own.join(frequent, ["_host", "subtree"], "left_semi").groupBy(*PAGE).agg(F.collect_set("subtree").alias("_templates"))
+        return rows.join(own, PAGE, "left").select(*columns)
+
+    if frequent.count() > most_broadcast:
+        rows = by_page(pages)
+    else:
+        # Both tables are bounded by MOST_BROADCAST numbers.
+        few, many = sizes.filter(F.col("_n") <= most_listed).select("_host"), sizes.filter(F.col("_n") > most_listed).select("_host")
+        lists = stored(frequent.join(few, "_host", "left_semi").groupBy("_host").agg(F.collect_set("subtree").alias("_templates")), "templates")
+        rows = pages.join(F.broadcast(lists), "_host", "left")
+        if not many.isEmpty():
+            seen = seen.join(F.broadcast(many), "_host", "left_semi")
+            rows = rows.join(F.broadcast(many), "_host", "left_anti").select(*columns).unionByName(by_page(pages.join(F.broadcast(many), "_host", "left_semi")))
+    return rows.select(*columns).mapInArrow(texts, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
