@@ -7,10 +7,10 @@ from itertools import combinations
 from math import comb, inf
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import vector_cells
 from millrace.operators.components import connected_components
 from millrace.operators.ranking import with_global_rank
 from millrace.session import stored
@@ -96,34 +96,9 @@ def near_hash_groups(df: DataFrame, key: str, value: str, threshold: int = 10) -
 def near_vector_pairs(df: DataFrame, key: str, vector: str, threshold: float = 0.92) -> DataFrame:
     """``a, b, cosine``: pairs of keys (a < b) at or above the threshold; vectors of one length only.
 
-    Vectors are normalised once and packed into blocks; a row of blocks meets another in one
-    matrix product.  Every block is sent to the block rows it takes part in, so a task holds
-    two blocks at a time.  This is exact and quadratic, for up to some millions of vectors; beyond
-    that, sorted projection passes find the near pairs of large sets."""
+    Exact; the list itself grows with the square of a group of near vectors, ``clusters`` doesn't."""
     rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, int(np.ceil(rows.count() / BLOCK)))
-    dealt = rows.withColumn("_b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    homes = F.explode(F.concat(F.transform(F.sequence(F.lit(0), F.col("_b")), lambda i: F.struct(i.alias("i"), F.col("_b").alias("j"))), F.filter(F.transform(F.sequence(F.col("_b"), F.lit(blocks - 1)), lambda j: F.struct(F.col("_b").alias("i"), j.alias("j"))), lambda h: h["j"] > h["i"])))
-    sent = dealt.withColumn("_home", homes).select("k", "v", "_b", F.col("_home.i").alias("i"), F.col("_home.j").alias("j"))
-    kind = dict(rows.dtypes)["k"]
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        found = []
-        for _, part in pdf.groupby(pdf["v"].map(len)):
-            m = np.stack(part["v"].to_numpy())
-            norm = np.linalg.norm(m, axis=1, keepdims=True)
-            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-            keys, own = part["k"].to_numpy(), part["_b"].to_numpy()
-            x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            s = np.clip(m[x] @ m[y].T, -1, 1)
-            p, q = np.nonzero(s >= threshold)
-            a, b = keys[x[p]], keys[y[q]]
-            keep = a < b if i == j else np.ones(len(a), bool)
-            found.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": s[p, q][keep]}))
-        return pd.concat(found)
-
-    return sent.groupBy("i", "j").applyInPandas(compare, f"a {kind}, b {kind}, cosine double")
+    return vector_cells.near_pairs(rows, threshold)
 
 
 def near_groups(df: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
@@ -133,10 +108,15 @@ def near_groups(df: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return out.select(key, F.coalesce("component", key).alias("component"))
 
 
+def first_of_groups(groups: DataFrame, key: str, cap: int) -> DataFrame:
+    """The first ``cap`` rows, by key, of each component of ``groups (key, component)``; none at all for a cap of 0 or less."""
+    nth = F.row_number().over(Window.partitionBy("component").orderBy(key))
+    return groups.withColumn("_n", nth).filter(F.col("_n") <= cap).drop("_n")
+
+
 def balance(df: DataFrame, pairs: DataFrame, key: str, cap: int) -> DataFrame:
     """The first ``cap`` rows, by key, of each similarity cluster; none at all for a cap of 0 or less."""
-    nth = F.row_number().over(Window.partitionBy("component").orderBy(key))
-    return near_groups(df, pairs, key).withColumn("_n", nth).filter(F.col("_n") <= cap).drop("_n")
+    return first_of_groups(near_groups(df, pairs, key), key, cap)
 
 
 def semantic_search(df: DataFrame, queries: list[tuple[str, list[float], int | None]], key: str, vector: str) -> DataFrame:
@@ -170,5 +150,18 @@ def put_vectors(base: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def clusters(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
-    pairs = stored(near_vector_pairs(df, key, vector, threshold), "pairs")
-    return near_groups(df, pairs, key)
+    """``key, component`` of every row: the least key that near vectors lead to.
+
+    Copies are one node, however many there are, and join its component at the end.  Null vectors, those that aren't finite, and
+    for thresholds above 0 zero vectors are near nothing."""
+    v = F.col("_v")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    can = finite & F.lit(threshold <= 1) & (F.lit(threshold <= 0) | F.exists(v, lambda x: x != 0))
+    rows = df.select(F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v"))
+    rows = rows.withColumn("_v", F.when(can, v)).withColumn("_h", F.xxhash64("_v"))
+    nodes = stored(rows.filter("_v IS NOT NULL").groupBy("_h", "_v").agg(F.min("_k").alias("k")), "nodes")
+    links = vector_cells.near_links(nodes.select("k", F.col("_v").alias("v")), threshold)
+    labels = nodes.join(connected_components(links), F.col("k") == F.col("node"), "left")
+    labels = labels.select(F.col("_h").alias("_hash"), F.col("_v").alias("_vector"), F.coalesce("component", "k").alias("component"))
+    out = rows.join(labels, (F.col("_h") == F.col("_hash")) & (F.col("_v") == F.col("_vector")), "left")
+    return out.select(F.col("_k").alias(key), F.coalesce("component", "_k").alias("component"))

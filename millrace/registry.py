@@ -177,7 +177,7 @@ _LINKS = "n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS
 _COMP = "c AS (SELECT vec_id AS a, vec_id AS b FROM n UNION SELECT c.a, CASE WHEN l.a = c.b THEN l.b ELSE l.a END FROM c JOIN l ON l.a = c.b OR l.b = c.b), g AS (SELECT a AS vec_id, min(b) AS component FROM c GROUP BY a)"
 query("d4_near_vector_pairs", f"WITH {_LINKS} SELECT a, b, cosine FROM l")(lambda spark, d: similarity.near_vector_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.4))
 query("d5_near_groups", f"WITH RECURSIVE {_LINKS}, {_COMP} SELECT vec_id, component FROM g")(lambda spark, d: similarity.clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.4))
-query("w3_balance", f"WITH RECURSIVE {_LINKS}, {_COMP} SELECT vec_id, component FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY vec_id) AS k FROM g) WHERE k <= 1")(lambda spark, d: (lambda e: similarity.balance(e, similarity.stored(similarity.near_vector_pairs(e, "vec_id", "embedding", 0.4), "pairs"), "vec_id", 1))(table(spark, d, "embeddings")))
+query("w3_balance", f"WITH RECURSIVE {_LINKS}, {_COMP} SELECT vec_id, component FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY vec_id) AS k FROM g) WHERE k <= 1")(lambda spark, d: similarity.first_of_groups(similarity.clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.4), "vec_id", 1))
 _PROBE = [0.5 if i % 3 else -0.25 for i in range(64)]
 query("d6_semantic_search", f"SELECT 'q' AS query_id, vec_id, cosine FROM (SELECT vec_id, list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(q, q))) AS cosine FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, {_PROBE}::DOUBLE[] AS q FROM embeddings)) ORDER BY cosine DESC, vec_id LIMIT 10")(lambda spark, d: similarity.semantic_search(table(spark, d, "embeddings"), [("q", _PROBE, 10)], "vec_id", "embedding").select("query_id", "vec_id", "cosine"))
 

@@ -9,11 +9,12 @@ import subprocess
 import sys
 from math import comb
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import keywords, scalars
-from millrace.operators import accounting, catalogue, components, similarity
+from millrace.operators import accounting, catalogue, components, similarity, vector_cells
 from millrace.plans import export, routing
 from millrace.streaming import jobs
 
@@ -66,6 +67,71 @@ def test_vectors_of_different_lengths_and_zero(spark):
     assert similarity.balance(df, similarity.near_vector_pairs(df, "k", "v", 0.9), "k", 0).count() == 0
 
 
+@pytest.fixture(scope="module")
+def clustered():
+    """Vectors about a few centres, one of which holds a third, with copies, zero and odd ones."""
+    rnd = np.random.default_rng(5)
+    centres = rnd.standard_normal((12, 6))
+    picks = np.where(rnd.random(600) < 0.33, 0, rnd.integers(0, 12, 600))
+    m = centres[picks] + rnd.standard_normal((600, 6)) * rnd.choice([0.0, 0.05, 0.3], 600)[:, None]
+    rows = [(1000 + i, [float(x) for x in v]) for i, v in enumerate(m)]
+    return rows + [(1, [0.0] * 6), (2, [0.0] * 6), (3, [float("nan")] * 6), (4, None), (5, [1.0, 2.0]), (6, [2.0, 4.0])]
+
+
+def near_by_brute_force(rows, threshold):
+    found = {}
+    for n in (2, 6):
+        part = [(k, np.array(v)) for k, v in rows if v is not None and len(v) == n]
+        for i, (a, x) in enumerate(part):
+            for b, y in part[i + 1 :]:
+                norm = np.linalg.norm(x) * np.linalg.norm(y)
+                cosine = x @ y / norm if norm else 0.0
+                if cosine >= threshold:
+                    found[min(a, b), max(a, b)] = cosine
+    return found
+
+
+@pytest.mark.parametrize("block", [64, 4096])
+@pytest.mark.parametrize("threshold", [0.95, 0.6, -0.1])
+def test_pivot_cells_equal_brute_force(spark, clustered, threshold, block):
+    rows = spark.createDataFrame([r for r in clustered if r[1] is not None], "k long, v array<double>")
+    want = near_by_brute_force(clustered, threshold)
+    got = vector_cells.near_pairs(rows, threshold, block).collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == set(want)
+    assert all(abs(r.cosine - want[r.a, r.b]) < 1e-9 for r in got)
+    least = {k: k for k, _ in clustered}
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a, b in want:
+        a, b = find(a), find(b)
+        least[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(clustered, "k long, v array<double>")
+    groups = similarity.clusters(df, "k", "v", threshold)
+    assert sorted((r.k, r.component) for r in groups.collect()) == sorted((k, find(k)) for k, _ in clustered)
+
+
+def test_a_dense_group_is_linked_through_its_pivot(spark):
+    rnd = np.random.default_rng(6)
+    dense = np.ones((3000, 8)) + rnd.standard_normal((3000, 8)) * 0.01
+    rows = [(f"k{i:05d}", [float(x) for x in v]) for i, v in enumerate(np.concatenate([dense, rnd.standard_normal((300, 8))]))]
+    nodes = spark.createDataFrame(rows, "k string, v array<double>")
+    cells = vector_cells.placed(nodes, 0.9)
+    met = vector_cells._meetings(cells, F.col("pivot").isNull(), 4096).filter("NOT is_home AND home = cell")
+    assert met.filter("k < 'k03000'").count() == 0
+    got = {r.k: r.component for r in similarity.clusters(nodes, "k", "v", 0.9).collect()}
+    assert {got[f"k{i:05d}"] for i in range(3000)} == {"k00000"}
+
+
+def test_clusters_of_nothing(spark):
+    df = spark.createDataFrame([], "k long, v array<double>, component string")
+    assert similarity.clusters(df, "k", "v", 0.9).count() == 0
+    assert similarity.near_vector_pairs(df, "k", "v", 0.9).count() == 0
+
+
 def test_round_robin_equals_a_cursor_walk(spark):
     rnd = random.Random(4)
     rows = [(s, i) for s in "abc" for i in range(rnd.randint(1, 9))]
