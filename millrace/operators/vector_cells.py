@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import stored
 
-MOST_PIVOTS, TRIES = 1024, 4
+LEAST_PIVOTS, MOST_PIVOTS, TRIES = 16, 1024, 4
 BLOCK, ROWS, BATCH = 4096, 256, 2048
 SLACK = 1e-6
 
@@ -37,8 +37,10 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 
 def pivots_of(rows: DataFrame, threshold: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Keys and unit vectors of the pivots by vector length: at most the root of the number of rows, and MOST_PIVOTS."""
-    most = max(1, min(MOST_PIVOTS, math.isqrt(rows.count())))
+    """Keys and unit vectors of the pivots by vector length.
+
+    One for each BLOCK rows, so that where nothing is pruned a row is sent about as often as when all blocks meet; MOST_PIVOTS bounds them."""
+    most = min(MOST_PIVOTS, max(LEAST_PIVOTS, rows.count() // BLOCK))
     sample = rows.select("k", "v").orderBy(F.xxhash64("k", "v")).limit(TRIES * most).toPandas()
     found = {}
     for dim, part in sample.groupby(sample["v"].map(len)):
