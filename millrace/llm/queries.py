@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import html, imatch, langid, minhash, mixing, packing, pii, sstable, substrings, vectors
+from millrace.llm import html, imatch, importance, langid, minhash, mixing, packing, pii, sstable, substrings, vectors
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_minhash": minhash.op9_minhash,
     "op10_sstable": sstable.op10_sstable,
+    "op11_resampling": importance.op11_resampling,
+}
+SQL = {
+    "op1_mixing": mixing.OP1_SQL,
+    "op2_imatch": imatch.OP2_SQL,
+    "op3_substrings": substrings.OP3_SQL,
+    "op4_vectors": vectors.OP4_SQL,
+    "op9_minhash": minhash.OP9_SQL,
+    "op11_resampling": importance.OP11_SQL,
 }
-SQL = {"op1_mixing": mixing.OP1_SQL, "op2_imatch": imatch.OP2_SQL, "op3_substrings": substrings.OP3_SQL, "op4_vectors": vectors.OP4_SQL, "op9_minhash": minhash.OP9_SQL}
