@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import html, imatch, importance, langid, minhash, mixing, packing, pii, sstable, substrings, vectors
+from millrace.llm import html, imatch, importance, langid, minhash, mixing, packing, pii, sstable, substrings, treap, vectors
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_minhash": minhash.op9_minhash,
     "op10_sstable": sstable.op10_sstable,
     "op11_resampling": importance.op11_resampling,
+    "op12_search": treap.op12_search,
 }
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
@@ -24,4 +25,5 @@ SQL = {
     "op4_vectors": vectors.OP4_SQL,
     "op9_minhash": minhash.OP9_SQL,
     "op11_resampling": importance.OP11_SQL,
+    "op12_search": treap.OP12_SQL,
 }
