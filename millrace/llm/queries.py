@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import html, imatch, importance, langid, minhash, mixing, packing, pii, sstable, substrings, treap, vectors
+from millrace.llm import html, imatch, importance, langid, licenses, minhash, mixing, packing, pii, sstable, substrings, treap, vectors
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_sstable": sstable.op10_sstable,
     "op11_resampling": importance.op11_resampling,
     "op12_search": treap.op12_search,
+    "op13_licenses": licenses.op13_licenses,
 }
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
