@@ -39,8 +39,8 @@ from millrace.operators.ranking import with_global_rank
 from millrace.session import stored, table
 
 MOST = 50  # places of an item
-SHARD_DOCS = 4096
-SHARD_CELLS = 1_500_000
+SHARD_DOCS = 2048
+SHARD_CELLS = 700_000
 BLOCK_ITEMS = 1000
 PROBES = 4
 #: Ranges of documents that are halved at a time.
