@@ -31,6 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,13 +94,22 @@ def lacking(masks: list[np.ndarray], maxima: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([maxima[0], *[np.repeat(up, _BITS[mask]) - down for mask, up, down in zip(masks, maxima[:-1], maxima[1:], strict=True)]])
 
 
+def packed(data) -> bytes:
+    """Compressed here, so that Spark never holds a treap in full size."""
+    return zstandard.ZstdCompressor(level=1).compress(memoryview(data).cast("B"))
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 class Shard:
     """A k2-treap read back: all levels in one array, each node with the place of its first child."""
 
     def __init__(self, row: dict, wanted: set[bytes]) -> None:
         self.doc_ids, self.depth, sizes = row["doc_ids"], row["depth"], np.array(row["sizes"], np.int64)
-        self.rows = {t: i for i, t in enumerate(row["terms"].split(b" ")) if t in wanted}
-        self.masks, self.maxima = np.frombuffer(row["masks"], np.uint8), np.frombuffer(row["lacks"], np.uint32).copy()
+        self.rows = {t: i for i, t in enumerate(unpacked(row["terms"]).split(b" ")) if t in wanted}
+        self.masks, self.maxima = np.frombuffer(unpacked(row["masks"]), np.uint8), np.frombuffer(unpacked(row["lacks"]), np.uint32).copy()
         bits = _BITS[self.masks]
         at = 0
         for n, below in zip(sizes, sizes[1:], strict=False):
@@ -226,8 +236,8 @@ class _Builder:
         masks, maxima = grid(row_of[terms], cols, impact(tf, np.repeat(np.array(self.n, np.int64), sizes), n_docs, n_terms), depth)
         names = list(self.number)
         return {
-            "shard": shard, "doc_ids": self.doc_ids, "terms": b" ".join(names[i] for i in order), "frequencies": df[order].astype(np.uint32).tobytes(),
-            "depth": depth, "sizes": [len(m) for m in maxima], "masks": np.concatenate(masks).tobytes(), "lacks": lacking(masks, maxima).tobytes(),
+            "shard": shard, "doc_ids": self.doc_ids, "terms": packed(b" ".join(names[i] for i in order)), "frequencies": packed(df[order].astype(np.uint32)),
+            "depth": depth, "sizes": [len(m) for m in maxima], "masks": packed(np.concatenate(masks)), "lacks": packed(lacking(masks, maxima)),
         }
 
 
@@ -266,8 +276,8 @@ def frequencies(index: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
     def look(frames):
         for batch in frames:
             for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("frequencies").to_pylist(), strict=True):
-                df = np.frombuffer(counts, np.uint32)
-                hits = [(t, int(df[i])) for i, t in enumerate(terms.split(b" ")) if t in wanted]
+                df = np.frombuffer(unpacked(counts), np.uint32)
+                hits = [(t, int(df[i])) for i, t in enumerate(unpacked(terms).split(b" ")) if t in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in hits], pa.binary()), pa.array([n for _, n in hits], pa.int64())], ["term", "df"])
 
     rows = index.select("terms", "frequencies").mapInArrow(look, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # at most the wanted terms

@@ -86,7 +86,7 @@ def test_grid_levels_hold_every_cell_and_its_maxima():
         keys = np.array(list(cells))
         masks, maxima = treap.grid(keys[:, 0], keys[:, 1], np.array(list(cells.values())), depth)
         terms = b" ".join(b"t%d" % i for i in range(64))
-        shard = treap.Shard({"doc_ids": list(range(13)), "depth": depth, "sizes": [len(m) for m in maxima], "terms": terms, "masks": np.concatenate(masks).tobytes(), "lacks": treap.lacking(masks, maxima).tobytes()}, set(terms.split()))
+        shard = treap.Shard({"doc_ids": list(range(13)), "depth": depth, "sizes": [len(m) for m in maxima], "terms": treap.packed(terms), "masks": treap.packed(np.concatenate(masks)), "lacks": treap.packed(treap.lacking(masks, maxima))}, set(terms.split()))
         assert shard.maxima.tolist() == np.concatenate(maxima).tolist()
         assert shard.maxima[0] == max(cells.values())
         for r in range(50):
