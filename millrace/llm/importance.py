@@ -176,10 +176,11 @@ def bucket_counts(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """What a feature of each bucket adds to a weight, from the ``bucket_counts`` of both: ``buckets`` numbers."""
-    every = corpus.sparkSession.range(buckets).withColumnRenamed("id", "bucket")
-    both = every.join(corpus.withColumnRenamed("n", "s"), "bucket", "left").join(target.withColumnRenamed("n", "t"), "bucket", "left").fillna(0, ["s", "t"])
-    rows = both.orderBy("bucket").select("s", "t").toArrow()
-    s, t = (rows.column(c).to_numpy().astype(np.float64) for c in ("s", "t"))
+    both = corpus.select("bucket", F.col("n").alias("s"), F.lit(0).alias("t")).unionByName(target.select("bucket", F.lit(0).alias("s"), F.col("n").alias("t")))
+    rows = both.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).toArrow()  # at most one row for each bucket
+    s, t = np.zeros(buckets), np.zeros(buckets)
+    for out, name in ((s, "s"), (t, "t")):
+        out[rows.column("bucket").to_numpy()] = rows.column(name).to_numpy()
     return np.floor(1000 * np.log((t + 1) * (s.sum() + buckets) / ((s + 1) * (t.sum() + buckets)))).astype(np.int64)
 
 
