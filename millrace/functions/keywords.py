@@ -112,13 +112,13 @@ def topic_filter(df: DataFrame, context: str, prompt: str, required=(), banned=(
     both = F.concat(F.coalesce(F.col(context), F.lit("")), F.lit("\n"), text)
     reason = F.when(F.lit(False), "")
     if require_prompt:
-        reason = reason.when(F.length(text) < min_length, F.concat(F.lit("prompt too short ("), F.length(text), F.lit(f" < {min_length})")))
+        reason = reason.when(F.length(text) < min_length, F.concat(F.lit("short prompt: "), F.length(text), F.lit(f" of {min_length} characters")))
     if (hit := _matches(both, banned)) is not None:
-        reason = reason.when(hit, "banned phrase")
+        reason = reason.when(hit, "holds a banned term")
     if (hit := _matches(both, required)) is not None:
-        reason = reason.when(~hit, "missing required keyword")
+        reason = reason.when(~hit, "lacks the required terms")
     if require_prompt and (hit := _matches(text, hints)) is not None:
-        reason = reason.when(~hit, "no generation-style keywords in prompt")
+        reason = reason.when(~hit, "lacks any hint")
     return df.withColumn("reason", reason.otherwise("ok")).withColumn("ok", F.col("reason") == "ok")
 
 

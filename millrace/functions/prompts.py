@@ -1,20 +1,19 @@
 """Prompts, usage and scores inside posts, files and model answers.
 
-Column expressions where the built-in functions can say it; the PNG and workflow readers are small
-helpers in Arrow batches."""
+Column expressions where the built-in functions can say it; the reader of PNG chunks is a small helper in Arrow batches."""
 
 from __future__ import annotations
 
 import html
-import json
-import struct
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import MapType, StringType
 
 LEAST_PROMPT = 40
+PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 # The keys of PNG text chunks in order of preference, role tags of prompts, parts of the names of models that see, and score fields in order.
 PNG_KEYS = ("workflow", "prompt", "parameters", "Parameters")
@@ -24,17 +23,19 @@ SCORE_FIELDS = ("OVR_Quality_Score", "REL_Quality_Score", "quality_score")
 
 
 def balanced_braces(text: Column) -> Column:
-    """The block from the first ``{`` to the brace that closes it; null without one."""
-    tail = F.substring(text, F.locate("{", text), F.length(text))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+    """The block from the first ``{`` to the brace that closes it; null without one.
 
-    def step(a, c):
-        depth = a["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
-        end = F.when((a["end"] == 0) & (depth == 0), a["at"] + 1).otherwise(a["end"])
-        return F.struct(depth.alias("depth"), (a["at"] + 1).alias("at"), end.alias("end"))
+    The text is cut behind every brace, so the walk goes from brace to brace: it carries the depth and the length so far."""
+    tail = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(0).alias("end"))
 
-    end = F.aggregate(F.split(tail, ""), start, step, lambda a: a["end"])
-    return F.when(text.contains("{") & text.contains("}"), F.nullif(F.substring(tail, F.lit(1), end), F.lit("")))
+    def step(a, piece):
+        depth = a["depth"] + F.when(piece.endswith("{"), 1).when(piece.endswith("}"), -1).otherwise(0)
+        length = a["length"] + F.length(piece)
+        return F.struct(depth.alias("depth"), length.alias("length"), F.when((a["end"] == 0) & (depth == 0), length).otherwise(a["end"]).alias("end"))
+
+    end = F.aggregate(F.split(tail, r"(?<=[{}])"), start, step, lambda a: a["end"])
+    return F.nullif(F.substring(tail, F.lit(1), end), F.lit(""))
 
 
 def prompt_of_post(text: Column) -> Column:
@@ -51,84 +52,72 @@ def prompt_of_post(text: Column) -> Column:
     return out.when(after != "", F.regexp_replace(after, r"^\s+|\s+$", "")).when(F.length(text) > LEAST_PROMPT, text).otherwise("")
 
 
-def _positive(workflow, first_titled: bool) -> str | None:
-    """The first positive text of a node graph; those titled so before others if ``first_titled``."""
-    titled, others = [], []
-    for node in workflow.values():
-        if not isinstance(node, dict) or node.get("class_type") != "CLIPTextEncode":
-            continue
-        title, text = (node.get("_meta") or {}).get("title", "").lower(), (node.get("inputs") or {}).get("text", "")
-        if isinstance(text, str) and text.strip():
-            if "positive" in title:
-                (titled if first_titled else others).append(text.strip())
-            elif "neg" not in title:
-                others.append(text.strip())
-    return (titled[::-1] + others or [None])[0]
-
-
-def _png_texts(data: bytes) -> dict[str, str]:
-    texts, at = {}, 8
-    while at + 12 <= len(data):
-        (n,) = struct.unpack_from(">I", data, at)
-        kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
-        at += 12 + n
-        key, _, rest = body.partition(b"\0")
-        if kind == b"tEXt" and _:
-            texts[key.decode("latin-1")] = rest.decode("latin-1")
-        elif kind == b"iTXt" and len(rest) > 2 and rest[0] == 0 and rest[2:].count(b"\0") >= 2:
-            texts[key.decode("latin-1")] = rest[2:].split(b"\0", 2)[2].decode("utf-8", "replace")
-        elif kind == b"IEND":
-            break
-    return texts
-
-
-def _of_png(data) -> str | None:
-    if not data or bytes(data[:8]) != b"\x89PNG\r\n\x1a\n":
-        return None
-    texts = _png_texts(bytes(data))
-    for key in PNG_KEYS:
-        try:
-            graph = json.loads(texts[key]) if key in texts else None
-        except ValueError:
-            plain = texts[key].split("Negative prompt:")[0].split("Steps:")[0].strip()
-            if len(plain) > LEAST_PROMPT:
-                return plain
-            continue
-        found = _positive(graph, False) if isinstance(graph, dict) else None
-        if found:
-            return found
-    return None
-
-
-def _of_workflow(text) -> str | None:
-    at = -1 if text is None else text.find("'prompt':" if "'prompt':" in text else '"prompt":')
-    start = text.find("{", at) if at >= 0 else -1
-    if start < 0:
-        return None
-    depth = 0
-    for i in range(start, len(text)):
-        depth += (text[i] == "{") - (text[i] == "}")
-        if not depth:
-            try:
-                graph = json.loads(text[start : i + 1].replace("\\'", "'"))
-            except ValueError:
-                return None
-            return _positive(graph, True)
-    return None
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-@F.pandas_udf(StringType())
-def png_text_prompt(content: pd.Series) -> pd.Series:
-    """The prompt in a PNG's text chunks: a node graph's positive text, else what stands before the negative prompt and the settings.
+def positive_text(graph: Column, titled_first: bool) -> Column:
+    """The positive text of a node graph in JSON; null if it has none or isn't an object.
+
+    Text nodes qualify unless their title says that they are negative.  With ``titled_first`` the last one whose title says positive
+    goes before all others; else the first qualifies."""
+    nodes = F.map_values(F.from_json(graph, "map<string,variant>"))
+    read = lambda node, path, kind="string": F.try_variant_get(node, path, kind)
+    text = lambda node: F.when(F.schema_of_variant(read(node, "$.inputs.text", "variant")) == "STRING", _stripped(read(node, "$.inputs.text")))
+    sort = lambda title: F.when(title.contains("positive"), 1).when(title.contains("neg"), -1).otherwise(0)
+    told = F.transform(F.filter(nodes, lambda n: read(n, "$.class_type") == "CLIPTextEncode"), lambda n: F.struct(text(n).alias("text"), sort(F.lower(F.coalesce(read(n, "$._meta.title"), F.lit("")))).alias("sort")))
+    told = F.filter(told, lambda t: (t["sort"] >= 0) & (F.length(t["text"]) > 0))
+    first = F.get(told, F.lit(0))["text"]
+    return F.coalesce(F.try_element_at(F.filter(told, lambda t: t["sort"] == 1), F.lit(-1))["text"], first) if titled_first else first
+
+
+@F.pandas_udf(MapType(StringType(), StringType()))
+def png_texts(content: pd.Series) -> pd.Series:
+    """Keyword and text of the uncompressed text chunks of a PNG, the last of a keyword; null for what is no PNG."""
+
+    def chunks(data: bytes):
+        rest = memoryview(data)[8:]
+        while len(rest) >= 12:
+            size = int.from_bytes(rest[:4], "big")
+            yield bytes(rest[4:8]), bytes(rest[8 : 8 + size])
+            rest = rest[12 + size :]
+
+    def texts(data) -> dict[str, str] | None:
+        if not data or bytes(data[:8]) != PNG_SIGNATURE:
+            return None
+        found = {}
+        for kind, body in chunks(bytes(data)):
+            if kind == b"IEND":
+                break
+            plain = re.fullmatch(rb"(?s)([^\0]*)\0(.*)", body) if kind == b"tEXt" else None
+            wide = re.fullmatch(rb"(?s)([^\0]*)\0\0.[^\0]*\0[^\0]*\0(.*)", body) if kind == b"iTXt" else None
+            for match, code in ((plain, "latin-1"), (wide, "utf-8")):
+                if match:
+                    found[match[1].decode("latin-1")] = match[2].decode(code, "replace")
+        return found
+
+    return content.map(texts)
+
+
+def png_text_prompt(content: Column) -> Column:
+    """The prompt in a PNG's text chunks, by PNG_KEYS: a node graph's positive text, or of a text that isn't JSON what stands before the negative
+    prompt and the settings, if it has over 40 characters.
 
     Compressed chunks are skipped; anything that isn't a PNG gives null."""
-    return content.map(_of_png)
+    texts = png_texts(content)
 
+    def of(key: str) -> Column:
+        text = F.try_element_at(texts, F.lit(key))
+        plain = _stripped(F.regexp_extract(text, r"(?s)\A(.*?)(?:Negative prompt:|Steps:|\z)", 1))
+        return F.when(F.try_parse_json(text).isNotNull(), positive_text(text, False)).when(F.length(plain) > LEAST_PROMPT, plain)
 
-@F.pandas_udf(StringType())
-def yaml_prompt(text: pd.Series) -> pd.Series:
-    """The positive text of the node graph behind ``"prompt":``; null without one."""
-    return text.map(_of_workflow)
+    return F.coalesce(*map(of, PNG_KEYS))
+
+
+def yaml_prompt(text: Column) -> Column:
+    """The positive text of the node graph behind a quoted ``prompt:``; null without one."""
+    graph = balanced_braces(F.regexp_extract(text, r"""(?s)["']prompt["']:(.*)""", 1))
+    return positive_text(F.replace(graph, F.lit("\\'"), F.lit("'")), True)
 
 
 @F.pandas_udf(StringType())

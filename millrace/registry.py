@@ -66,8 +66,8 @@ on_items("a12_norm_score", f"SELECT path, coalesce({_NORM.format(c='ovr')}, 0) A
 _QUERY = '(the AND of) OR NOT "an" that'
 on_items("f1_keyword_query", "SELECT path FROM items WHERE (contains(lower(prompt), 'the') AND contains(lower(prompt), 'of')) OR NOT contains(lower(prompt), 'an') OR contains(lower(prompt), 'that')")(lambda df: df.filter(keywords.keyword_query(F.col("prompt"), _QUERY)).select("path"))
 on_items("f2_keyword_any", "SELECT path FROM items WHERE contains(lower(prompt), 'license') OR contains(lower(prompt), 'token =')")(lambda df: df.filter(keywords.keyword_any(F.col("prompt"), [" License ", "", None, "token ="])).select("path"))
-on_items("f3_topic_filter", """SELECT path, CASE WHEN length(trim(prompt)) < 400 THEN 'prompt too short (' || length(trim(prompt)) || ' < 400)' WHEN contains(lower(source || chr(10) || trim(prompt)), 'license') THEN 'banned phrase'
-  WHEN NOT contains(lower(source || chr(10) || trim(prompt)), 'the') THEN 'missing required keyword' WHEN NOT contains(lower(trim(prompt)), 'thth') THEN 'no generation-style keywords in prompt' ELSE 'ok' END AS reason FROM items""")(lambda df: keywords.topic_filter(df, "source", "prompt", required="the", banned=["license"], hints=["thth"], min_length=400).select("path", "reason"))
+on_items("f3_topic_filter", """SELECT path, CASE WHEN length(trim(prompt)) < 400 THEN 'short prompt: ' || length(trim(prompt)) || ' of 400 characters' WHEN contains(lower(source || chr(10) || trim(prompt)), 'license') THEN 'holds a banned term'
+  WHEN NOT contains(lower(source || chr(10) || trim(prompt)), 'the') THEN 'lacks the required terms' WHEN NOT contains(lower(trim(prompt)), 'thth') THEN 'lacks any hint' ELSE 'ok' END AS reason FROM items""")(lambda df: keywords.topic_filter(df, "source", "prompt", required="the", banned=["license"], hints=["thth"], min_length=400).select("path", "reason"))
 _STOP = ", ".join(f"'{w}'" for w in keywords.STOPWORDS)
 query(
     "f4_auto_keywords",

@@ -55,7 +55,7 @@ def judged_sql(taxonomy: tuple[str, ...], even: str, odd: str) -> str:
     portrait = bool(set(routing.PORTRAIT) & set(taxonomy))
     has = {name: name in taxonomy for name in ("NSFW", "Watermarked", "Unknown")}
     says = {k: v.replace("'", "''") for k, v in routing.SAYS.items()}
-    named = lambda key, term: f"'{says[key]}''' || trim({term}) || ''')'"
+    named = lambda key, term: f"'{says[key]}''' || trim({term}) || ''''"
     names = ", ".join(f"'{t}'" for t in taxonomy)
     texts = "[" + ", ".join(f"'{t}'" for t in _TEXTS) + "]"
     hay = " UNION ALL ".join(f"SELECT path AS id, '{k}' AS list, lower({'subject' if k.endswith('_subject') else 'description || chr(10) || subject'}) AS hay FROM a" for k in _LISTS)
@@ -85,9 +85,9 @@ def judged_sql(taxonomy: tuple[str, ...], even: str, odd: str) -> str:
     z AS (SELECT *, CASE WHEN gate OR flawed THEN 'DISCARD' WHEN {has["NSFW"]} AND nsfw THEN 'NSFW' WHEN {has["Watermarked"]} AND overlay IS NOT NULL THEN 'Watermarked' WHEN category = 'DISCARD' AND {portrait} AND {has["Unknown"]} THEN 'Unknown' ELSE category END AS c,
       CASE WHEN gate THEN array_to_string(why, '; ') WHEN flawed THEN '{says["flawed"]}' WHEN {has["NSFW"]} AND nsfw THEN NULL WHEN {has["Watermarked"]} AND overlay IS NOT NULL THEN {named("marked", "overlay")} WHEN category = 'DISCARD' AND {portrait} AND {has["Unknown"]} THEN '{says["rescued"]}' END AS why_c FROM y),
     k AS (SELECT *, c IN ({names}, 'DISCARD') AS known FROM z),
-    l AS (SELECT path, o, r, photo, present, human, CASE WHEN known THEN c ELSE 'DISCARD' END AS c, CASE WHEN known THEN why_c ELSE coalesce(why_c, '') || '{says["picked"]}' || c || '{says["unlisted"]}' END AS why_c FROM k)
+    l AS (SELECT path, o, r, photo, present, human, CASE WHEN known THEN c ELSE 'DISCARD' END AS c, CASE WHEN known THEN why_c ELSE concat_ws('; ', nullif(why_c, ''), '{says["unlisted"]}' || coalesce(c, '')) END AS why_c FROM k)
     SELECT path, o AS "OVR_Quality_Score", r AS "REL_Quality_Score", photo AS photorealistic_style, present AS woman_present, human AS is_human_photograph, CASE WHEN c <> 'NSFW' AND (o < 40 OR r < 20) THEN 'DISCARD' ELSE c END AS category,
-      CASE WHEN c <> 'NSFW' AND r < 20 THEN 'REL ' || r || ' below min 20' WHEN c <> 'NSFW' AND o < 40 THEN 'OVR ' || o || ' below min 40' ELSE why_c END AS score_reason FROM l"""
+      CASE WHEN c <> 'NSFW' AND r < 20 THEN 'REL{says["low"]}20: ' || r WHEN c <> 'NSFW' AND o < 40 THEN 'OVR{says["low"]}40: ' || o ELSE why_c END AS score_reason FROM l"""
 
 
 _JUDGED = ["path", "OVR_Quality_Score", "REL_Quality_Score", "photorealistic_style", "woman_present", "is_human_photograph", "category", "score_reason"]

@@ -190,6 +190,21 @@ def test_positive_terms_equal_a_walk(spark):
     assert got == {i: positive_by_python(t, terms) for i, t in enumerate(NEGATED)}
 
 
+def test_terms_that_start_alike_and_lists_in_one_scan(spark):
+    terms = ("model a vs", "model ", "girls", "girl", "her hair", " her ", "wine glass", "glass", "a.b", "c++ x")
+    texts = ["model a vs b", "a model girl", "girls", "the girl's", "cut her hair", "no wine glass, a glass", "a.b axb", "c++ x", "no model a vs b. Model x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: set(r.m) for r in df.select("i", routing.positive_mentions(F.col("t"), terms).alias("m")).collect()}
+    assert got == {i: {u for u in terms if positive_by_python(t, (u,))} for i, t in enumerate(texts)}
+    by = {r.i: r.f for r in df.select("i", routing.first_positive_term(F.col("t"), terms).alias("f")).collect()}
+    assert by == {i: positive_by_python(t, terms) for i, t in enumerate(texts)}
+
+
+def test_the_lists_need_three_scans_a_text():
+    every = {t for ts in (routing.SCREEN_TERMS, routing.GRID_TERMS, routing.OVERLAY_TERMS, routing.FEMININE_TERMS, routing.OBJECT_TERMS, routing.SUBJECT_TERMS) for t in ts}
+    assert max(sum(t.startswith(u) for u in every if u != t) for t in every) <= 2
+
+
 def test_negated_terms(spark):
     df = spark.createDataFrame([("no watermark visible",), ("No cat. A watermark",), ("a doll-like robot",), (None,)], "t string")
     assert [r[0] for r in df.select(routing.first_positive_term(F.col("t"), ("watermark", "robot"))).collect()] == [None, "watermark", "robot", None]
@@ -207,7 +222,7 @@ def test_apply_scores(spark):
     ]
     out = routing.apply_scores(spark.createDataFrame(rows, schema), ("Amateur", "NSFW", "Watermarked", "Unknown"), 40, 0).collect()
     assert [r.category for r in out] == ["Amateur", "DISCARD", "Watermarked", "NSFW", "DISCARD", "DISCARD"]
-    assert out[4].score_reason == "OVR 10 below min 40"
+    assert out[4].score_reason == "OVR score under the least of 40: 10"
     assert out[5].OVR_Quality_Score == 100 and out[5].REL_Quality_Score == 0
 
 
@@ -304,7 +319,8 @@ def test_png_and_workflow_prompts(spark):
     ]
     df = spark.createDataFrame([(i, f) for i, (f, _) in enumerate(files)], "i int, content binary")
     assert [r[1] for r in df.select("i", prompts.png_text_prompt("content")).orderBy("i").collect()] == [e for _, e in files]
-    texts = [('x "prompt": ' + graph % ("cat", "positive"), "cat"), ('"prompt": {broken}', None), ('"prompt": none', None), ("nothing", None), (None, None)]
+    two = '{"1": {"class_type": "CLIPTextEncode", "inputs": {"text": "a"}}, "2": {"class_type": "CLIPTextEncode", "inputs": {"text": "b {"}, "_meta": {"title": "My Positive"}}, "3": {"class_type": "CLIPTextEncode", "inputs": {"text": ["4", 0]}, "_meta": {"title": "positive"}}, "4": {}}'
+    texts = [('x "prompt": ' + two.replace("{\"}", "\"}"), "b"), ('"prompt": [1]', None), ("'prompt': " + graph % ("it\\'s", "any"), "it's"), ('x "prompt": ' + graph % ("cat", "positive"), "cat"), ('"prompt": {broken}', None), ('"prompt": none', None), ("nothing", None), (None, None)]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, t string")
     assert [r[1] for r in df.select("i", prompts.yaml_prompt("t")).orderBy("i").collect()] == [e for _, e in texts]
     posts = [(None, ""), ("short", "short"), ("see " + "{a{" + "b" * 60 + "}} {c}", "{a{" + "b" * 60 + "}}"), ("open { and never closed prompt: go", "go"), ("so <Role>be kind</Role> to all of them", "<Role>be kind</Role>"), ("exactly twenty-one ch", ""), ("x" * 41, "x" * 41)]
