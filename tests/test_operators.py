@@ -200,11 +200,6 @@ def test_terms_that_start_alike_and_lists_in_one_scan(spark):
     assert by == {i: positive_by_python(t, terms) for i, t in enumerate(texts)}
 
 
-def test_the_lists_need_three_scans_a_text():
-    every = {t for ts in (routing.SCREEN_TERMS, routing.GRID_TERMS, routing.OVERLAY_TERMS, routing.FEMININE_TERMS, routing.OBJECT_TERMS, routing.SUBJECT_TERMS) for t in ts}
-    assert max(sum(t.startswith(u) for u in every if u != t) for t in every) <= 2
-
-
 def test_negated_terms(spark):
     df = spark.createDataFrame([("no watermark visible",), ("No cat. A watermark",), ("a doll-like robot",), (None,)], "t string")
     assert [r[0] for r in df.select(routing.first_positive_term(F.col("t"), ("watermark", "robot"))).collect()] == [None, "watermark", "robot", None]
