@@ -156,10 +156,30 @@ query("snk9_put_vectors", "SELECT vec_id AS key, CASE WHEN vec_id % 3 = 1 THEN 1
 
 query("st3_windowed_counts", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")(lambda spark, d: jobs.windowed_counts(telemetry_events(spark, d), "event_type").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", "total"))
 query("st4_sliding_counts", "SELECT event_type, start, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 20 MINUTE, ts), time_bucket(INTERVAL 20 MINUTE, ts) - INTERVAL 20 MINUTE, time_bucket(INTERVAL 20 MINUTE, ts) - INTERVAL 40 MINUTE]) AS start FROM events) GROUP BY ALL")(lambda spark, d: jobs.windowed_counts(telemetry_events(spark, d), "event_type", "1 hour", "20 minutes").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n"))
-_WALK = """WITH RECURSIVE e AS (SELECT event_id, event_type, epoch_us(ts) / 1e6::DOUBLE / 20 AS s, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
-w AS (SELECT event_id, event_type, k, true AS ok, [s] AS kept FROM e WHERE k = 1
-  UNION ALL SELECT event_id, event_type, k, ok, CASE WHEN ok THEN list_append(live, s) ELSE live END FROM (
-    SELECT *, len(live) < 3 AND (len(live) = 0 OR s - live[-1] >= 1.0) AS ok FROM (SELECT e.event_id, e.event_type, e.k, e.s, list_filter(w.kept, lambda x: x > e.s - 60) AS live FROM w JOIN e ON e.event_type = w.event_type AND e.k = w.k + 1)))
-SELECT event_id, event_type FROM w WHERE ok"""
-query("st6_rolling_admission", _WALK)(lambda spark, d: jobs.rolling_admission(telemetry_events(spark, d).select("event_id", "event_type", "ts"), "event_type", F.unix_micros("ts") / 1e6 / 20, 3, 1.0, ["event_id"]).select("event_id", "event_type"))
+
+
+def _walk(most: int, gap: float, slower: float) -> str:
+    """SQL that admits row by row; times are divided by ``slower``."""
+    budget = f"len(live) < {most}" if most > 0 else "true"
+    return f"""WITH RECURSIVE e AS (SELECT event_id, event_type, epoch_us(ts) / 1e6::DOUBLE / {slower} AS s,
+      row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+    w AS (SELECT event_id, event_type, k, true AS ok, [s] AS kept, s AS last FROM e WHERE k = 1
+      UNION ALL SELECT event_id, event_type, k, ok, CASE WHEN ok THEN list_append(live, s) ELSE live END, CASE WHEN ok THEN s ELSE last END FROM (
+        SELECT *, {budget} AND s - last >= {gap} AS ok FROM (
+          SELECT e.event_id, e.event_type, e.k, e.s, w.last, list_filter(w.kept, lambda x: x > e.s - 60) AS live
+          FROM w JOIN e ON e.event_type = w.event_type AND e.k = w.k + 1)))
+    SELECT event_id, event_type FROM w WHERE ok"""
+
+
+def _admitted(most: int, gap: float, slower: float):
+    def run(spark, d):
+        events = telemetry_events(spark, d).select("event_id", "event_type", "ts")
+        return jobs.rolling_admission(events, "event_type", F.unix_micros("ts") / 1e6 / slower, most, gap, ["event_id"]).select("event_id", "event_type")
+
+    return run
+
+
+query("st6_rolling_admission", _walk(3, 1.0, 20))(_admitted(3, 1.0, 20))
+query("st6_long_gap", _walk(2, 90.0, 20))(_admitted(2, 90.0, 20))
+query("st6_gap_alone", _walk(0, 75.0, 5))(_admitted(0, 75.0, 5))
 query("st2_first_seen", "SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id")(lambda spark, d: jobs.first_seen(telemetry_events(spark, d), "user_id").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts")))

@@ -5,13 +5,14 @@ Watermarks are this package's addition: rows later than the delay are dropped.""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.catalogue import new_items, upsert_items
+from millrace.operators.catalogue import new_items
+from millrace.streaming.admission import rolling_admission, stream_admission
+from millrace.streaming.keyed_table import KeyedTable, stream_to_table
 
-WINDOW = 60  # seconds of rolling admission
+__all__ = ["KeyedTable", "first_seen", "rolling_admission", "score_stream", "stream_admission", "stream_crossings", "stream_to_table", "windowed_counts"]
 
 
 def windowed_counts(events: DataFrame, key: str, width: str = "1 hour", slide: str | None = None, delay: str = "1 hour", value: str = "value") -> DataFrame:
@@ -29,68 +30,6 @@ def first_seen(events: DataFrame, key: str, delay: str = "1 day") -> DataFrame:
     return new_items(events, events.limit(0), key, [F.asc("ts")])
 
 
-def rolling_admission(events: DataFrame, key: str, seconds: Column, most: int, gap: float, tie: list[str]) -> DataFrame:
-    """Admit at most ``most`` rows of a key in any 60 seconds, at least ``gap`` apart; refused rows don't count.
-
-    The rule depends on its own past decisions, so the rows of a key are walked in order of time and ``tie``.  Spark sorts them; the walk
-    holds a batch and the last ``most`` times, however many rows the key has."""
-    rows = events.withColumn("_s", seconds.cast("double"))
-    schema = events.schema
-
-    def admit(frames):
-        at, kept = None, []
-        for pdf in frames:
-            take = []
-            for k, s in zip(pdf[key], pdf["_s"], strict=True):
-                if k != at:
-                    at, kept = k, []
-                while kept and kept[0] <= s - WINDOW:
-                    kept.pop(0)
-                ok = len(kept) < most and (not kept or s - kept[-1] >= gap)
-                if ok:
-                    kept.append(s)
-                take.append(ok)
-            yield pdf[take].drop(columns="_s")
-
-    ordered = rows.filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, "_s", *tie)
-    return ordered.mapInPandas(admit, schema)
-
-
-def stream_to_table(stream: DataFrame, base_path: str, checkpoint: str, prepare=lambda df: df) -> DataFrame:
-    """Upsert micro-batches of items into the table below ``base_path`` and stop when drained; returns the table.
-
-    The table is a row of versions.  Each batch joins the newest version to its own rows and writes the next one, marked
-    with stream and batch, and so a batch that runs again finds its mark, and another stream goes on from what is there."""
-    spark = stream.sparkSession
-    name = checkpoint.rstrip("/").rsplit("/", 1)[-1]
-
-    def versions() -> DataFrame | None:
-        try:
-            return spark.read.option("basePath", base_path).parquet(base_path)
-        except AnalysisException:  # nothing is there yet
-            return None
-
-    def newest(table: DataFrame | None) -> tuple[int, DataFrame | None]:
-        if table is None:
-            return -1, None
-        last = table.agg(F.max("version")).first()[0]
-        return (-1, None) if last is None else (last, table.filter(F.col("version") == last).drop("version", "batch"))
-
-    def apply(batch: DataFrame, epoch: int) -> None:
-        table, mark = versions(), f"{name}-{epoch}"
-        if table is not None and not table.filter(F.col("batch") == mark).isEmpty():
-            return
-        new = prepare(batch).dropDuplicates(["path"])
-        if new.isEmpty():
-            return
-        last, old = newest(table)
-        out = new if old is None else upsert_items(old, new)
-        out.write.mode("overwrite").parquet(f"{base_path}/version={last + 1}/batch={mark}")
-
-    stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return newest(versions())[1]
-
-
 def score_stream(stream: DataFrame, scorer, schema: str, path: str, checkpoint: str) -> None:
     """Score micro-batches with a user's ``scorer(iterator of frames)`` and append the answers once."""
 
