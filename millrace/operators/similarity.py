@@ -7,12 +7,13 @@ from itertools import combinations
 from math import comb, inf
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import vector_cells
+from millrace.operators import vector_cells, vector_index
 from millrace.operators.components import connected_components
-from millrace.operators.ranking import with_global_rank
+from millrace.operators.ranking import with_rank_in_group
 from millrace.session import stored
 
 BITS, MOST_PROBES = 64, 5000
@@ -120,27 +121,37 @@ def balance(df: DataFrame, pairs: DataFrame, key: str, cap: int) -> DataFrame:
 
 
 def semantic_search(df: DataFrame, queries: list[tuple[str, list[float], int | None]], key: str, vector: str) -> DataFrame:
-    """``query_id, key, cosine, nth``: the nearest rows of each query, which the caller lists.
-
-    The queries are literals: no join.  Vectors of another length are skipped; top_k null or below
-    0 means all; ties go by key."""
-    v = F.col(vector).cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    hits = []
-    for query_id, q, _ in queries:
-        length = float(np.linalg.norm(q))
-        dot = F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in q]), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-        cosine = F.when((norm > 0) & F.lit(length > 0), F.least(F.greatest(dot / (norm * length), F.lit(-1.0)), F.lit(1.0))).otherwise(0.0)
-        hits.append(F.when(F.size(vector) == len(q), F.struct(F.lit(query_id).alias("query_id"), cosine.alias("cosine"))))
-    found = []
-    for hit, (_, _, top_k) in zip(hits, queries, strict=True):
-        rows = df.select(F.col(key), hit.alias("h")).filter("h IS NOT NULL").select(key, "h.*")
-        if top_k is None or top_k < 0:
-            found.append(with_global_rank(rows, [F.desc("cosine"), F.col(key).asc()], "nth").withColumn("nth", (F.col("nth") + 1).cast("int")))
-        else:  # each task keeps its own nearest, so that what is numbered has top_k rows
-            few = rows.orderBy(F.desc("cosine"), key).limit(top_k)
-            found.append(few.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), key))))
-    return reduce(DataFrame.unionByName, found)
+    """``query_id, key, cosine, nth``: the nearest rows of each query, which the caller lists; one pass over the table for all of them.
+
+    Each task multiplies its rows with all queries and keeps of each batch the nearest of each query.  Vectors of another length, and those with null or
+    non-finite components, are skipped; top_k null or below 0 means all; ties go by key.  For many queries, or searches again and again, see ``vector_index``."""
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter(vector_index.sound("v"))
+    wanted = [(i, q, -1 if n is None or n < 0 else n) for i, q, n in queries]
+
+    def nearest(frames):
+        for frame in frames:
+            for dim, part in frame.groupby(frame["v"].map(len)):
+                asked = [(i, np.asarray(q, np.float64), n) for i, q, n in wanted if len(q) == dim]
+                if not asked:
+                    continue
+                keys, m = part["k"].to_numpy(), vector_index.unit(part["v"])
+                for query_id, q, n in asked:
+                    length = np.linalg.norm(q)
+                    cosine = vector_index.cosines(m, q / length) if length > 0 else np.zeros(len(part))
+                    near = np.lexsort((keys, -cosine))[: n if n >= 0 else None]
+                    yield pd.DataFrame({"query_id": query_id, "k": keys[near], "cosine": cosine[near], "top_k": n})
+
+    id_kind = "string" if not queries or isinstance(queries[0][0], str) else "long"
+    hits = rows.mapInPandas(nearest, f"query_id {id_kind}, k {kind}, cosine double, top_k int")
+    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), F.col("k").asc())
+    few = hits.filter("top_k >= 0").withColumn("nth", F.row_number().over(order)).filter("nth <= top_k").drop("top_k")
+    found = [few]
+    if any(n < 0 for _, _, n in wanted):
+        ranked = with_rank_in_group(hits.filter("top_k < 0"), "query_id", [F.desc("cosine"), F.col("k").asc()], "nth")
+        found.append(ranked.withColumn("nth", (F.col("nth") + 1).cast("int")).drop("top_k"))
+    out = reduce(DataFrame.unionByName, found)
+    return out.select("query_id", F.col("k").alias(key), "cosine", "nth")
 
 
 def put_vectors(base: DataFrame, new: DataFrame) -> DataFrame:

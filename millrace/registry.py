@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import keywords, scalars
 from millrace.items import ITEMS_CTE, items
-from millrace.operators import accounting, catalogue, similarity
+from millrace.operators import accounting, catalogue, similarity, vector_index
 from millrace.session import table
 
 QUERIES: dict[str, Callable] = {}
@@ -181,4 +181,21 @@ query("w3_balance", f"WITH RECURSIVE {_LINKS}, {_COMP} SELECT vec_id, component
 _PROBE = [0.5 if i % 3 else -0.25 for i in range(64)]
 query("d6_semantic_search", f"SELECT 'q' AS query_id, vec_id, cosine FROM (SELECT vec_id, list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(q, q))) AS cosine FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, {_PROBE}::DOUBLE[] AS q FROM embeddings)) ORDER BY cosine DESC, vec_id LIMIT 10")(lambda spark, d: similarity.semantic_search(table(spark, d, "embeddings"), [("q", _PROBE, 10)], "vec_id", "embedding").select("query_id", "vec_id", "cosine"))
 
+
+def indexed_search(spark, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 50, through the index; the vector itself is one of them."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.lit(10).alias("top_k"))
+    found, _ = vector_index.search(vector_index.build(vectors, "vec_id", "embedding", 100), queries)
+    return found.select("query_id", F.col("k").alias("vec_id"), "cosine", "nth")
+
+
+query(
+    "d6_vector_index",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+    c AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_inner_product(e.v, q.v) / (sqrt(list_inner_product(e.v, e.v)) * sqrt(list_inner_product(q.v, q.v))), 12) AS cosine
+      FROM e JOIN e AS q ON q.vec_id % 50 = 0)
+    SELECT query_id, vec_id, cosine, nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id)::INT AS nth FROM c) WHERE nth <= 10""",
+)(indexed_search)
+
 from millrace import registry_extra, registry_judging, registry_more  # noqa: E402,F401  (add to QUERIES and SQL)

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import keywords, scalars
-from millrace.operators import accounting, catalogue, components, similarity, vector_cells
+from millrace.operators import accounting, catalogue, components, similarity, vector_cells, vector_index
 from millrace.plans import export, routing
 from millrace.streaming import jobs
 
@@ -292,6 +292,33 @@ def test_search_with_and_without_a_limit(spark):
     assert rows("a") == [(4, 1), (9, 2), (3, 3)] and [k for k, _ in rows("b")][:3] == [0, 5, 10] and len(rows("b")) == 12 and rows("c") == [(99, 1)]
 
 
+@pytest.mark.parametrize(("block", "cells"), [(8192, 40), (7, 13)])
+def test_vector_index_equals_a_scan_and_reads_less(spark, block, cells):
+    rng = np.random.default_rng(block)
+    centres = rng.normal(size=(12, 8))
+    m = centres[rng.integers(0, 12, 600)] + 0.1 * rng.normal(size=(600, 8))
+    m[5], m[6], m[7] = 0, m[8], m[8]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(900, [1.0, 2.0]), (901, None), (902, [float("nan")] * 8), (903, [1.0, None] * 4), (904, [])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    index = vector_index.build(df, "id", "v", cells)
+    assert index.rows.count() == 601
+    ask = [("a", rows[0][1], 5), ("b", rows[8][1], 2), ("flat", [0.0] * 8, 3), ("all", rows[3][1], None), ("many", rows[4][1], 10_000), ("none", rows[4][1], 0), ("two", [2.0, 1.0], 4), ("odd", [1.0] * 3, 4), ("far", [float(x) for x in rng.normal(size=8)], 7), ("empty", None, 3)]
+    found, read = vector_index.search(index, spark.createDataFrame(ask, "query_id string, q array<double>, top_k int"), block)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r.nth):
+        got.setdefault(r.query_id, []).append(r.k)
+    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    for name, q, k in ask:
+        if q is not None and len(q) == 8 and k != 0:
+            c = np.round(unit @ (np.array(q) / max(np.linalg.norm(q), 1e-300)), 12)
+            assert got[name] == np.lexsort((np.arange(600), -c))[:k].tolist(), name
+    assert got["two"] == [900] and not {"none", "odd", "empty"} & set(got)
+    rows_read = {r.query_id: r.rows_read for r in read.collect()}
+    assert rows_read["a"] < 300 and rows_read["all"] == 600
+    empty = vector_index.build(df.limit(0), "id", "v")
+    assert vector_index.search(empty, spark.createDataFrame(ask, "query_id string, q array<double>, top_k int"))[0].count() == 0
+
+
 def test_hourly_spend_equals_a_sum_over_pairs(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice("ab"), rnd.randrange(0, 5 * 3600) * 1_000_000, float(rnd.randrange(9))) for _ in range(200)] + [("a", 0, 1.0), ("a", 3_600_000_000, 1.0), ("a", 3_600_000_001, 1.0)]
