@@ -285,6 +285,21 @@ def test_bands_follow_from_the_number_of_values():
     assert 2 <= similarity.band_plan(10**9, 10) <= similarity.band_plan(10**6, 10) <= 8
 
 
+@pytest.mark.parametrize("threshold", [-0.2, 0.3, 0.8, 0.92, 1.0])
+def test_leading_axes_lose_no_pair(threshold):
+    rng = np.random.default_rng(7)
+    spread = rng.normal(size=(400, 32))
+    for m in (spread, spread * np.linspace(3, 0.01, 32), np.vstack([spread[:200], spread[:200] + 0.2 * rng.normal(size=(200, 32))])):
+        m = m / np.linalg.norm(m, axis=1, keepdims=True)
+        m[3], m[4] = 0, m[5]
+        x, y = np.arange(0, 400, 2), np.arange(400)
+        want = {(i, j) for i, j in zip(*np.nonzero(m[x] @ m[y].T >= threshold + 1e-12), strict=True)}
+        for axes in (vector_cells.axes_for(m, threshold), np.eye(32)[:, :3], np.linalg.eigh(m.T @ m)[1][:, ::-1][:, :8]):
+            got = {(i // 2, j) for a, b, _ in vector_cells.near_rows(m, x, y, threshold, axes) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+            assert want <= got
+            assert all(m[2 * i] @ m[j] >= threshold - 1e-12 for i, j in got)
+
+
 def test_search_with_and_without_a_limit(spark):
     df = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(12)] + [(99, [1.0])], "k int, v array<double>")
     got = similarity.semantic_search(df, [("a", [1.0, 0.0], 3), ("b", [0.0, 1.0], None), ("c", [1.0], 5)], "k", "v").collect()
