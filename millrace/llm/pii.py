@@ -26,7 +26,8 @@ if its contexts say so too.
 
 Defined cases: null text counts as empty; a match that fails its test is dropped and its
 characters are not tried again; spans of different kinds may overlap; repeated rows give equal
-results; of equally sure patterns the greatest by kind and text gives the kind; an empty table gives no rows; further columns pass through ``mask``.
+results; of equally sure patterns the greatest by kind and text gives the kind; very long texts are
+searched whole, in time that follows the text and, for n matches, n times the root of n; an empty table gives no rows; further columns pass through ``mask``.
 """
 
 from __future__ import annotations
@@ -75,13 +76,52 @@ def _literal(regex: str) -> str:
     return "'" + regex.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _places(parts: str, found: str, contexts: bool) -> Column:
-    """(start, end, match) from the parts between the matches and the matches; with ``contexts`` also what stands left and right."""
-    start = f"a.p + length({parts}[i])"
+def _prefixed(df: DataFrame, values: dict[str, str], merge: str, zero: int = 0) -> DataFrame:
+    """Replace each array of numbers by its prefixes: what ``merge`` of ``a`` and ``x`` makes of all elements before each one, from ``zero``.
+
+    An array that grows by one in a fold is copied each time, so the elements are dealt in blocks of about the square root of their number: the
+    blocks' totals first, then the prefixes inside each."""
+    block = lambda v: f"greatest(64, CAST(ceil(sqrt(size({v}))) AS INT))"
+    step = f"named_struct('p', {merge}, 'o', concat(a.o, array(a.p)))"
+    none = "CAST(array() AS array<int>)"
+    part = lambda v: f"slice({v}, b * _b{v} + 1, _b{v})"
+    df = df.withColumns({f"_b{v}": F.expr(block(v)) for v in values})
+    heads = {}
+    for v in values:
+        total = f"aggregate({part(v)}, t.p, (a, x) -> {merge.replace('a.p', 'a')})"
+        fold = f"aggregate(sequence(0, (size({v}) - 1) div _b{v}), named_struct('p', {zero}, 'o', {none}), (t, b) -> named_struct('p', {total}, 'o', concat(t.o, array(t.p))), t -> t.o)"
+        heads[f"_h{v}"] = F.expr(f"CASE WHEN size({v}) > 0 THEN {fold} ELSE {none} END")
+    df = df.withColumns(heads)
+    inside = lambda v: f"flatten(transform(_h{v}, (h, b) -> aggregate({part(v)}, named_struct('p', h, 'o', {none}), (a, x) -> {step}, a -> a.o)))"
+    return df.withColumns({out: F.expr(inside(v)) for v, out in values.items()}).drop(*[c for v in values for c in (f"_b{v}", f"_h{v}")])
+
+
+SUM, MOST, LEAST = "a.p + x", "greatest(a.p, x)", "least(a.p, x)"
+FAR = 2147483647
+
+
+def _free(df: DataFrame) -> DataFrame:
+    """Add ``_free``: the identifiers that no fixed span overlaps, by two walks over both in order of their starts.
+
+    An identifier is overlapped if a span before it reaches into it, or the next one starts before its end."""
+    event = lambda x, t: f"named_struct('s', {x}.s, 't', {t}, 'e', {x}.e, 'x', named_struct('s', {x}.s, 'e', {x}.e, 'm', {x}.m, 'left', {x}.left, 'right', {x}.right))"
+    df = df.withColumn("_both", F.expr(f"array_sort(concat(transform(_spans, x -> {event('x', 0)}), transform(_s_id, y -> {event('y', 1)})))"))
+    df = df.withColumn("_ends", F.expr("transform(_both, v -> IF(v.t = 0, v.e, 0))"))
+    df = df.withColumn("_starts", F.expr(f"transform(reverse(_both), v -> IF(v.t = 0, v.s, {FAR}))"))
+    df = _prefixed(_prefixed(df, {"_ends": "_reach"}, MOST), {"_starts": "_back"}, LEAST, FAR)
+    df = df.withColumn("_next", F.reverse("_back"))
+    # Arrays are zipped, not looked up by place: what a lambda refers to may be worked out anew for each element.
+    before = "zip_with(_both, _reach, (v, r) -> named_struct('v', v, 'ok', v.t = 1 AND r <= v.s))"
+    both = f"zip_with({before}, _next, (w, n) -> named_struct('x', w.v.x, 'ok', w.ok AND n >= w.v.e))"
+    df = df.withColumn("_free", F.expr(f"transform(filter({both}, w -> w.ok), w -> w.x)"))
+    return df.drop("_both", "_ends", "_starts", "_reach", "_back", "_next")
+
+
+def _places(parts: str, found: str, at: str, contexts: bool) -> Column:
+    """(start, end, match) from the parts between the matches, the matches and where each part starts; with ``contexts`` also what stands left and right."""
+    start = f"p + length({parts}[i])"
     beside = f", 'left', regexp_extract({parts}[i], {_literal(LEFT)}, 1), 'right', regexp_extract({parts}[i + 1], {_literal(RIGHT)}, 1)" if contexts else ""
-    none = f"CAST(array() AS {SPANS % (',left:string,right:string' if contexts else '')})"
-    step = f"named_struct('p', {start} + length({found}[i]), 'o', concat(a.o, array(named_struct('s', {start}, 'e', {start} + length({found}[i]), 'm', {found}[i]{beside}))))"
-    return F.expr(f"CASE WHEN size({found}) > 0 THEN aggregate(sequence(0, size({found}) - 1), named_struct('p', 0, 'o', {none}), (a, i) -> {step}, a -> a.o) ELSE {none} END")
+    return F.expr(f"transform({at}, (p, i) -> named_struct('s', {start}, 'e', {start} + length({found}[i]), 'm', {found}[i]{beside}))")
 
 
 def _luhn(match: str) -> str:
@@ -104,10 +144,12 @@ def _matches(df: DataFrame, text: str, names: dict[str, tuple[str, str]], contex
     cols = {}
     for k, (regex, _) in names.items():
         cols[f"_p_{k}"] = F.when(look[k], F.split(F.col(text), regex, -1))
-        cols[f"_f_{k}"] = F.when(look[k], F.expr(f"regexp_extract_all({text}, {_literal(regex)}, 0)"))
+        cols[f"_f_{k}"] = F.coalesce(F.when(look[k], F.expr(f"regexp_extract_all({text}, {_literal(regex)}, 0)")), F.array().cast("array<string>"))
     df = df.withColumns(cols)
-    df = df.withColumns({f"_s_{k}": _places(f"_p_{k}", f"_f_{k}", contexts) for k in names})
-    return df.drop(*cols)
+    df = df.withColumns({f"_n_{k}": F.expr(f"zip_with(slice(_p_{k}, 1, size(_f_{k})), _f_{k}, (p, m) -> length(p) + length(m))") for k in names})
+    df = _prefixed(df, {f"_n_{k}": f"_a_{k}" for k in names}, SUM)
+    df = df.withColumns({f"_s_{k}": _places(f"_p_{k}", f"_f_{k}", f"_a_{k}", contexts) for k in names})
+    return df.drop(*cols, *[f"_{c}_{k}" for k in names for c in "na"])
 
 
 def _fixed(extra: str = "") -> Column:
@@ -131,12 +173,12 @@ def scanned(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id, text_hash, spans, mentions``; a mention is (s, e, m, k, left, right) with k a kind, UNKNOWN or OTHER."""
     df = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     df = _matches(df, "text", {k: (PATTERNS[k], NEEDED[k]) for k in KINDS} | {"id": (IDENTIFIER, r"[0-9]")}, contexts=True)
-    df = df.withColumn("_spans", _fixed(", 'left', x.left, 'right', x.right"))
+    df = _free(df.withColumn("_spans", _fixed(", 'left', x.left, 'right', x.right")))
     plain = lambda c: f"lower(regexp_replace({c}, '[ \\\\t]+', ' '))"
     sides = f"'left', {plain('x.left')}, 'right', {plain('x.right')}"
     sort = f"CASE WHEN x.m rlike {_literal(CREDENTIAL)} THEN {SECRET} WHEN x.m rlike {_literal(ORDINARY)} THEN {OTHER} ELSE {UNKNOWN} END"
     fixed = F.expr(f"transform(_spans, x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'k', x.k, {sides}))")
-    other = F.expr(f"transform(filter(_s_id, y -> NOT exists(_spans, b -> b.s < y.e AND y.s < b.e)), x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'k', {sort}, {sides}))")
+    other = F.expr(f"transform(_free, x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'k', {sort}, {sides}))")
     bare = F.expr("transform(_spans, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'm', x.m))")
     return df.select("doc_id", F.xxhash64("text").alias("text_hash"), bare.alias("spans"), F.concat(fixed, other).alias("mentions"))
 
@@ -197,6 +239,18 @@ def with_spans(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_hash", "spans", both.alias("all_spans"))
 
 
+CHUNK = 1000
+
+
+def _cut(start: str, end: str) -> str:
+    """The text from code point ``start`` to before ``end``, out of ``_chunks``."""
+    first, last = f"({start}) div {CHUNK}", f"({end}) div {CHUNK}"
+    head = f"coalesce(substring(get(_chunks, CAST({first} AS INT)), CAST(({start}) % {CHUNK} + 1 AS INT), CAST(least({CHUNK}, {end} - {start}) AS INT)), '')"
+    whole = f"array_join(slice(_chunks, CAST({first} + 2 AS INT), CAST(greatest({last} - {first} - 1, 0) AS INT)), '')"
+    rest = f"coalesce(substring(get(_chunks, CAST({last} AS INT)), 1, CAST(({end}) % {CHUNK} AS INT)), '')"
+    return f"CASE WHEN {last} > {first} THEN concat({head}, {whole}, {rest}) ELSE {head} END"
+
+
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets and ``n_chars`` counted anew."""
     rows = stored(scanned(docs), "scanned")
@@ -207,9 +261,13 @@ def mask(docs: DataFrame) -> DataFrame:
     df = df.join(extra, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("_text") == F.col("_hash")), "left")
     df = df.withColumn("spans", F.when(F.col("extra").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "extra"))))
     names = ", ".join(f"'[{k.upper()}]'" for k in ALL_KINDS)
-    # A span that starts inside the one before is covered by it as far as that goes.
-    step = f"named_struct('p', greatest(a.p, x.e), 't', CASE WHEN x.s >= a.p THEN concat(a.t, substring(_text, a.p + 1, x.s - a.p), array({names})[x.k]) ELSE a.t END)"
-    masked = F.expr(f"CASE WHEN size(spans) > 0 THEN aggregate(spans, named_struct('p', 0, 't', ''), (a, x) -> {step}, a -> concat(a.t, substring(_text, a.p + 1))) ELSE row.text END")
+    # A span that starts inside the one before is covered by it as far as that goes.  What stands between spans is put together from chunks of the text,
+    # since finding a place in a string takes as long as the string is.
+    df = df.withColumn("_chunks", F.when(F.size("spans") > 0, F.expr(f"regexp_extract_all(_text, '(?s).{{1,{CHUNK}}}', 0)")).otherwise(F.array().cast("array<string>")))
+    df = _prefixed(df.withColumn("_e", F.expr("transform(spans, x -> x.e)")), {"_e": "_from"}, MOST)
+    pieces = f"zip_with(spans, _from, (x, r) -> CASE WHEN x.s >= r THEN concat({_cut('r', 'x.s')}, array({names})[x.k]) ELSE '' END)"
+    tail = _cut("array_max(_e)", "length(_text)")
+    masked = F.expr(f"CASE WHEN size(spans) > 0 THEN concat(array_join({pieces}, ''), {tail}) ELSE row.text END")
     changed = {"text": "masked", "n_chars": "n_masked"}
     df = df.withColumn("masked", masked).withColumn("n_masked", F.coalesce(F.length("masked"), F.lit(0)).cast("long"))
     return df.select(*[(F.col(changed[c]) if c in changed else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -168,6 +168,26 @@ def test_fixed_spans_equal_python(spark):
     assert got == {i: spans_by_python(t or "") for i, t in enumerate(hard)}
 
 
+def test_pii_of_a_very_long_text(spark):
+    """20,000 spans of one kind among identifiers, some of which overlap others; positions and mask against a walk."""
+    parts = [["a%d@x.org" % (i % 9), "10.0.%d.7" % (i % 250), "zz9-%d" % i, "+49 30 1234567"][i % 4] for i in range(40_000)]
+    text = "é ".join(parts)
+    at, spans, masked = 0, [], []
+    kinds = {0: "email", 1: "ip", 3: "phone"}
+    for i, p in enumerate(parts):
+        end = at + len(p)
+        if i % 4 in kinds:
+            spans.append(f"{kinds[i % 4]}:{at}:{end}")
+        masked.append(f"[{kinds[i % 4].upper()}]" if i % 4 in kinds else p)
+        at = end + 2
+    df = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    (row,) = pii.with_spans(df).select(pii.joined("spans").alias("spans")).collect()
+    assert row.spans.split(",") == spans
+    (row,) = pii.mask(df).collect()
+    assert row.text == "é ".join(masked)
+    assert row.n_chars == len(row.text)
+
+
 def test_contexts_find_unseen_identifiers(spark, odd):
     rows = [(i, f"see mail: u{i}@ex.org for more of case no 12 words") for i in range(30)] + [(100, "send mail: agent47x today"), (101, "plain room 47xx9912 words")]
     rows += [(200 + i, f"key = {hashlib.sha1(b'%d' % i).hexdigest()}") for i in range(8)] + [(210, "key = hunter2x"), (211, "commit " + hashlib.sha1(b"z").hexdigest())]
