@@ -1,11 +1,10 @@
-"""Embedding near-duplicates by comparing all members of sign buckets.
+"""Embedding near-duplicates by passes over random signs; vectors with equal leading signs are compared.
 
 1. Equal vectors form one node; copies, however many, go no further.
-2. Up to EXACT nodes stand in one bucket, so that every pair is compared.  Beyond that a pass puts
-   those nodes into one bucket whose signs under its random projections are all equal.
-   The number of signs follows from the number of nodes (buckets of BUCKET nodes, where vectors
-   are spread evenly), and the number of passes from both: a pair at the threshold shares
-   no bucket with probability MISS at most, a nearer pair with less.
+2. A pass orders nodes by the concatenated signs of their random projections and compares the whole run of nodes whose leading
+   signs are equal, at every size of the table.  The number of leading signs follows from the number of nodes (runs, or buckets, of BUCKET
+   nodes, where vectors are spread evenly; one sign at least), and the number of passes from both: a pair at the
+   threshold shares no bucket with probability MISS at most, a nearer pair with less.
 3. All members of a bucket are compared with each other, however many there are: a bucket of
    more than two BLOCKs is dealt into blocks, and each two blocks meet in a task of their own.
    A pair counts in the first pass that brings it together, which both sides' keys tell.
@@ -18,7 +17,8 @@ Work grows with the square of the largest bucket.
 
 Defined cases: null vectors, zero vectors, and vectors with null or non-finite components link with
 nothing and are kept; vectors of different lengths don't link; repeated rows are copies; a null
-vec_id counts as the largest; an empty table gives no rows; further columns are ignored.
+vec_id counts as the largest; an empty table gives no rows; further columns are ignored; very long vectors
+are multiplied whole.
 """
 
 from __future__ import annotations
@@ -35,16 +35,14 @@ from millrace.session import stored, table
 
 THRESHOLD = 0.9
 MISS = 1e-4
-EXACT, BUCKET, BLOCK = 65_536, 8192, 4096
+BUCKET, BLOCK = 4096, 4096
 ROWS, PAIRS = 256, 65_536
 MARGIN = 1e-4
 
 
-def plan(n: int, threshold: float = THRESHOLD, exact: int = EXACT, bucket: int = BUCKET, miss: float = MISS) -> tuple[int, int]:
+def plan(n: int, threshold: float = THRESHOLD, bucket: int = BUCKET, miss: float = MISS) -> tuple[int, int]:
     """The number of passes and the number of signs in each."""
-    if n <= exact:
-        return 1, 0
-    signs = max(1, math.ceil(math.log2(n / bucket)))
+    signs = max(1, math.ceil(math.log2(max(n, 1) / bucket)))
     together = (1 - math.acos(threshold) / math.pi) ** signs
     return math.ceil(math.log(miss) / math.log1p(-together)), signs
 
@@ -64,7 +62,7 @@ def pass_keys(nodes: DataFrame, passes: int, signs: int) -> DataFrame:
                 batch = whole.slice(at, 2048)
                 dims = batch.column(2).to_numpy()
                 out = np.zeros((len(dims), passes), np.int64)
-                for d in np.unique(dims) if signs else ():
+                for d in np.unique(dims):
                     rows = np.flatnonzero(dims == d)
                     if d not in planes:
                         planes[d] = np.random.Generator(np.random.PCG64(1000 + int(d))).standard_normal((int(d), passes * signs))
@@ -117,11 +115,11 @@ def block_links(threshold: float):
     return links
 
 
-def near_links(nodes: DataFrame, threshold: float = THRESHOLD, exact: int = EXACT, bucket: int = BUCKET, block: int = BLOCK, miss: float = MISS) -> DataFrame:
+def near_links(nodes: DataFrame, threshold: float = THRESHOLD, bucket: int = BUCKET, block: int = BLOCK, miss: float = MISS) -> DataFrame:
     """``node, root, linked``: in how many rows a node has partners, and a node of the same component.
 
     ``nodes`` is a materialised frame ``node, size, dim, vector``; a node comes once for each two blocks that link it."""
-    keyed = stored(pass_keys(nodes, *plan(nodes.count(), threshold, exact, bucket, miss)), "keys")
+    keyed = stored(pass_keys(nodes, *plan(nodes.count(), threshold, bucket, miss)), "keys")
     place = ["dim", "pass", "key"]
     counts = keyed.select("dim", F.posexplode("keys").alias("pass", "key")).groupBy(*place).agg(F.count("*").alias("_n"))
     large = stored(counts.filter(F.col("_n") > 2 * block).select(*place, F.ceil(F.col("_n") / block).alias("_blocks")), "large")

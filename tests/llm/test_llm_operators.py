@@ -389,7 +389,7 @@ def test_dense_groups_keep_all_links(spark):
     rng = np.random.default_rng(6)
     rows = [(i, (np.ones(64) + rng.standard_normal(64) * [1e-6, 1e-3][i % 2]).tolist()) for i in range(3000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for how in ({}, {"exact": 100, "bucket": 100, "block": 400}):
+    for how in ({}, {"bucket": 100, "block": 400}):
         got = vectors.links_and_components(df, **how)
         assert got.groupBy("n_links", "component_id").count().collect() == [(2999, 0, 3000)]
 
@@ -402,8 +402,8 @@ def test_vectors_of_empty_and_wide_tables(spark):
 
 
 def test_passes_follow_from_the_number_of_nodes(spark):
-    assert vectors.plan(vectors.EXACT) == (1, 0)
-    for n in (10**5, 10**6, 10**8):
+    assert vectors.plan(0)[1] == 1
+    for n in (500, 10**5, 10**6, 10**8):
         passes, signs = vectors.plan(n)
         assert (1 - (1 - np.arccos(0.9) / np.pi) ** signs) ** passes <= vectors.MISS and n / 2**signs <= vectors.BUCKET
     rng = np.random.default_rng(7)
@@ -411,10 +411,22 @@ def test_passes_follow_from_the_number_of_nodes(spark):
     for i in range(1500):  # pairs at cosine 0.9
         x, y = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
         rows += [(2 * i, x.tolist()), (2 * i + 1, (0.9001 * x + (1 - 0.9001**2) ** 0.5 * y).tolist())]
-    got = vectors.links_and_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), exact=100, bucket=50, block=40)
+    got = vectors.links_and_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), bucket=50, block=40)
     assert got.filter("n_links != 1 OR component_id != vec_id - vec_id % 2").count() <= 6
 
 
+def test_the_registered_query_finds_the_links_of_every_fiftieth_vector(spark):
+    """Recall of op4 as registered, against all pairs of the table."""
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, m = t["vec_id"].to_numpy(), np.array(t["embedding"].to_pylist())
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {int(i): int((m @ m[k] >= 0.9).sum()) - 1 for k, i in enumerate(ids) if i % 50 == 0}
+    got = {r.vec_id: r.n_links for r in vectors.op4_vectors(spark, "/root/testdata/sf0.1").collect() if r.vec_id % 50 == 0}
+    assert got.keys() == want.keys()
+    assert all(got[i] <= n for i, n in want.items())
+    assert sum(got.values()) >= 0.9 * sum(want.values())
+
+
 # ---- languages ----
 
 
