@@ -3,8 +3,9 @@ r"""Document fingerprints by I-Match with randomised lexicons (DataFrame operati
 1. Terms are the lower-cased words of a text, known by 52 bits of their MD5.  Document frequencies are counted for each term
    over all documents.  The lexicon keeps terms whose inverse document frequency lies in a band: their
    documents are between LEAST_SHARE and MOST_SHARE of all (and two at least).  SUBSETS random subsets of them are
-   chosen by digits of the terms' hashes, each with 1/64 of all terms.  These fall into PLACES places by their first
-   20 bits, each with room for one term, the least by the other 32 bits, so the lexicon has a fixed size whatever the vocabulary.
+   chosen by digits of the terms' hashes, each with 1/64 of all terms.  The lexicon is exact: its terms fall into PLACES places by their first
+   20 bits, each with room for one term, the least by the other 32 bits; terms whose place is taken go to MORE further places by other bits, with
+   their whole hash, and the few that find none there are a list.
 2. A document's terms in the lexicon are made distinct and sorted.  Each subset gives one
    hash over the document's terms in it; an empty one gives dashes.
 3. The likeness of two fingerprints is the share of equal parts among the parts
@@ -21,6 +22,8 @@ ignored.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,7 @@ from millrace.operators.ranking import with_global_rank
 from millrace.session import stored, table
 
 PLACES = 1 << 18
+MORE = 1 << 15
 LEAST_SHARE, MOST_SHARE = 0.002, 0.2
 SUBSETS = 32
 SPACE = r"[\x20\x09-\x0D]+"
@@ -58,25 +62,58 @@ def subset(code_: Column) -> Column:
     return F.conv(F.substring(code_, 4, 2), 16, 10).cast("int") % (2 * SUBSETS)
 
 
-def lexicon(texts: DataFrame) -> bytearray:
-    """Four bytes for each place, those of its term's code or zeros: 4 * PLACES bytes at any corpus size."""
+class Lexicon(NamedTuple):
+    """``first``: four bytes for each of PLACES, those of its term's code or zeros; ``more``: seven bytes for each of MORE, a whole code or zeros; ``rest``: codes."""
+
+    first: bytearray
+    more: bytearray
+    rest: list[str]
+
+    def holds(self, code_: Column) -> Column:
+        end = F.substring(code_, 6, 8)
+        here = F.substring(F.lit(self.first), place(code_) * 4 + 1, F.lit(4))
+        found = (here == F.unhex(end)) & (end != NONE)
+        taken = (here != F.unhex(F.lit(NONE))) | (end == NONE)
+        further = F.substring(F.lit(self.more), further_place(code_) * 7 + 1, F.lit(7)) == F.unhex(F.concat(F.lit("0"), code_))
+        if any(self.more):
+            found = found | (taken & further)
+        return found | (taken & code_.isin(self.rest)) if self.rest else found
+
+
+NONE = "0" * 8
+
+
+def further_place(code_: Column) -> Column:
+    return F.conv(F.substring(code_, 6, 4), 16, 10).cast("int") % MORE
+
+
+def band(texts: DataFrame) -> DataFrame:
+    """``code`` of the terms of all subsets whose document frequency lies in the band: at most as many as a text has terms on average, over LEAST_SHARE."""
     n = texts.count()
     codes = texts.select(F.explode(F.array_distinct(F.transform(terms(F.col("text")), code))).alias("code")).filter(subset(F.col("code")) < SUBSETS)
     counts = codes.groupBy("code").count()
-    band = counts.filter((F.col("count") >= max(2.0, LEAST_SHARE * n)) & (F.col("count") <= max(2.0, MOST_SHARE * n)))
-    kept = band.groupBy(place(F.col("code")).alias("place")).agg(F.min(F.substring("code", 6, 8)).alias("rest"))
-    out = bytearray(4 * PLACES)
-    for at, rest in kept.toLocalIterator():  # at most PLACES rows
-        out[4 * at : 4 * at + 4] = bytes.fromhex(rest)
+    return counts.filter((F.col("count") >= max(2.0, LEAST_SHARE * n)) & (F.col("count") <= max(2.0, MOST_SHARE * n))).select("code")
+
+
+def lexicon(codes: DataFrame) -> Lexicon:
+    out = Lexicon(bytearray(4 * PLACES), bytearray(7 * MORE), [])
+    numbered = codes.select("code", place(F.col("code")).alias("at"), further_place(F.col("code")).alias("then"))
+    for c, at, then in numbered.orderBy("code").toLocalIterator():  # see ``band``
+        if c[5:] != NONE and not any(out.first[4 * at : 4 * at + 4]):
+            out.first[4 * at : 4 * at + 4] = bytes.fromhex(c[5:])
+        elif c != "0" * 13 and not any(out.more[7 * then : 7 * then + 7]):
+            out.more[7 * then : 7 * then + 7] = bytes.fromhex("0" + c)
+        else:
+            out.rest.append(c)
     return out
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str, lex: bytearray) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, name: str, lex: Lexicon) -> DataFrame:
     """Add ``name``: SUBSETS parts of eight hexadecimal digits.
 
     The sorted terms are walked once: a mark before each subset gives the slice of terms that belongs to it."""
-    placed = F.filter(F.transform(terms(F.col(text)), lambda w: F.struct(code(w).alias("c"), w.alias("t"))), lambda x: (subset(x["c"]) < SUBSETS) & (F.substring(x["c"], 6, 8) != "00000000"))
-    inside = F.filter(placed, lambda x: F.substring(F.lit(lex), place(x["c"]) * 4 + 1, F.lit(4)) == F.unhex(F.substring(x["c"], 6, 8)))
+    placed = F.filter(F.transform(terms(F.col(text)), lambda w: F.struct(code(w).alias("c"), w.alias("t"))), lambda x: subset(x["c"]) < SUBSETS)
+    inside = F.filter(placed, lambda x: lex.holds(x["c"]))
     marks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit("").alias("t")) for k in range(SUBSETS + 1)])
     df = df.withColumn("_in", F.array_sort(F.concat(marks, F.transform(inside, lambda x: F.struct(subset(x["c"]).alias("k"), x["t"].alias("t"))))))
     df = df.withColumns({"_k": F.col("_in.k"), "_t": F.col("_in.t")})
@@ -120,7 +157,7 @@ def with_edited(docs: DataFrame) -> DataFrame:
 
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lex = lexicon(docs)
+    lex = lexicon(band(docs))
     rows = with_fingerprint(with_fingerprint(with_edited(docs), "text", "fingerprint", lex), "edited", "edited_fingerprint", lex)
     rows = rows.select("id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
     rows = stored(rows, "fingerprints")
@@ -138,10 +175,10 @@ e AS (SELECT *, concat(left(t, n - half), left(nt, half)) AS edited FROM x),
 w AS (SELECT DISTINCT doc_id, side, unnest(regexp_split_to_array(lower(s), '[\x20\x09-\x0D]+')) AS term
       FROM (SELECT doc_id, 0 AS side, t AS s FROM e UNION ALL SELECT doc_id, 1, edited FROM e)),
 h AS (SELECT doc_id, side, term, substr(md5(term), 1, 13) AS c FROM w WHERE term <> ''),
-g AS (SELECT *, n % 64 AS k, (n // 128) * 32 + n % 64 AS b, substr(c, 6, 8) AS rest FROM (SELECT *, ('0x' || substr(c, 1, 5))::INT AS n FROM h) WHERE n % 64 < 32),
-lex AS (SELECT b, min(rest) AS rest FROM (SELECT b, rest, c FROM g WHERE side = 0 GROUP BY ALL
-        HAVING count(DISTINCT doc_id) BETWEEN greatest(2.0, 0.002 * (SELECT count(*) FROM d)) AND greatest(2.0, 0.2 * (SELECT count(*) FROM d))) GROUP BY b),
-m AS (SELECT doc_id, side, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS part FROM g JOIN lex USING (b, rest) WHERE rest <> '00000000' GROUP BY ALL),
+g AS (SELECT *, n % 64 AS k FROM (SELECT *, ('0x' || substr(c, 1, 5))::INT AS n FROM h) WHERE n % 64 < 32),
+lex AS (SELECT c FROM g WHERE side = 0 GROUP BY c
+        HAVING count(DISTINCT doc_id) BETWEEN greatest(2.0, 0.002 * (SELECT count(*) FROM d)) AND greatest(2.0, 0.2 * (SELECT count(*) FROM d))),
+m AS (SELECT doc_id, side, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS part FROM g JOIN lex USING (c) GROUP BY ALL),
 f AS (SELECT doc_id, side, string_agg(coalesce(part, '--------'), '' ORDER BY k) AS fp
       FROM (SELECT doc_id, side, k FROM d, (VALUES (0), (1)) AS s(side), range(32) AS r(k)) LEFT JOIN m USING (doc_id, side, k) GROUP BY ALL),
 p AS (SELECT e.doc_id, e.n, sha256(e.edited) AS edited_sha256, a.fp AS fa, b.fp AS fb, c.fp AS fc

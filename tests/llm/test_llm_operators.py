@@ -577,7 +577,7 @@ def test_edited_texts(spark, odd):
     for r in got:
         nxt, half = order[(order.index(r.id) + 1) % 6], len(r.text) // 2
         assert r.next_id == nxt and r.edited == r.text[: len(r.text) - half] + least[nxt][:half]
-    lex = imatch.lexicon(df)
+    lex = imatch.lexicon(imatch.band(df))
     prints = {r.text: r.f for r in imatch.with_fingerprint(df, "text", "f", lex).collect()}
     assert prints[""] == imatch.EMPTY * imatch.SUBSETS
     assert imatch.with_edited(df.limit(0)).count() == 0
@@ -589,7 +589,7 @@ def test_texts_of_a_million_characters(spark):
     df = spark.createDataFrame([(1, long, "en", "a", len(long), "x"), (2, long, "en", "a", len(long), "x"), (3, "x" * 1_500_000, "en", "b", 1_500_000, "x")], "doc_id long, text string, lang string, source string, n_chars long, h string")
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert {r.size for r in mixing.measured(df).collect()} == {180_000, 1}
-    lex = imatch.lexicon(df.select("text"))
+    lex = imatch.lexicon(imatch.band(df.select("text")))
     prints = {r.doc_id: r.f for r in imatch.with_fingerprint(df, "text", "f", lex).collect()}
     assert prints[1] == prints[2] != prints[3]
     assert {r.doc_id: r.n_removed for r in substrings.removed(df).collect()} == {1: len(long), 2: len(long), 3: 1_500_000}
@@ -617,3 +617,14 @@ def test_pipeline_stages(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         empty = stored(stage(spark, empty, ""), "stage")
         assert empty.count() == 0
+
+
+def test_lexicon_keeps_terms_that_share_places(spark):
+    rng = random.Random(4)
+    inside = [f"{p:05x}{r:08x}" for p in (0, 1, 5, 77) for r in (0, 1, 2, 0x10000, 0x10001, 0x80000, 0xFFFFFFFF)]
+    inside += [f"{0x40:05x}{(7 << 16) | r:08x}" for r in range(5)]
+    outside = [f"{rng.randrange(100):05x}{rng.choice([0, 1, 3, 0x10000, 0x20001, rng.getrandbits(32)]):08x}" for _ in range(300)]
+    df = spark.createDataFrame([(c,) for c in {*inside, *outside}], "code string")
+    lex = imatch.lexicon(spark.createDataFrame([(c,) for c in inside], "code string"))
+    assert lex.rest
+    assert {r.code for r in df.filter(lex.holds(F.col("code"))).collect()} == set(inside)
