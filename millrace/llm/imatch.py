@@ -4,7 +4,7 @@ r"""Document fingerprints by I-Match with randomised lexicons (DataFrame operati
    over all documents.  The lexicon keeps terms whose inverse document frequency lies in a band: their
    documents are between LEAST_SHARE and MOST_SHARE of all (and two at least).  SUBSETS random subsets of them are
    chosen by digits of the terms' hashes, each with 1/64 of all terms.  The lexicon is exact: its terms fall into PLACES places by their first
-   20 bits, each with room for one term, the least by the other 32 bits; terms whose place is taken go to MORE further places by other bits, with
+   20 bits, each with room for one term, known there by its last 40 bits; terms whose place is taken go to MORE further places by other bits, with
    their whole hash, and the few that find none there are a list.
 2. A document's terms in the lexicon are made distinct and sorted.  Each subset gives one
    hash over the document's terms in it; an empty one gives dashes.
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from millrace.operators.ranking import with_global_rank
 from millrace.session import stored, table
 
-PLACES = 1 << 18
-MORE = 1 << 15
+PLACES = 1 << 17
+MORE = 1 << 14
 LEAST_SHARE, MOST_SHARE = 0.002, 0.2
 SUBSETS = 32
 SPACE = r"[\x20\x09-\x0D]+"
@@ -54,7 +54,7 @@ def _number(code_: Column) -> Column:
 def place(code_: Column) -> Column:
     """The place of a term of a subset."""
     n = _number(code_)
-    return F.shiftright(n, 7) * SUBSETS + n % (2 * SUBSETS)
+    return F.shiftright(n, 8) * SUBSETS + n % (2 * SUBSETS)
 
 
 def subset(code_: Column) -> Column:
@@ -63,15 +63,15 @@ def subset(code_: Column) -> Column:
 
 
 class Lexicon(NamedTuple):
-    """``first``: four bytes for each of PLACES, those of its term's code or zeros; ``more``: seven bytes for each of MORE, a whole code or zeros; ``rest``: codes."""
+    """``first``: five bytes for each of PLACES, the last ones of its term's code or zeros; ``more``: seven bytes for each of MORE, a whole code or zeros; ``rest``: codes."""
 
     first: bytearray
     more: bytearray
     rest: list[str]
 
     def holds(self, code_: Column) -> Column:
-        end = F.substring(code_, 6, 8)
-        here = F.substring(F.lit(self.first), place(code_) * 4 + 1, F.lit(4))
+        end = F.substring(code_, 4, 10)
+        here = F.substring(F.lit(self.first), place(code_) * 5 + 1, F.lit(5))
         found = (here == F.unhex(end)) & (end != NONE)
         taken = (here != F.unhex(F.lit(NONE))) | (end == NONE)
         further = F.substring(F.lit(self.more), further_place(code_) * 7 + 1, F.lit(7)) == F.unhex(F.concat(F.lit("0"), code_))
@@ -80,7 +80,7 @@ class Lexicon(NamedTuple):
         return found | (taken & code_.isin(self.rest)) if self.rest else found
 
 
-NONE = "0" * 8
+NONE = "0" * 10
 
 
 def further_place(code_: Column) -> Column:
@@ -96,11 +96,11 @@ def band(texts: DataFrame) -> DataFrame:
 
 
 def lexicon(codes: DataFrame) -> Lexicon:
-    out = Lexicon(bytearray(4 * PLACES), bytearray(7 * MORE), [])
+    out = Lexicon(bytearray(5 * PLACES), bytearray(7 * MORE), [])
     numbered = codes.select("code", place(F.col("code")).alias("at"), further_place(F.col("code")).alias("then"))
     for c, at, then in numbered.orderBy("code").toLocalIterator():  # see ``band``
-        if c[5:] != NONE and not any(out.first[4 * at : 4 * at + 4]):
-            out.first[4 * at : 4 * at + 4] = bytes.fromhex(c[5:])
+        if c[3:] != NONE and not any(out.first[5 * at : 5 * at + 5]):
+            out.first[5 * at : 5 * at + 5] = bytes.fromhex(c[3:])
         elif c != "0" * 13 and not any(out.more[7 * then : 7 * then + 7]):
             out.more[7 * then : 7 * then + 7] = bytes.fromhex("0" + c)
         else:
