@@ -4,6 +4,9 @@ language ID drops documents without a letter and corrects ``lang`` where it is s
 near-duplicates (similarity NEAR_PERCENT or more); PII masks personal data; mixing draws documents to the sources' target
 weights, some twice; packing lays the token pieces out in sequences.
 
+Very long texts are read whole by every stage: in slices by the first two, by prefixes in blocks by the third, as numbers by the fourth, and
+cut into pieces of a sequence's length only by the last.
+
 What a stage wrote beside its result, and the result of the stage before it, is deleted once its own result is written.
 """
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace.functions import prompts, scalars
-from millrace.operators import catalogue
+from millrace.operators import catalogue, sets
 from millrace.plans import hooks, jobs
 from millrace.registry import on_items, query
 from millrace.session import table
@@ -99,7 +99,9 @@ query("j12_overlay_gates", "SELECT lang AS slug, CASE lang WHEN 'en' THEN 70 ELS
 query("u5_fleet_union", "SELECT event_type AS provider, CAST(user_id AS VARCHAR) AS model, min(event_id) AS position FROM events GROUP BY ALL")(
     lambda spark, d: jobs.fleet_union(table(spark, d, "events").select(F.col("event_type").alias("provider"), F.lit("http://m").alias("base_url"), F.col("user_id").cast("string").alias("model"), F.col("event_id").alias("position"), F.col("event_id").alias("id"))).select("provider", "model", "position")
 )
-on_items("u3_recovered_not_seen", "SELECT DISTINCT source FROM items WHERE ovr > 95 AND source NOT IN (SELECT source FROM items WHERE rel > 98)")(lambda df: df.filter("ovr > 95").select("source").subtract(df.filter("rel > 98").select("source")))
+on_items("u3_recovered_not_seen", "SELECT DISTINCT source FROM items WHERE ovr > 95 AND source NOT IN (SELECT source FROM items WHERE rel > 98)")(
+    lambda df: sets.not_seen(df.filter("ovr > 95"), df.filter("rel > 98"), ["source"])
+)
 on_items("sc10_sorted_name", "SELECT path, lower(category) || '_i' || size || '_1700000000' AS name FROM items WHERE category IS NOT NULL")(lambda df: df.filter("category IS NOT NULL").select("path", F.substring_index(scalars.sorted_name(F.col("category"), F.concat(F.lit("i"), "size"), F.lit(1700000000)), "_", 3).alias("name")))
 on_items("src6_local_folder", "SELECT path FROM items WHERE size >= 1000 AND length(trim(prompt)) >= 40 AND size % 3 > 0 AND size % 5 > 0 AND size % 7 > 0")(
     lambda df: (lambda rows: media.local_folder(rows, rows.filter("size % 3 = 0"), rows.filter("size % 5 = 0"), rows.filter("size % 7 = 0"), min_bytes=1000).select("path"))(df.withColumn("stem", F.col("path")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import prompts, scalars
-from millrace.operators import similarity
+from millrace.operators import sets, similarity
 from millrace.plans import export, routing
 from millrace.registry import on_items, query, telemetry_events
 from millrace.session import table
@@ -40,10 +40,16 @@ query("f10_caption_pick", "SELECT conv_id, turn, CASE WHEN trim(text) <> '' AND
 
 # ---- sets ----
 
-on_items("u2_stale_paths", "SELECT path FROM items WHERE size % 7 = 0")(lambda df: df.select("path").exceptAll(df.filter("size % 7 <> 0").select("path")))
-on_items("u3_known_keys", "SELECT DISTINCT source FROM items WHERE ovr > 95 OR rel > 95")(lambda df: df.filter("ovr > 95").select("source").union(df.filter("rel > 95").select("source")).distinct())
-on_items("u4_kept_and_requested", "SELECT source FROM items WHERE nsfw INTERSECT SELECT source FROM items WHERE ovr > 90")(lambda df: df.filter("nsfw").select("source").intersect(df.filter("ovr > 90").select("source")))
-on_items("u1_union_feeds", "SELECT path, status FROM items")(lambda df: df.filter("status = 'queue'").select("path", "status").unionByName(df.filter("status = 'sorted'").select("path", "status", "category"), allowMissingColumns=True).select("path", "status"))
+on_items("u2_stale_paths", "SELECT path FROM items WHERE size % 7 = 0")(lambda df: sets.stale_paths(df, df.filter("size % 7 <> 0")))
+on_items("u3_known_keys", "SELECT DISTINCT source FROM items WHERE ovr > 95 OR rel > 95")(
+    lambda df: sets.known_keys([df.filter("ovr > 95"), df.filter("rel > 95")], ["source"])
+)
+on_items("u4_kept_and_requested", "SELECT source FROM items WHERE nsfw INTERSECT SELECT source FROM items WHERE ovr > 90")(
+    lambda df: sets.in_both(df.filter("nsfw"), df.filter("ovr > 90"), ["source"])
+)
+on_items("u1_union_feeds", "SELECT path, status FROM items")(
+    lambda df: sets.union_feeds([df.filter("status = 'queue'").select("path", "status"), df.filter("status = 'sorted'").select("path", "status", "category")], ["path", "status"])
+)
 
 # ---- judging ----
 

@@ -44,7 +44,7 @@ def read_texts(spark: SparkSession, root: str, suffix: str) -> DataFrame:
 
 
 def attach_sidecars(media: DataFrame, texts: DataFrame, audits: DataFrame, decoded: DataFrame | None = None) -> DataFrame:
-    """Caption from ``<stem>.txt`` or ``<file>.txt``; scores from the audit record, broken JSON as empty.
+    """Caption from ``<stem>.txt`` or ``<file>.txt``; scores from the audit record, broken JSON as empty; ``nsfw`` is false without a record.
 
     ``width`` and ``height`` are the audit's, else those of ``decoded (path, width, height)``, else 0, as for videos."""
     by_stem = texts.select("folder", "stem", F.col("text").alias("_by_stem"))
@@ -52,7 +52,7 @@ def attach_sidecars(media: DataFrame, texts: DataFrame, audits: DataFrame, decod
     audit = audits.select("folder", "stem", F.from_json("text", AUDIT, {"mode": "PERMISSIVE"}).alias("audit"))
     df = media.join(by_stem, ["folder", "stem"], "left").join(by_file, ["folder", "file"], "left").join(audit, ["folder", "stem"], "left")
     prompt = F.coalesce(F.trim("_by_stem"), F.trim("_by_file"), F.lit(""))
-    scores = {"ovr": F.col("audit.OVR_Quality_Score"), "rel": F.col("audit.REL_Quality_Score"), "quality": F.col("audit.quality_score"), "nsfw": F.col("audit.nsfw")}
+    scores = {"ovr": F.col("audit.OVR_Quality_Score"), "rel": F.col("audit.REL_Quality_Score"), "quality": F.col("audit.quality_score"), "nsfw": F.coalesce(F.col("audit.nsfw"), F.lit(False))}
     sides = {c: F.col(f"audit.{c}") for c in ("width", "height")}
     if decoded is not None:
         df = df.join(decoded.select(F.col("path").alias("_path"), *[F.col(c).alias(f"_{c}") for c in sides]), F.col("path") == F.col("_path"), "left")

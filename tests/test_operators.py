@@ -394,3 +394,19 @@ def test_a_library_that_breaks_on_import_hides_its_queries_only(tmp_path):
     (tmp_path / "millrace/llm/__init__.py").write_text("")
     (tmp_path / "millrace/llm/queries.py").write_text("import a_module_that_is_not_there\n")
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 100"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
+
+
+def test_sets_of_keys(spark):
+    from millrace.operators import sets
+
+    one = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), (None, 3)], "path string, n int")
+    two = spark.createDataFrame([("b", 2), (None, 3), ("c", 4)], "path string, n int")
+    paths = lambda df: sorted(r.path for r in df.collect())
+    assert paths(sets.stale_paths(one, two)) == ["a"]
+    assert paths(sets.known_keys([one, two], ["path"])) == ["a", "b", "c"]
+    assert paths(sets.not_seen(two, one, ["path"])) == ["c"]
+    assert paths(sets.in_both(one, two, ["path"])) == ["b"]
+    assert sets.not_seen(two, one, ["path", "n"]).count() == 1
+    both = sets.union_feeds([one, two.drop("n")])
+    assert both.count() == 7 and both.filter("n IS NULL").count() == 3
+    assert sets.stale_paths(one.limit(0), two).count() == 0 and sets.stale_paths(one, two.limit(0)).count() == 2
