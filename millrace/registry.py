@@ -198,4 +198,4 @@ query(
     SELECT query_id, vec_id, cosine, nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id)::INT AS nth FROM c) WHERE nth <= 10""",
 )(indexed_search)
 
-from millrace import registry_extra, registry_judging, registry_more  # noqa: E402,F401  (add to QUERIES and SQL)
+from millrace import registry_extra, registry_files, registry_judging, registry_more  # noqa: E402,F401  (add to QUERIES and SQL)

@@ -1,6 +1,7 @@
-"""Pixels: Spark's image source, quality metrics and difference hashes, in numpy per Arrow batch.
+"""Pixels: Spark's image source, quality metrics and difference hashes, in numpy per Arrow batch; sizes from headers alone.
 
-The reader knows what Java's ImageIO knows; anything else has height -1 and gets null metrics.
+The reader knows what Java's ImageIO knows; anything else has height -1 and gets null metrics.  The size of a WebP file, which it
+doesn't know, comes from the header.
 The resampling is this package's own: hashes are comparable with each other."""
 
 from __future__ import annotations
@@ -12,8 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.headers import image_header
+
 LONGEST = 512
 HASH_SIDE = 8
+# Kinds that are images though the reader can't decode them.
+UNREAD = ("webp",)
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -23,6 +28,14 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return image.select(F.col("origin").alias("path"), *[F.when(good, F.col(c)).otherwise(0).alias(c) for c in ("width", "height")], F.col("nChannels").alias("channels"), F.when(good, F.col("data")).alias("pixels"))
 
 
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """``path, size, kind, width, height`` of the files below ``path``, by their first bytes; what is no image has nulls.
+
+    It serves as ``decoded`` of ``attach_sidecars`` and as ``headers`` of ``image_metrics``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("size"), image_header(F.col("content")).alias("_header")).select("path", "size", "_header.*")
+
+
 def luma(pixels: bytes, width: int, height: int, channels: int) -> np.ndarray:
     """Rounded ITU-R 601 luma of blue-green-red rows."""
     raw = np.frombuffer(pixels, np.uint8).reshape(height, width, channels).astype(np.float64)
@@ -67,8 +80,10 @@ def difference_hash(gray: np.ndarray) -> str:
     return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
 
 
-def image_metrics(images: DataFrame) -> DataFrame:
-    """``path, width, height, blur, brightness, contrast, phash`` of each image."""
+def image_metrics(images: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """``path, width, height, blur, brightness, contrast, phash`` of each image.
+
+    With ``headers (path, kind, width, height)`` the images that the reader can't decode, but that aren't broken, have their sizes."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -81,4 +96,12 @@ def image_metrics(images: DataFrame) -> DataFrame:
                 rows.append((r.path, r.width, r.height, sharpness(gray), float(gray.mean()), float(gray.std()), difference_hash(gray)))
             yield pd.DataFrame(rows, columns=["path", "width", "height", "blur", "brightness", "contrast", "phash"])
 
-    return images.mapInPandas(measure, "path string, width int, height int, blur double, brightness double, contrast double, phash string")
+    out = images.mapInPandas(measure, "path string, width int, height int, blur double, brightness double, contrast double, phash string")
+    if headers is None:
+        return out
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  # the two readers write local paths in two ways
+    told = headers.filter(F.col("kind").isin(*UNREAD) & F.col("width").isNotNull())
+    told = told.select(plain("path").alias("_path"), F.col("width").alias("_width"), F.col("height").alias("_height")).dropDuplicates(["_path"])
+    out = out.join(told, plain("path") == F.col("_path"), "left")
+    unread = F.col("blur").isNull() & F.col("_width").isNotNull()
+    return out.withColumns({c: F.when(unread, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("width", "height")}).drop("_path", "_width", "_height")
