@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.headers import image_header
 from millrace.registry import query
-from millrace.session import table
+from millrace.session import shared_dir, table
+from millrace.streaming.scoring import ScoredStream, judge_stream, judged_answers
+from millrace.streaming.seen import SeenTable
 
 
 def _hex(value: Column, size: int, little: bool = False) -> Column:
@@ -36,3 +40,42 @@ query(
     CASE WHEN doc_id % 5 < 4 THEN CAST(n_chars % 4000 + 1 AS INT) END AS width, CASE WHEN doc_id % 5 < 4 THEN CAST(doc_id % 3000 + 1 AS INT) END AS height
     FROM documents""",
 )(lambda spark, d: heads(table(spark, d, "documents")).select("doc_id", image_header(F.col("content")).alias("h")).select("doc_id", "h.*"))
+
+
+@query(
+    "j2_seen_table",
+    """SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem
+    WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY l_orderkey""",
+)
+def seen_table(spark: SparkSession, d: str) -> DataFrame:
+    """The first line of each order that isn't among the urgent ones, which a seen table holds."""
+    seen = SeenTable(spark, f"{shared_dir(spark)}/seen-{uuid.uuid4().hex}", 16)
+    seen.add(table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'"), "o_orderkey")
+    return seen.unseen(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", [F.asc("l_linenumber")])
+
+
+def _model():
+    """A stand-in for a model: it doesn't answer some rows the first time and others never."""
+
+    def ask(frames):
+        for f in frames:
+            never, late = f["doc_id"] % 11 == 0, (f["doc_id"] % 7 == 0) & (f["attempt"] == 1)
+            said = '{"category": "' + f["doc_id"].mod(2).map({0: "Top", 1: "Mid"}) + '", "OVR_Quality_Score": ' + (f["n_chars"].fillna(0).astype("int64") % 101).astype(str) + "}"
+            yield said.mask(never | late)
+
+    return ask
+
+
+@query(
+    "st7_scored_stream",
+    """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 3 WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS attempt,
+    CASE WHEN doc_id % 11 = 0 THEN NULL WHEN coalesce(n_chars, 0) % 101 < 40 THEN 'DISCARD' WHEN doc_id % 2 = 0 THEN 'Top' ELSE 'Mid' END AS category FROM documents""",
+)
+def scored_stream(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as a stream, scored and judged, with two further rounds for rows without an answer; the given up ones have no category."""
+    base = f"{shared_dir(spark)}/scored-{uuid.uuid4().hex}"
+    schema = table(spark, d, "documents").select("doc_id", "n_chars").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]")  # a pattern finds a file as well as a folder of files
+    scored = ScoredStream(spark, f"{base}/rows", _model(), lambda df: judged_answers(df, ("Top", "Mid"), 40).select("doc_id", "attempt", "category"))
+    judged = judge_stream(stream, scored, f"{base}/checkpoint").select("doc_id", "attempt", "category")
+    return judged.unionByName(scored.read("given_up").select("doc_id", "attempt"), allowMissingColumns=True)

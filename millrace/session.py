@@ -53,6 +53,13 @@ def remove(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none where it doesn't exist."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What ``stored`` writes inside is deleted at the end; write what is to last by ``stored_at``."""

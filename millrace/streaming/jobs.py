@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from millrace.operators.catalogue import new_items
 from millrace.streaming.admission import rolling_admission, stream_admission
 from millrace.streaming.keyed_table import KeyedTable, stream_to_table
+from millrace.streaming.scoring import ScoredStream, judge_stream
+from millrace.streaming.seen import SeenTable, stream_first_seen
 
-__all__ = ["KeyedTable", "first_seen", "rolling_admission", "score_stream", "stream_admission", "stream_crossings", "stream_to_table", "windowed_counts"]
+__all__ = ["KeyedTable", "ScoredStream", "SeenTable", "first_seen", "judge_stream", "rolling_admission", "score_stream", "stream_admission", "stream_crossings", "stream_first_seen", "stream_to_table", "windowed_counts"]
 
 
 def windowed_counts(events: DataFrame, key: str, width: str = "1 hour", slide: str | None = None, delay: str = "1 hour", value: str = "value") -> DataFrame:
