@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import BinaryIO
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import HUB_IMAGES, HUB_VIDEOS, duration_label, fps_label, resolution_label, split_bucket, trigger_word
 from millrace.operators.catalogue import TERMINAL, unique_stems
 from millrace.operators.ranking import with_rank_in_group
+from millrace.session import remove
 
+CHUNK = 4 << 20
+TEMPORARY = "_temporary-"
 PROFILES = ("kohya", "folders", "webdataset", "clips")
 
 
@@ -69,67 +82,84 @@ def write_hub_metadata(rows: DataFrame, path: str, include_video: bool = False)
     hub_metadata(rows, include_video).repartitionByRange("file_name").sortWithinPartitions("file_name").write.mode("overwrite").json(path)
 
 
-def copy_files(planned: DataFrame, destination: str) -> DataFrame:
-    """Copy each sample and write its caption on the executors, and its audit record, ``{}`` if it has none, where the plan has a
-    column ``audit``; returns what was written.
+def _copied(source: BinaryIO, target: BinaryIO) -> int:
+    """Copy a stream by chunks, so that no file is in memory as a whole; returns its size."""
+    size = 0
+    while chunk := source.read(CHUNK):
+        target.write(chunk)
+        size += len(chunk)
+    return size
 
-    Only paths move through Spark; a file is written under a temporary name first, so that a
-    task can run again."""
 
-    def copy(batches):
-        import uuid
+@contextmanager
+def _finished(target, root: str, run: str, path: str) -> Iterator[BinaryIO]:
+    """A stream to a file in the run's own folder, which takes its name when it is whole; a task that runs again puts the same file there.
+
+    ``publish`` removes that folder."""
+    folder = path.rsplit("/", 1)[0]
+    target.create_dir(folder)
+    target.create_dir(f"{root}/{TEMPORARY}{run}")
+    part = f"{root}/{TEMPORARY}{run}/{uuid.uuid4().hex}"
+    with target.open_output_stream(part) as out:
+        yield out
+    target.move(part, path)
 
-        import pyarrow as pa
-        import pyarrow.fs as fs
 
+def copy_files(planned: DataFrame, destination: str, run: str = "") -> DataFrame:
+    """Copy each sample and write its caption on the executors, and its audit record, ``{}`` if it has none, where the plan has a
+    column ``audit``; returns ``written, size`` of the samples.  Only paths move through Spark."""
+
+    def copy(batches):
         target, root = fs.FileSystem.from_uri(destination)
         for batch in batches:
             done = []
             for row in batch.to_pylist():
-                folder = f"{root}/{row['folder']}".rstrip("/")
-                target.create_dir(folder)
+                stem = f"{root}/{row['folder']}".rstrip("/") + f"/{row['name']}"
                 source, path = fs.FileSystem.from_uri(row["path"])
-                out = f"{folder}/{row['name']}{row['ext']}"
-                sides = {".txt": row["caption"] or ""} | ({".json": row["audit"] or "{}"} if "audit" in row else {})
-                for name, data in ((out, source.open_input_stream(path).read()), *((f"{folder}/{row['name']}{ext}", text.encode()) for ext, text in sides.items())):
-                    temporary = f"{name}.{uuid.uuid4().hex}"
-                    with target.open_output_stream(temporary) as f:
-                        f.write(data)
-                    target.move(temporary, name)
-                done.append(out)
-            yield pa.RecordBatch.from_pydict({"written": done}, schema=pa.schema([("written", pa.string())]))
+                with source.open_input_stream(path) as read, _finished(target, root, run, stem + row["ext"]) as out:
+                    size = _copied(read, out)
+                for ext, text in ({".txt": row["caption"] or ""} | ({".json": row["audit"] or "{}"} if "audit" in row else {})).items():
+                    with _finished(target, root, run, stem + ext) as out:
+                        out.write(text.encode())
+                done.append({"written": stem + row["ext"], "size": size})
+            yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("written", pa.string()), ("size", pa.int64())]))
 
-    return planned.select("path", "folder", "name", "ext", "caption", *(["audit"] if "audit" in planned.columns else [])).mapInArrow(copy, "written string")
+    return planned.select("path", "folder", "name", "ext", "caption", *(["audit"] if "audit" in planned.columns else [])).mapInArrow(copy, "written string, size long")
 
 
-def write_tars(planned: DataFrame, destination: str) -> DataFrame:
-    """One tar per folder and shard, its members image, ``.txt`` and ``.json`` sharing a stem.
+def write_tars(planned: DataFrame, destination: str, run: str = "") -> DataFrame:
+    """One tar per folder and shard, its members image, ``.txt`` and ``.json`` sharing a stem; returns ``written, n``.
 
-    A shard has a bounded number of samples; only paths, captions and audit texts are shuffled,
-    bytes are read where the tar is written, under a temporary name first."""
+    A shard has a bounded number of samples; only paths, captions and audit texts are shuffled, bytes are read where the tar is written."""
 
     def write(pdf):
-        import io
-        import tarfile
-        import uuid
-
-        import pandas as pd
-        import pyarrow.fs as fs
-
         target, root = fs.FileSystem.from_uri(destination)
-        folder = f"{root}/{pdf['folder'].iloc[0]}".rstrip("/")
-        target.create_dir(folder)
-        path = f"{folder}/{pdf['shard'].iloc[0]}"
-        temporary = f"{path}.{uuid.uuid4().hex}"
-        with target.open_output_stream(temporary) as out, tarfile.open(fileobj=out, mode="w|") as tar:
+        path = f"{root}/{pdf['folder'].iloc[0]}".rstrip("/") + f"/{pdf['shard'].iloc[0]}"
+        with _finished(target, root, run, path) as out, tarfile.open(fileobj=out, mode="w|") as tar:
             for row in pdf.sort_values("path").itertuples():
                 source, where = fs.FileSystem.from_uri(row.path)
-                for ext, data in ((row.ext, source.open_input_stream(where).read()), (".txt", (row.caption or "").encode()), (".json", (row.audit or "{}").encode())):
-                    info = tarfile.TarInfo(row.name + ext)
+                info = tarfile.TarInfo(row.name + row.ext)
+                info.size = source.get_file_info(where).size
+                with source.open_input_stream(where) as read:
+                    tar.addfile(info, read)
+                for ext, text in ((".txt", row.caption or ""), (".json", row.audit or "{}")):
+                    info, data = tarfile.TarInfo(row.name + ext), text.encode()
                     info.size = len(data)
                     tar.addfile(info, io.BytesIO(data))
-        target.move(temporary, path)
         return pd.DataFrame({"written": [path], "n": [len(pdf)]})
 
     rows = planned.select("path", "folder", "shard", "name", "ext", "caption", "audit")
     return rows.groupBy("folder", "shard").applyInPandas(write, "written string, n long")
+
+
+def publish(planned: DataFrame, destination: str, write: Callable[[DataFrame, str, str], DataFrame] = copy_files) -> DataFrame:
+    """Run a writer and publish what it wrote as the table ``_manifest`` in the destination, which it returns.
+
+    The manifest of an earlier run goes first and the new one is whole or absent, so an export without one broke off.  Files of an earlier run stay and may
+    be outside the manifest.  What killed tasks left is removed in either case; a task that ran twice is in the manifest once."""
+    spark, run, manifest = planned.sparkSession, uuid.uuid4().hex, f"{destination.rstrip('/')}/_manifest"
+    try:
+        write(planned, destination, run).write.mode("overwrite").parquet(manifest)
+    finally:
+        remove(spark, f"{destination.rstrip('/')}/{TEMPORARY}{run}")
+    return spark.read.parquet(manifest)

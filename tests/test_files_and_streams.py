@@ -6,6 +6,7 @@ import tarfile
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.plans import export, jobs, routing
@@ -48,6 +49,38 @@ def test_tars(spark, tmp_path):
         assert sorted(tar.getnames()) == ["same.json", "same.png", "same.txt", "same_1.json", "same_1.png", "same_1.txt"]
 
 
+def test_published_exports(spark, tmp_path):
+    rng, rows = np.random.default_rng(3), []
+    for i, size in enumerate([0, 17, export.CHUNK, 2 * export.CHUNK + 5]):
+        (tmp_path / f"{i}.mp4").write_bytes(rng.bytes(size))
+        rows.append((f"file://{tmp_path}/{i}.mp4", "Keep", "web", f"s{i}", ".mp4", None if i == 0 else f"c{i}", None))
+    schema = "path string, category string, source string, stem string, ext string, caption string, audit string"
+    df = spark.createDataFrame(rows, schema)
+    out, base = f"file://{tmp_path}/out", tmp_path / "out"
+    planned = export.plan(df, "folders")
+    lost = planned.withColumn("path", F.when(F.col("name") == "s3", F.concat("path", F.lit(".gone"))).otherwise(F.col("path")))
+    parts = lambda: [p for p in base.rglob("*") if p.name.startswith(export.TEMPORARY)]
+    for _ in range(2):
+        with pytest.raises(Exception, match="gone"):
+            export.publish(lost, out)
+        assert not (base / "_manifest/_SUCCESS").exists() and not parts()
+        manifest = export.publish(planned, out).collect()
+        assert sorted(r.size for r in manifest) == [0, 17, export.CHUNK, 2 * export.CHUNK + 5] and not parts()
+        for r in manifest:
+            stem = r.written.rsplit("/", 1)[-1].removesuffix(".mp4")
+            assert (tmp_path / f"{stem[1:]}.mp4").read_bytes() == open(r.written, "rb").read()
+            assert open(r.written.removesuffix(".mp4") + ".txt").read() == ("" if stem == "s0" else f"c{stem[1:]}")
+    tars = export.publish(export.plan(df, "webdataset", shard=3), f"file://{tmp_path}/tars", export.write_tars).collect()
+    assert sorted(r.n for r in tars) == [1, 3]
+    members = {}
+    for r in tars:
+        with tarfile.open(r.written) as tar:
+            members |= {m.name: tar.extractfile(m).read() for m in tar.getmembers()}
+    assert len(members) == 12 and all(members[f"s{i}.mp4"] == (tmp_path / f"{i}.mp4").read_bytes() for i in range(4))
+    assert members["s0.json"] == b"{}" and members["s2.txt"] == b"c2"
+    assert export.publish(planned.limit(0), out).count() == 0
+
+
 def test_job_joins(spark):
     presets = spark.createDataFrame([("a", 1, ["x"]), ("b", 2, ["y"])], "slug string, ovr_min int, tags array<string>")
     over = spark.createDataFrame([("a", None, ["z"])], "slug string, ovr_min int, tags array<string>")
