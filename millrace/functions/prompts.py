@@ -5,6 +5,8 @@ Column expressions where the built-in functions can say it; the reader of PNG ch
 from __future__ import annotations
 
 import html
+import html.entities
+import json
 import re
 
 import pandas as pd
@@ -128,6 +130,36 @@ def unescaped(text: pd.Series) -> pd.Series:
 
 def message_text(message: Column) -> Column:
     """``content`` of a message struct, or ``reasoning_content`` where that is blank."""
+def _references() -> tuple[Column, Column]:
+    """What named references and the numbers of control characters and the like stand for, as literal maps."""
+    special = [*range(160), *range(0xFDD0, 0xFDF0), *(plane << 16 | end for plane in range(17) for end in (0xFFFE, 0xFFFF))]
+    maps = {name[:-1]: char for name, char in html.entities.html5.items() if name.endswith(";")}, {str(n): html.unescape(f"&#{n};") for n in special}
+    return tuple(F.from_json(F.lit(json.dumps(m)), "map<string,string>") for m in maps)
+
+
+def closed_references(text: Column) -> Column:
+    """Named and numeric character references that end in a semicolon decoded once, in order; others stay, such as those that a cut text ends with.
+
+    The text is cut at the references, so that nothing decoded is looked at again."""
+    named, special = _references()
+
+    def char(reference: Column) -> Column:
+        name = F.substring(reference, F.lit(2), F.length(reference) - 2)
+        digits = F.regexp_replace(name, "^#[xX]?0*(?=.)", "")
+        number = F.when(F.length(digits) > 7, 0x110000).when(F.lower(name).startswith("#x"), F.conv(digits, 16, 10).cast("int")).otherwise(F.conv(digits, 10, 10).cast("int"))
+        return F.when(~name.startswith("#"), F.coalesce(F.try_element_at(named, name), reference)).otherwise(_code_point(number, special))
+
+    pattern = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+    decoded = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), char)
+    whole = F.array_join(F.zip_with(F.split(text, pattern, -1), decoded, lambda t, c: F.concat(t, F.coalesce(c, F.lit("")))), "")
+    return F.when(text.contains("&"), whole).otherwise(text)
+
+
+def _code_point(number: Column, special: Column) -> Column:
+    other = F.when((number > 0x10FFFF) | number.between(0xD800, 0xDFFF), "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    return F.coalesce(F.try_element_at(special, number.cast("string")), other)
+
+
     content = F.coalesce(message["content"], F.lit(""))
     return F.when(F.length(F.regexp_replace(content, r"\s+", "")) > 0, content).otherwise(F.coalesce(message["reasoning_content"], F.lit("")))
 
