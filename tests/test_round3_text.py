@@ -9,3 +9,9 @@ def test_cut_references_stay(spark):
     texts = ["a&amp</title>", "&amp;lt; &#38;#60; &copy;", "&#128;&#xD800;&#00065;&#99999999;&bogus; &;", "none", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert [r.t for r in df.select("i", scalars.clean_html(F.col("t")).alias("t")).orderBy("i").collect()] == ["a&amp", "&lt; &#60; ©", "€�A�&bogus; &;", "none", None]
+
+
+def test_white_space_is_no_part_of_forty_characters(spark):
+    texts = ["Prompt: " + "x" * 39, "Prompt: " + "x" * 40, "Prompt: " + "x" * 1999 + " y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.t for r in df.select("i", scalars.prompt_of_page(F.col("t")).alias("t")).orderBy("i").collect()] == [texts[0], "x" * 40, "x" * 1999]
