@@ -101,6 +101,14 @@ def png_texts(content: pd.Series) -> pd.Series:
     return content.map(texts)
 
 
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value.
+
+    Spark's parser ends with the first value, whatever follows; inside both kinds of brackets nothing can."""
+    inside = [F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))).isNotNull() for a, b in (("[", "]"), ('{"a":', "}"))]
+    return inside[0] & inside[1] & F.try_parse_json(text).isNotNull()
+
+
 def png_text_prompt(content: Column) -> Column:
     """The prompt in a PNG's text chunks, by PNG_KEYS: a node graph's positive text, or of a text that isn't JSON what stands before the negative
     prompt and the settings, if it has over 40 characters.
@@ -111,7 +119,7 @@ def png_text_prompt(content: Column) -> Column:
     def of(key: str) -> Column:
         text = F.try_element_at(texts, F.lit(key))
         plain = _stripped(F.regexp_extract(text, r"(?s)\A(.*?)(?:Negative prompt:|Steps:|\z)", 1))
-        return F.when(F.try_parse_json(text).isNotNull(), positive_text(text, False)).when(F.length(plain) > LEAST_PROMPT, plain)
+        return F.when(is_json(text), positive_text(text, False)).when(F.length(plain) > LEAST_PROMPT, plain)
 
     return F.coalesce(*map(of, PNG_KEYS))
 
@@ -122,14 +130,6 @@ def yaml_prompt(text: Column) -> Column:
     return positive_text(F.replace(graph, F.lit("\\'"), F.lit("'")), True)
 
 
-@F.pandas_udf(StringType())
-def unescaped(text: pd.Series) -> pd.Series:
-    """All named and numeric character references decoded."""
-    return text.map(lambda t: html.unescape(t) if isinstance(t, str) and "&" in t else t)
-
-
-def message_text(message: Column) -> Column:
-    """``content`` of a message struct, or ``reasoning_content`` where that is blank."""
 def _references() -> tuple[Column, Column]:
     """What named references and the numbers of control characters and the like stand for, as literal maps."""
     special = [*range(160), *range(0xFDD0, 0xFDF0), *(plane << 16 | end for plane in range(17) for end in (0xFFFE, 0xFFFF))]
@@ -160,6 +160,14 @@ def _code_point(number: Column, special: Column) -> Column:
     return F.coalesce(F.try_element_at(special, number.cast("string")), other)
 
 
+@F.pandas_udf(StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """All named and numeric character references decoded."""
+    return text.map(lambda t: html.unescape(t) if isinstance(t, str) and "&" in t else t)
+
+
+def message_text(message: Column) -> Column:
+    """``content`` of a message struct, or ``reasoning_content`` where that is blank."""
     content = F.coalesce(message["content"], F.lit(""))
     return F.when(F.length(F.regexp_replace(content, r"\s+", "")) > 0, content).otherwise(F.coalesce(message["reasoning_content"], F.lit("")))
 
