@@ -40,8 +40,8 @@ def reddit_listing(dump: DataFrame, subreddits: tuple[str, ...] = ()) -> DataFra
     gallery = F.transform(ids, lambda i: F.coalesce(F.col("media_metadata")[i["media_id"]]["s"]["u"], F.col("media_metadata")[i["media_id"]]["s"]["gif"]))
     hosted = F.when(F.col("url").rlike(IMAGE_HOST), F.col("url"))
     urls = F.array_distinct(F.transform(F.array_compact(F.concat(F.array(direct), preview, gallery, F.array(hosted), F.array("media.reddit_video.fallback_url"))), _unescaped))
-    text = prompt_of_page(clean_html(F.concat_ws("\n", "title", "selftext")))
-    prompt = F.when(F.length(text) < 30, F.col("title")).otherwise(text)
+    post = post.withColumn("_clean", clean_html(F.concat_ws("\n", "title", "selftext"))).withColumn("_text", prompt_of_page(F.col("_clean")))
+    prompt = F.when(F.length("_text") < 30, F.col("title")).otherwise(F.col("_text"))
     rows = post.select("id", prompt.alias("prompt"), F.posexplode(F.slice(urls, 1, URLS_PER_POST)).alias("i", "url"))
     return rows.select(F.concat_ws("_", F.lit("reddit"), "id", F.col("i").cast("string")).alias("key"), "url", "prompt")
 

@@ -28,3 +28,10 @@ def test_json_is_judged_whole(spark):
     texts = {'{"a": 1} ': True, "1": True, "1 x": False, "1, 2": False, '1, "b": 2': False, "1],[2": False, "1}": False, "": False}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r.t: r.o for r in df.select("t", prompts.is_json(F.col("t")).alias("o")).collect()} == texts
+
+
+def test_a_listing_needs_no_python_workers(spark, capsys):
+    from millrace.sources import feeds
+
+    feeds.reddit_listing(spark.createDataFrame([("{}",)], "value string")).explain()
+    assert "Python" not in capsys.readouterr().out
