@@ -39,14 +39,23 @@ def cost_totals(usage: DataFrame) -> DataFrame:
 
 
 def hourly_spend(usage: DataFrame, key: str, micros: Column, cost: str) -> DataFrame:
-    """``hourly``: the cost of the hour up to each row, its first instant included.
+    """``hourly``: the cost of the hour up to each row, its first instant included; a row without a time has the cost of all such rows.
 
-    A row is summed up in its own clock hour and lends its cost to the next one, and so a task
+    That is the running sum of a row's own clock hour, and of the clock hour before the running sum from its end back to the same minute and instant: no
+    row is summed up for each of its neighbours, and nothing is subtracted.  A row lends its remainder to the next clock hour, and so a task
     holds two hours of a key at most, however hot the key is."""
+    until, since = (Window.partitionBy(key, "_hour").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("_us"), F.desc("_us")))
     rows = usage.withColumn("_us", micros).withColumn("_hour", F.floor(F.col("_us") / HOUR))
-    rows = rows.withColumn("_in", F.explode(F.array(F.col("_hour"), F.col("_hour") + 1)))
-    hour = Window.partitionBy(key, "_in").orderBy("_us").rangeBetween(-HOUR, 0)
-    return rows.withColumn("hourly", F.round(F.sum(cost).over(hour), 4)).filter("_in = _hour").drop("_in", "_hour")
+    rows = rows.withColumns({"_until": F.sum(cost).over(until), "_since": F.sum(cost).over(since)})
+    own = F.col("_own")
+    both = rows.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).filter("_own OR _us IS NOT NULL")
+    both = both.withColumns({"_in": F.when(own, F.col("_hour")).otherwise(F.col("_hour") + 1), "_at": F.when(own, F.col("_us")).otherwise(F.col("_us") + HOUR), "_since": F.when(~own, F.col("_since"))})
+    both = both.withColumns({c: F.when(own, F.col(c)) for c in (*usage.columns, "_us", "_until") if c != key})
+    # Backwards in time, the last remainder is that of the first row still inside the hour; where it is null, so are those before.
+    nearest = Window.partitionBy(key, "_in").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumn("_rest", F.last("_since", ignorenulls=True).over(nearest)).filter(own)
+    hourly = F.round(F.coalesce(F.col("_until") + F.col("_rest"), F.col("_until"), F.col("_rest")), 4)
+    return out.withColumn("hourly", hourly).drop("_own", "_in", "_at", "_hour", "_until", "_since", "_rest")
 
 
 def spend_alerts(usage: DataFrame, key: str, threshold: float, tie: str) -> DataFrame:
