@@ -8,6 +8,7 @@ from math import comb, inf
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +17,10 @@ from millrace.operators.components import connected_components
 from millrace.operators.ranking import with_rank_in_group
 from millrace.session import stored
 
-BITS, MOST_PROBES = 64, 5000
-BLOCK = 4096
+BITS, MOST_PROBES = 64, 200
+#: Blocks of values that meet each other, their least and largest size, and how many comparisons of values in a block cost as much as a row of a join.
+BLOCKS, LEAST_BLOCK, MOST_BLOCK, ROW = 64, 1024, 65_536, 100
+CELLS = 1 << 21
 
 
 def signature(vector: Column) -> Column:
@@ -32,32 +35,64 @@ def hex_hash(text: Column) -> Column:
 
 
 def band_plan(n: int, threshold: int) -> int:
-    """How many bands make the fewest comparisons among n values, by the probes of a value and the values each meets; 0 for all with all."""
+    """How many bands make the least work among n values, by the probes of a value and the values each meets; 0 for all with all.
+
+    A value has MOST_PROBES probes at most in a band, so that what is shuffled stays in proportion to the values."""
 
     def work(bands: int) -> float:
         width, radius = BITS // bands, threshold // bands
         probes = sum(comb(width, r) for r in range(radius + 1))
-        return bands * probes * (1 + n / 2**width) if probes <= MOST_PROBES else inf
+        return ROW * bands * probes * (1 + n / 2**width) if probes <= MOST_PROBES else inf
 
     best = min(range(2, 9), key=work)
     return best if work(best) < n else 0
 
 
+def _near_in_blocks(left: np.ndarray, right: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of values of two blocks, the lesser first; CELLS at a time are compared."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    step = max(1, CELLS // max(1, len(right)))
+    for at in range(0, len(left), step):
+        part = left[at : at + step]
+        i, j = np.nonzero(np.bitwise_count((part[:, None] ^ right[None, :]).view(np.uint64)) <= threshold)
+        found.append((part[i], right[j]))
+    x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def _all_close(distinct: DataFrame, n: int, threshold: int) -> DataFrame:
+    """All values with all, a block with a block: each block meets itself and half of the others, as many as any other."""
+    blocks = -(-n // min(MOST_BLOCK, max(LEAST_BLOCK, n // BLOCKS))) or 1
+    packed = distinct.groupBy(F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("_b")).agg(F.collect_list("v").alias("_left"))
+    packed = stored(packed, "blocks")
+    left = packed.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(blocks // 2)))).withColumn("_c", F.pmod(F.col("_b") + F.col("_d"), F.lit(blocks)))
+    left = left.filter((2 * F.col("_d") < blocks) | (F.col("_b") < F.col("_c")))
+    met = left.join(packed.select(F.col("_b").alias("_c"), F.col("_left").alias("_right")), "_c").select("_d", "_left", "_right")
+
+    def compare(batches):
+        for batch in batches:
+            for r in range(len(batch)):
+                left, right = (batch.column(c)[r].values.to_numpy() for c in (1, 2))
+                v, w = _near_in_blocks(left, right, threshold)
+                if not batch.column(0)[r].as_py():  # a block with itself has each pair twice
+                    own = v < w
+                    v, w = np.unique(np.stack([v[own], w[own]]), axis=1) if own.any() else (v[:0], w[:0])
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(w)], names=["v", "w"])
+
+    return met.mapInArrow(compare, "v long, w long")
+
+
 def _close_values(distinct: DataFrame, threshold: int) -> DataFrame:
     """``v, w``: distinct 64-bit values (v < w) that differ in at most ``threshold`` bits.
 
     Multi-index hashing: of b bands some one differs in at most ``threshold // b`` bits, so one side is probed with all such variants of
     each band and meets the other in an equality join.  The number of bands follows from the number of values; where probes
-    cost more than they save, as for few values, all values meet in blocks."""
-    close = F.bit_count(F.col("v").bitwiseXOR(F.col("w"))) <= threshold
+    cost more than they save, as for wide thresholds or few values, all values meet in blocks."""
     n = distinct.count()
     bands = band_plan(n, threshold)
     if not bands:
-        blocks = max(1, -(-n // BLOCK))
-        dealt = distinct.withColumn("_b", F.pmod(F.xxhash64("v"), F.lit(blocks)))
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-        left, right = dealt.withColumn("_c", every), dealt.select(F.col("v").alias("w"), F.col("_b").alias("_c")).withColumn("_b", every)
-        return left.join(right, ["_b", "_c"]).filter((F.col("v") < F.col("w")) & close).select("v", "w")
+        return _all_close(distinct, n, threshold)
+    close = F.bit_count(F.col("v").bitwiseXOR(F.col("w"))) <= threshold
     width = BITS // bands
     masks = [sum(1 << i for i in bits) for r in range(threshold // bands + 1) for bits in combinations(range(width), r)]
     parts = F.posexplode(F.array(*[F.shiftrightunsigned("v", width * i).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for i in range(bands)]))
