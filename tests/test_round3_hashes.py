@@ -24,3 +24,10 @@ def test_probes_of_a_value_stay_few(n):
     for threshold in range(33):
         bands = similarity.band_plan(n, threshold)
         assert not bands or sum(comb(64 // bands, r) for r in range(threshold // bands + 1)) <= 200
+
+
+def test_groups_at_a_wide_threshold(spark):
+    chain = [(1 << 12 * i) - 1 for i in range(6)]
+    rows = [(i + 1, v) for i, v in enumerate(chain)] + [(90, chain[0]), (91, None), (92, -1)]
+    got = similarity.near_hash_groups(spark.createDataFrame(rows, "k int, v long"), "k", "v", 15)
+    assert {r.k: r.component for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 90: 1, 91: 91, 92: 1}
