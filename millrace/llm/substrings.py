@@ -237,10 +237,21 @@ def _exploded(dictionary: DataFrame, length: int) -> DataFrame:
             row = np.repeat(np.arange(len(counts)), counts)
             salt = mix(batch.column(0).to_numpy().view(np.uint64))[row]
             one, two = (string_hashes(d, at, salt, length) for d in (data, _OTHER[data]))
+            beside = _beside(one, two)
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(1).take(at), batch.column(2).take(at), batch.column(3).take(at), pa.array((batch.column(4).to_numpy()[row] + index).astype(np.int32))], names=["string", "string2", "times", "d", "h", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(1).take(at), batch.column(2).take(at), batch.column(3).take(at), pa.array((batch.column(4).to_numpy()[row] + index).astype(np.int32)), pa.array(beside)], names=["string", "string2", "times", "d", "h", "start", "beside"])
 
-    return dictionary.mapInArrow(explode, "string long, string2 long, times long, d long, h long, start int")
+    return dictionary.mapInArrow(explode, "string long, string2 long, times long, d long, h long, start int, beside boolean")
+
+
+def _beside(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which strings occur again in the same batch."""
+    order = np.lexsort((two, one))
+    equal = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+    out = np.zeros(len(one), bool)
+    out[order[1:][equal]] = True
+    out[order[:-1][equal]] = True
+    return out
 
 
 def repeated_runs(keyed: DataFrame, length: int = LENGTH, seed: int = SEED, group: int = GROUP) -> DataFrame:
@@ -263,8 +274,10 @@ def repeated_runs(keyed: DataFrame, length: int = LENGTH, seed: int = SEED, grou
     # The phrases of a large group are dealt evenly before each gives its own strings.
     strings = _exploded(large.repartition("d", "h", "start"), length)
     again = strings.groupBy("string", "string2").agg(F.count("*").alias("c")).filter("c > 1").select("string", "string2")
-    spread = strings.filter("times = 1").join(again, ["string", "string2"]).select("d", "h", "start", F.lit(1).alias("n"))
-    return alike.unionByName(whole).unionByName(inside).unionByName(spread)
+    # Strings that recur inside a batch are known there; only the others ask whether another batch has them.
+    known = strings.filter("times = 1 AND beside").select("d", "h", "start", F.lit(1).alias("n"))
+    spread = strings.filter("times = 1 AND NOT beside").join(again, ["string", "string2"]).select("d", "h", "start", F.lit(1).alias("n"))
+    return alike.unionByName(whole).unionByName(inside).unionByName(known).unionByName(spread)
 
 
 def removed(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
