@@ -67,7 +67,9 @@ def _all_close(distinct: DataFrame, n: int, threshold: int) -> DataFrame:
     packed = stored(packed, "blocks")
     left = packed.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(blocks // 2)))).withColumn("_c", F.pmod(F.col("_b") + F.col("_d"), F.lit(blocks)))
     left = left.filter((2 * F.col("_d") < blocks) | (F.col("_b") < F.col("_c")))
-    met = left.join(packed.select(F.col("_b").alias("_c"), F.col("_left").alias("_right")), "_c").select("_d", "_left", "_right")
+    # Blocks are few bytes and much work: their number of partitions is given, else small ones are put together or the exploded side is broadcast.
+    right = packed.select(F.col("_b").alias("_c"), F.col("_left").alias("_right")).repartition(2 * blocks, "_c")
+    met = left.repartition(2 * blocks, "_c").join(right.hint("merge"), "_c").select("_d", "_left", "_right")
 
     def compare(batches):
         for batch in batches:
@@ -98,7 +100,8 @@ def _close_values(distinct: DataFrame, threshold: int) -> DataFrame:
     parts = F.posexplode(F.array(*[F.shiftrightunsigned("v", width * i).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for i in range(bands)]))
     banded = distinct.select("v", parts.alias("band", "part"))
     probes = banded.withColumn("_m", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).select(F.col("v").alias("w"), "band", F.col("part").bitwiseXOR(F.col("_m")).alias("part"))
-    return banded.join(probes, ["band", "part"]).filter((F.col("v") < F.col("w")) & close).select("v", "w").distinct()
+    # Spark takes exploded probes to be as small as the values: without the hint it broadcasts them, all through the driver.
+    return banded.join(probes.hint("merge"), ["band", "part"]).filter((F.col("v") < F.col("w")) & close).select("v", "w").distinct()
 
 
 def near_hash_pairs(df: DataFrame, key: str, value: str, threshold: int = 10) -> DataFrame:

@@ -31,3 +31,14 @@ def test_groups_at_a_wide_threshold(spark):
     rows = [(i + 1, v) for i, v in enumerate(chain)] + [(90, chain[0]), (91, None), (92, -1)]
     got = similarity.near_hash_groups(spark.createDataFrame(rows, "k int, v long"), "k", "v", 15)
     assert {r.k: r.component for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 90: 1, 91: 91, 92: 1}
+
+
+@pytest.mark.parametrize("threshold", [3, 15])
+def test_probes_and_blocks_are_not_broadcast_nor_met_in_one_task(spark, threshold):
+    values = spark.range(6000).selectExpr("xxhash64(id) AS v")
+    near = similarity._close_values(values, threshold)
+    near.collect()
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert bool(similarity.band_plan(6000, threshold)) == (threshold == 3)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert threshold == 3 or near.rdd.getNumPartitions() == 2 * -(-6000 // similarity.LEAST_BLOCK)
