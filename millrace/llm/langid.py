@@ -50,9 +50,10 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     row = np.repeat(np.arange(len(lengths)), count)
     at = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * SEGMENT
     size = np.minimum(lengths[row] - at, SEGMENT)
-    index = (offsets[row] + at)[:, None] + np.arange(SEGMENT)
-    inside = np.arange(SEGMENT) < size[:, None]
-    return np.where(inside, data[np.minimum(index, max(len(data) - 1, 0))] if len(data) else 0, 0).astype(np.uint8), size, count
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(SEGMENT, np.uint8)]), SEGMENT)
+    parts = windows[offsets[row] + at]  # bytes are copied once, without a number for the place of each
+    parts[np.arange(SEGMENT) >= size[:, None]] = 0
+    return parts, size, count
 
 
 def _direction(p: Model, side: str, x: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -225,17 +226,20 @@ def fitted(docs: DataFrame) -> tuple[list[str], Model | None]:
 
 
 def predict(docs: DataFrame, languages: list[str], model: Model | None, *keep: str) -> DataFrame:
-    """``keep`` columns of ``docs``, ``lang_pred`` and ``score``."""
+    """``keep`` columns of ``docs``, ``lang_pred`` and ``score``.
+
+    A kept ``text`` is what is read, so that a batch has each text once."""
     schema = docs.select(*[F.col(f"`{k}`") for k in keep]).schema
     schema = T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     lettered = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
+    once = "text" in keep and isinstance(schema["text"].dataType, T.StringType)
+    n_keep, read = len(keep), keep.index("text") if once else len(keep)
 
     def label(batches):
         for batch in batches:
-            n_keep = len(batch.columns) - 2
-            for row, data, offsets in shingles.slices(batch.column(n_keep)):
+            for row, data, offsets in shingles.slices(batch.column(read)):
                 part = batch.slice(row, len(offsets) - 1)
-                named = part.column(n_keep + 1).to_numpy(zero_copy_only=False).astype(bool) if model else np.zeros(len(part), bool)
+                named = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool) if model else np.zeros(len(part), bool)
                 best, score = np.zeros(len(part), int), np.zeros(len(part))
                 if named.any():
                     probs = pooled(model, data, offsets)
@@ -244,7 +248,8 @@ def predict(docs: DataFrame, languages: list[str], model: Model | None, *keep: s
                 pred = [languages[b] if ok else "und" for b, ok in zip(best, named, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], pa.array(pred, pa.string()), pa.array(score)], names=[*part.schema.names[:n_keep], "lang_pred", "score"])
 
-    rows = docs.select(*[F.col(f"`{k}`") for k in keep], F.col("text").cast("string").alias("_text"), lettered.alias("_lettered"))
+    texts = [] if once else [F.col("text").cast("string").alias("_text")]
+    rows = docs.select(*[F.col(f"`{k}`") for k in keep], *texts, lettered.alias("_lettered"))
     return rows.mapInArrow(label, schema)
 
 
@@ -257,11 +262,11 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     languages, model = fitted(docs)
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    # The rows travel as one column, so that no name of theirs can clash.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    found = predict(rows, languages, model, "row").filter("lang_pred != 'und'")
+    # The rows travel as one column, so that no name of theirs can clash, and the texts beside it, once.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text")
+    found = predict(rows, languages, model, "row", "text").filter("lang_pred != 'und'")
     lang = F.when(F.col("row.lang").isNull() | (F.col("score") >= SURE), F.col("lang_pred")).otherwise(F.col("row.lang"))
-    return found.select(*[(lang if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns])
+    return found.select(*[(lang if c == "lang" else F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,13 +35,21 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def _offsets(texts: pa.LargeStringArray) -> np.ndarray:
+    found = texts.buffers()[1]
+    return np.frombuffer(found, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+
+
 def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets of the rows in them) of runs of rows of about SLICE_BYTES."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    texts = texts.cast(pa.large_string())
+    offsets = _offsets(texts)
+    if texts.null_count and np.diff(offsets)[texts.is_null().to_numpy(zero_copy_only=False)].any():  # Spark writes no bytes for nulls
+        texts = pc.fill_null(texts, "")
+        offsets = _offsets(texts)
+    data = texts.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
